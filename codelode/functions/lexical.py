@@ -13,7 +13,7 @@ long string or comment cannot overflow the stack, and no input makes it backtrac
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelode.catalog import JAVA, JAVASCRIPT, PYTHON
@@ -135,6 +135,27 @@ JAVA_BEFORE_CALL = [
 # Words whose brackets hold a condition and not parameters.
 CONTROL_WORDS = ["if", "for", "while", "switch", "with", "await"]
 
+# Words and marks that the context rules ask for. A token row holds the number of its word in this
+# list (0 for any other token): comparing numbers keeps rows narrow and generated code small.
+_WORDS = sorted(
+    {
+        *PYTHON_COMPOUND, *JAVA_BEFORE_CALL, *CONTROL_WORDS,
+        *"( ) [ ] { } ; : = > * @ => ++ -- ! ~ ...".split(),
+        "interface", "enum", "new", "function", "import", "super", "extends", "throws", "in",
+        "const", "let", "var",
+    }
+)
+_WORD_NUMBER = {word: number for number, word in enumerate(_WORDS, start=1)}
+_LONGEST_WORD = 12
+
+
+def word(text: str) -> int:
+    return _WORD_NUMBER[text]
+
+
+def words(*texts: str) -> list[int]:
+    return [_WORD_NUMBER[text] for text in texts]
+
 
 def by_language(language: Column, python: Column, java: Column, javascript: Column) -> Column:
     """Pick one of three expressions by the language column (E-16)."""
@@ -143,12 +164,6 @@ def by_language(language: Column, python: Column, java: Column, javascript: Colu
     )
 
 
-def word_in(language: Column, word: Column, words: dict[str, list[str]]) -> Column:
-    return by_language(
-        language, word.isin(words[PYTHON]), word.isin(words[JAVA]), word.isin(words[JAVASCRIPT])
-    )
-
-
 def elements(language: Column, content: Column) -> Column:
     """All elements of a unit, in order; empty for a language the scanner does not know."""
     def split(pattern: str) -> Column:
@@ -162,18 +177,24 @@ def elements(language: Column, content: Column) -> Column:
 
 
 def without_gap(language: Column, element: Column) -> Column:
-    """The token of an element. Most gaps are blanks; only comments need the regex."""
+    """The token of an element. Most gaps are empty or one blank; only comments need the regex."""
+    # Codes: 32 blank, 35 #, 47 /, 92 backslash. Comments begin with one of the last three.
+    def is_plain(code: Column) -> Column:
+        return (code > 32) & ~code.isin(35, 47, 92)
+
     trimmed = F.ltrim(element, F.lit(" \t\n\r\f\x0b"))
-    first = F.substring(trimmed, 1, 1)
-    second = F.substring(trimmed, 2, 1)
-    python = F.when(
-        first.isin("#", "\\"), F.regexp_replace(trimmed, rf"^(?:{_PYTHON_GAP})++", "")
-    ).otherwise(trimmed)
-    slash = F.when(
-        (first == "/") & second.isin("/", "*"),
-        F.regexp_replace(trimmed, rf"^(?:{_SLASH_GAP})++", ""),
-    ).otherwise(trimmed)
-    return F.when(language == PYTHON, python).otherwise(slash)
+    python = F.regexp_replace(element, rf"^(?:{_PYTHON_GAP})++", "")
+    slash = F.regexp_replace(element, rf"^(?:{_SLASH_GAP})++", "")
+    return (
+        F.when(is_plain(F.ascii(element)), element)
+        .when(
+            element.startswith(" ") & is_plain(F.ascii(F.substring(element, 2, 1))),
+            F.substring(element, F.lit(2), F.length(element)),
+        )
+        .when(is_plain(F.ascii(trimmed)), trimmed)
+        .when(language == PYTHON, python)
+        .otherwise(slash)
+    )
 
 
 def comments(language: Column, gap: Column) -> Column:
@@ -211,21 +232,44 @@ def is_complete_string(language: Column, token: Column) -> Column:
     return token.rlike(whole)
 
 
-# Token kinds, one letter each.
-NAME = "I"  # identifier or dotted name
-MEMBER = "D"  # name that begins with a dot
-KEYWORD = "K"
-VALUE = "V"  # null, this, True, ...
-STRING = "S"
-OTHER_QUOTED = "T"  # template literal, Java character
-NUMBER = "N"
-OPEN = "O"
-CLOSE = "X"
-COMMA = ","
-EQUALS = "="
-COMPOUND = "E"  # += and the like
-OPERATOR = "P"
-END = "Z"  # trailing gap
+# Token kinds. The order lets groups of kinds be told by one comparison.
+NAME = 1  # identifier
+DOTTED = 2  # identifiers joined by dots
+MEMBER = 3  # name that begins with a dot
+VALUE = 4  # null, this, True, ...
+STRING = 5
+NUMBER = 6
+OTHER_QUOTED = 7  # template literal, regular expression, Java character
+CLOSE = 8
+OPEN = 9
+COMMA = 10
+EQUALS = 11
+COMPOUND = 12  # += and the like
+KEYWORD = 13
+OPERATOR = 14
+END = 15  # trailing gap
+
+# First characters whose kind the rest of the token decides.
+_APOSTROPHE, _DOT, _QUESTION, _SLASH = 16, 17, 18, 19
+
+
+def is_single_name(kind: Column) -> Column:
+    return kind <= DOTTED
+
+
+def is_name(kind: Column) -> Column:
+    return kind <= MEMBER
+
+
+def ends_operand(kind: Column) -> Column:
+    """Kinds that can be the end of an operand."""
+    return kind <= CLOSE
+
+
+def begins_operand(kind: Column) -> Column:
+    """Kinds that begin a new operand after a line break; a member carries the old one on."""
+    return (kind <= NUMBER) & (kind != MEMBER)
+
 
 _COMPOUND_OPERATORS = [
     "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>=", ">>>=", "**=", "//=", "&&=",
@@ -233,41 +277,77 @@ _COMPOUND_OPERATORS = [
 ]
 
 
-def kind(language: Column, token: Column) -> Column:
-    """Kind letter of a token, decided from its first characters."""
-    first = F.substring(token, 1, 1)
-    second = F.substring(token, 2, 1)
-    code = F.ascii(token)
-    is_letter = (
-        code.between(97, 122) | code.between(65, 90) | (code == 95) | (code == 36) | (code > 127)
+def _first_kinds() -> str:
+    """Kind by the code of the first character; code 128 stands for all beyond ASCII.
+
+    One character per code, `@` plus the kind: looking it up costs one substring.
+    """
+    table = [OPERATOR] * 129
+    for code in (*range(65, 91), *range(97, 123), 36, 95, 128):
+        table[code] = NAME
+    for code in range(48, 58):
+        table[code] = NUMBER
+    for character, first in {
+        '"': STRING, "'": _APOSTROPHE, "`": OTHER_QUOTED, "(": OPEN, "[": OPEN, "{": OPEN,
+        ")": CLOSE, "]": CLOSE, "}": CLOSE, ",": COMMA, "=": EQUALS, ".": _DOT, "?": _QUESTION,
+        "/": _SLASH,
+    }.items():
+        table[ord(character)] = first
+    return "".join(chr(64 + first) for first in table)
+
+
+def _listed(language: Column, lists: dict[str, list[str]]) -> Column:
+    return by_language(language, *(F.lit(",".join(lists[name])) for name in (PYTHON, JAVA, JAVASCRIPT)))
+
+
+def with_kind(rows: DataFrame) -> DataFrame:
+    """Add `kind`, the kind letter of `tok`, and `word`, its number among the known words."""
+    language, token = F.col("language"), F.col("tok")
+    code, size, first = F.col("code"), F.col("size"), F.col("first")
+    rows = rows.withColumns({"code": F.ascii(token), "size": F.octet_length(token)}).withColumn(
+        "first",
+        F.ascii(F.substring(F.lit(_first_kinds()), F.least(code, F.lit(128)) + 1, F.lit(1))) - 64,
     )
-    digits = list("0123456789")
-    quoted = first.isin('"', "'") | (
-        (language == PYTHON)
-        & first.isin(*"rRbBuUfFtT")
-        & F.substring(token, 2, 2).rlike("[\"']")
+    name = (
+        F.when(
+            (language == PYTHON) & token.rlike("^[rRbBuUfFtT]{1,2}[\"']"), F.lit(STRING)
+        )
+        .when(token.contains("."), F.lit(DOTTED))
+        .when(size > _LONGEST_WORD, F.lit(NAME))
+        .when(F.find_in_set(token, _listed(language, KEYWORDS)) > 0, F.lit(KEYWORD))
+        .when(F.find_in_set(token, _listed(language, VALUE_WORDS)) > 0, F.lit(VALUE))
+        .otherwise(F.lit(NAME))
     )
-    return (
-        F.when(token == "", F.lit(END))
-        .when(quoted, F.when((language == JAVA) & (first == "'"), F.lit(OTHER_QUOTED)).otherwise(F.lit(STRING)))
-        .when(
-            is_letter,
-            F.when(word_in(language, token, KEYWORDS), F.lit(KEYWORD))
-            .when(word_in(language, token, VALUE_WORDS), F.lit(VALUE))
-            .otherwise(F.lit(NAME)),
+    second = F.ascii(F.substring(token, 2, 1))
+    # Tokens of two and more characters that begin with a mark.
+    marks = (
+        F.when(
+            first == _DOT,
+            F.when(second.between(48, 57), F.lit(NUMBER))
+            .when(second == 46, F.lit(OPERATOR))
+            .otherwise(F.lit(MEMBER)),
         )
-        .when(first.isin("(", "[", "{"), F.lit(OPEN))
-        .when((first == "?") & F.right(token, F.lit(1)).isin("(", "["), F.lit(OPEN))
-        .when(first.isin(")", "]", "}"), F.lit(CLOSE))
-        .when(first == ",", F.lit(COMMA))
-        .when(token == "=", F.lit(EQUALS))
-        .when(first.isin(digits), F.lit(NUMBER))
-        .when((first == ".") & second.isin(digits), F.lit(NUMBER))
         .when(
-            (first == ".") & (F.length(token) > 1) & (second != "."), F.lit(MEMBER)
+            (first == _QUESTION) & (second == 46),
+            F.when(F.right(token, F.lit(1)).isin("(", "["), F.lit(OPEN)).otherwise(F.lit(MEMBER)),
         )
-        .when((first == "?") & (second == ".") & (F.length(token) > 2), F.lit(MEMBER))
-        .when(first == "`", F.lit(OTHER_QUOTED))
+        # A regular expression literal: no operator of three characters begins with a slash here.
+        .when((first == _SLASH) & (size > 2) & (language == JAVASCRIPT), F.lit(OTHER_QUOTED))
         .when(token.isin(_COMPOUND_OPERATORS), F.lit(COMPOUND))
         .otherwise(F.lit(OPERATOR))
     )
+    kind = (
+        F.when(size == 0, F.lit(END))
+        .when(first == NAME, name)
+        .when(
+            first == _APOSTROPHE, F.when(language == JAVA, F.lit(OTHER_QUOTED)).otherwise(F.lit(STRING))
+        )
+        .when(first.isin(STRING, OTHER_QUOTED, NUMBER), first)
+        .when(size > 1, marks)
+        .when(first > END, F.lit(OPERATOR))
+        .otherwise(first)
+    )
+    number = F.when(
+        size <= _LONGEST_WORD, F.find_in_set(token, F.lit(",".join(_WORDS)))
+    ).when(token.endswith(".new"), F.lit(word("new"))).otherwise(0)
+    return rows.withColumns({"kind": kind, "word": number}).drop("code", "size", "first")

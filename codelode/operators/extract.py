@@ -19,180 +19,69 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codelode.catalog import JAVA, PYTHON
+from codelode.catalog import JAVA, JAVASCRIPT
 from codelode.functions import lexical as lx
 from codelode.functions.expressions import strip_quotes
-from codelode.operators.structure import LINK, structure
-from codelode.operators.tokens import after_last_newline, by_path, newlines, positioned, with_neighbours
+from codelode.operators.structure import (
+    STRING,
+    expression_kind,
+    no,
+    relevant,
+    structure,
+    with_assigned,
+    with_maybe_call,
+    with_roles,
+)
+from codelode.operators.tokens import (
+    after_last_newline,
+    by_path,
+    positioned,
+    with_neighbours,
+    with_statement,
+)
 
 CALL = "CALL"
 ASSIGNMENT = "ASSIGNMENT"
 
-STRING = "STRING"
-VARIABLE = "VARIABLE"
-UNKNOWN = "UNKNOWN"
-
-
-def _no(condition: Column) -> Column:
-    """True unless the condition holds; an unknown condition does not hold."""
-    return ~F.coalesce(condition, F.lit(False))
-
-
-def _yes(condition: Column) -> Column:
-    return F.coalesce(condition, F.lit(False))
-
-
-def _plain_name(token: str) -> Column:
-    return (F.col(f"{token}.kind") == lx.NAME) & ~F.col(f"{token}.tok").contains(".")
-
-
-def _expression_kind(single: Column, token: str) -> Column:
-    """E-11: one token alone can be a string or a variable, all else is unknown."""
-    return (
-        F.when(single & (F.col(f"{token}.kind") == lx.STRING), F.lit(STRING))
-        .when(single & _plain_name(token), F.lit(VARIABLE))
-        .otherwise(F.lit(UNKNOWN))
-    )
-
 
 def _assignment() -> Column:
-    """The assignment that an `=` row stands for, or null (E-03 to E-06)."""
-    language = F.col("language")
-    p1, p2, n1, n2 = (F.col(f"{c}.tok") for c in ("p1", "p2", "n1", "n2"))
-    pos, line_first, last_equals = F.col("pos"), F.col("line_first"), F.col("last_equals")
-    opener = F.col("opener")
-
-    first_equals = last_equals.isNull() | (last_equals < line_first["pos"])
-    # name: type = value
-    annotated = _yes(
-        first_equals
-        & (F.col("last_colon") == line_first["pos"] + 1)
-        & _plain_name("line_first")
-    )
-    in_statement = (
-        (first_equals & (pos == line_first["pos"] + 1))
-        | (~first_equals & (last_equals == pos - 2))
-        | ((p2 == ":") & line_first["tok"].isin(lx.PYTHON_COMPOUND))
-    )
-    python = (
-        (F.col("kind") == lx.EQUALS)
-        & (F.col("depth") == 0)
-        & (annotated | (_plain_name("p1") & _yes(in_statement)))
-    )
-    # int a[] = ...
-    array_name = _yes((p1 == "]") & (p2 == "[") & _plain_name("p3"))
-    java = (
-        (_plain_name("p1") | array_name)
-        & _no(opener["header"])
-        & _no((opener["bracket"] == "{") & (opener["opened_by"] == "interface"))
-    )
-    closer_next = F.col("closer.next_tok")
-    parameters = (opener["bracket"] == "(") & (
-        (closer_next == "=>") | ((closer_next == "{") & ~opener["control"])
-    )
-    pattern = (opener["bracket"].isin("{", "[")) & (opener["pattern"] | (closer_next == "="))
-    class_body = (opener["bracket"] == "{") & (opener["opened_by"] == "class")
-    attribute = F.col("p2.kind").isin(lx.NAME, lx.STRING, lx.NUMBER) & ~F.col("p1.breaks")
-    javascript = (
-        (F.col("kind") == lx.EQUALS)
-        & _plain_name("p1")
-        & _no(parameters)
-        & _no(pattern)
-        & _no(class_body)
-        & _no(attribute)
-    )
-
-    target = (
-        F.when((language == PYTHON) & annotated, F.struct(*(line_first[f].alias(f) for f in ("tok", "line", "col"))))
-        .when((language == JAVA) & array_name, F.struct(*(F.col(f"p3.{f}") for f in ("tok", "line", "col"))))
-        .otherwise(F.struct(*(F.col(f"p1.{f}") for f in ("tok", "line", "col"))))
-    )
-
-    at_end = F.col("n1.tok").isNull() | (F.col("n1.kind") == lx.END)
-    after_end = F.col("n2.tok").isNull() | (F.col("n2.kind") == lx.END)
-    closing = [";", ",", ")", "]", "}"]
-    has_value = ~at_end & lx.by_language(
-        language,
-        ~F.col("n1.breaks") & (n1 != ";"),
-        ~n1.isin(closing),
-        ~n1.isin(closing),
-    )
-    fresh_line = F.col("n2.breaks") & (
-        F.col("n2.kind").isin(lx.NAME, lx.VALUE, lx.STRING, lx.NUMBER, lx.CLOSE)
-        | ((F.col("n2.kind") == lx.KEYWORD) & ~n2.isin("in", "instanceof"))
-        | n2.isin("{", "@", "++", "--", "!", "~", "...")
-    )
-    single = after_end | lx.by_language(
-        language,
-        F.col("n2.breaks") | (n2 == ";"),
-        n2.isin(closing),
-        n2.isin(closing) | fresh_line,
-    )
-    found = (
-        F.col("kind").isin(lx.EQUALS, lx.COMPOUND)
-        & lx.by_language(language, python, java, javascript)
-        & has_value
-    )
-    value_kind = _expression_kind(_yes(single), "n1")
-    return F.when(
-        _yes(found),
-        F.struct(
-            target["tok"].alias("name"),
-            target["line"].alias("line"),
-            target["col"].alias("col"),
-            F.struct(
-                value_kind.alias("kind"),
-                F.when(value_kind == STRING, strip_quotes(n1))
-                .when(value_kind == VARIABLE, n1)
-                .alias("text"),
-                F.col("n1.line").alias("line"),
-                F.col("n1.col").alias("col"),
-                F.col("n1.byte_off").alias("begin"),
-                F.col("stop_end").alias("end"),
-            ).alias("value"),
-        ),
+    """The assignment of a row, if the bracket around it allows one."""
+    opener, after = F.col("opener"), F.col("closer.next_word")
+    parameters = opener["round"] & (
+        (after == lx.word("=>")) | ((after == lx.word("{")) & ~opener["control"])
     )
+    pattern = ~opener["round"] & (after == lx.word("="))
+    javascript = (F.col("language") == JAVASCRIPT) & (parameters | pattern)
+    return F.when(no(opener["no_assignment"] | javascript), F.col("assigned"))
 
 
 def _call() -> Column:
-    """The call that an opening bracket stands for, or null (E-07 to E-09)."""
-    language = F.col("language")
-    closer, chain = F.col("closer"), F.col("chain")
-    name_token = F.col("p1.tok")
-    after, p2 = closer["next_tok"], F.col("p2.tok")
-    simple = (F.col("p1.kind") != lx.MEMBER) & ~name_token.contains(".")
+    """The call of a row, if the token after its closing bracket allows one."""
+    callee, closer, chain = F.col("callee"), F.col("closer"), F.col("chain")
+    after = closer["next_word"]
     # f(x for x in y) has no argument list.
     generator = (F.col("next_for") < closer["pos"]) & (F.col("delim.pos") == closer["pos"])
-    declaration = simple & (
-        after.isin("{", "throws")
-        | ((F.col("p2.kind") == lx.NAME) & ~p2.isin(lx.JAVA_BEFORE_CALL))
-        | ((F.col("p2.kind") == lx.KEYWORD) & ~p2.isin(lx.JAVA_BEFORE_CALL))
-        | (p2 == "]")
-        | ((p2 == ">") & (after == ";"))
-    )
-    parameters = simple & after.isin("{", "=>") & _no(p2 == "extends")
-    found = closer["pos"].isNotNull() & lx.by_language(
-        language, _no(generator), _no(declaration), _no(parameters)
+    declaration = (callee["by_brace"] & after.isin(lx.words("{", "=>", "throws"))) | (
+        callee["by_semicolon"] & (after == lx.word(";"))
     )
-    last_name = F.ltrim(F.substring_index(name_token, ".", -1), F.lit(" \t\n\r\f\x0b"))
-    # A method name in Java may stand on a later line than its dot.
-    name_line = F.col("p1.line") + newlines(name_token)
-    name_col = F.when(
-        newlines(name_token) > 0,
-        after_last_newline(name_token) - F.octet_length(last_name) + 1,
-    ).otherwise(F.col("p1.col") + F.octet_length(name_token) - F.octet_length(last_name))
-    dotted = F.when(
-        name_token.contains("."), F.regexp_replace(name_token, r"\??\.\s*[^.]*$", "")
-    ).otherwise("")
+    token = callee["tok"]
+    name = F.ltrim(F.substring_index(token, ".", -1), F.lit(" \t\n\r\f\x0b"))
+    dotted = F.when(token.contains("."), F.regexp_replace(token, r"\??\.\s*[^.]*$", ""))
+    # Java takes the place of the name, which may stand on a later line than its dot; the others
+    # take the place of the whole callee.
+    own = F.col("language") == JAVA
+    own_line = callee["line"] + callee["newlines"]
+    own_col = F.when(callee["newlines"] > 0, after_last_newline(token) + 1).otherwise(
+        callee["col"] + F.octet_length(token)
+    ) - F.octet_length(name)
     return F.when(
-        _yes(F.col("opener.maybe_call") & found),
+        callee.isNotNull() & closer["pos"].isNotNull() & no(generator) & no(declaration),
         F.struct(
-            last_name.alias("name"),
-            F.when(language == JAVA, name_line).otherwise(chain["line"]).cast("int").alias("line"),
-            F.when(language == JAVA, name_col).otherwise(chain["col"]).cast("int").alias("col"),
+            name.alias("name"),
+            F.when(own, own_line).otherwise(chain["line"]).cast("int").alias("line"),
+            F.when(own, own_col).otherwise(chain["col"]).cast("int").alias("col"),
             chain["byte_off"].alias("chain_off"),
-            # A name that begins with a dot has a chain before it, which only the text can give.
-            F.when(F.col("p1.kind") == lx.MEMBER, F.col("p1.byte_off")).alias("member_off"),
+            callee["member_off"].alias("member_off"),
             F.when(dotted != "", F.replace(dotted, F.lit("?."), F.lit("."))).alias("dotted"),
         ),
     )
@@ -208,18 +97,18 @@ def _segment_counts() -> tuple[Column, Column]:
     A comment next to a comma or bracket counts as an argument of its own.
     """
     size = _segment_size()
-    leading = F.when(F.col("n1.comments").isNotNull(), F.size("n1.comments")).otherwise(0)
+    leading = F.when(F.col("n1_comments").isNotNull(), F.size("n1_comments")).otherwise(0)
     trailing = F.when(F.col("delim.comments").isNotNull(), F.size("delim.comments")).otherwise(0)
     n_args = F.when(size == 0, leading).otherwise(leading + 1 + trailing)
-    n_strings = F.when((size == 1) & (F.col("n1.kind") == lx.STRING), 1).otherwise(0)
+    n_strings = F.when((size == 1) & (F.col("n1_kind") == lx.STRING), 1).otherwise(0)
     return n_args, n_strings
 
 
 def _segment() -> Column:
     """The arguments themselves (E-10). `begin` and `end` are bytes, for those that need text."""
     size = _segment_size()
-    kind = _expression_kind(size == 1, "n1")
-    token = F.col("n1.tok")
+    kind = expression_kind(size == 1, "n1")
+    token = F.col("n1_tok")
 
     def located(comment: Column) -> Column:
         none = F.lit(None).cast("bigint")
@@ -232,13 +121,13 @@ def _segment() -> Column:
     expression = F.struct(
         kind.alias("kind"),
         F.when(kind == STRING, strip_quotes(token)).when(size == 1, token).alias("text"),
-        F.col("n1.line").alias("line"),
-        F.col("n1.col").alias("col"),
-        F.when(size > 1, F.col("n1.byte_off")).alias("begin"),
+        F.col("n1_line").alias("line"),
+        F.col("n1_col").alias("col"),
+        F.when(size > 1, F.col("n1_byte_off")).alias("begin"),
         F.when(size > 1, F.col("delim.gap_off")).alias("end"),
     )
     none = F.array().cast("array<struct<kind:string,text:string,line:int,col:int>>")
-    leading = F.transform(F.coalesce("n1.comments", none), located)
+    leading = F.transform(F.coalesce("n1_comments", none), located)
     trailing = F.transform(F.coalesce("delim.comments", none), located)
     return F.when(size == 0, leading).otherwise(
         F.concat(leading, F.array(expression), trailing)
@@ -251,16 +140,21 @@ def items(units: DataFrame, keep_arguments: bool = False) -> DataFrame:
     `n_args` and `n_strings` count arguments; the arguments themselves are kept on request, as
     an array in source order. Grouping is by `path` and the bracket, so it needs no shuffle.
     """
-    rows = structure(with_neighbours(positioned(units)))
-    assignment = F.col("assignment")
-    found = rows.withColumns(
-        {
-            "assignment": F.when(F.col("role") != LINK, _assignment()),
-            "call": F.when((F.col("role") == LINK) & (F.col("kind") == lx.OPEN), _call()),
-        }
-    ).filter(
+    rows = positioned(units)
+    for stage in (
+        with_neighbours,
+        with_maybe_call,
+        with_roles,
+        with_statement,
+        relevant,
+        with_assigned,
+        structure,
+    ):
+        rows = stage(rows)
+    assignment, call = F.col("assignment"), F.col("call")
+    found = rows.withColumns({"assignment": _assignment(), "call": _call()}).filter(
         assignment.isNotNull()
-        | F.col("call").isNotNull()
+        | call.isNotNull()
         | ((F.col("kind") == lx.COMMA) & F.col("opener.maybe_call"))
     )
     n_args, n_strings = _segment_counts()
@@ -272,6 +166,7 @@ def items(units: DataFrame, keep_arguments: bool = False) -> DataFrame:
         F.when(is_call_part, F.col("opener.pos")).otherwise(F.col("pos")).alias("item"),
         "assignment",
         "call",
+        "stop_end",
         F.when(is_call_part, n_args).alias("n_args"),
         F.when(is_call_part, n_strings).alias("n_strings"),
         *([F.when(is_call_part, _segment()).alias("segment")] if keep_arguments else []),
@@ -279,6 +174,7 @@ def items(units: DataFrame, keep_arguments: bool = False) -> DataFrame:
     measures = [
         F.first("assignment", ignorenulls=True).alias("assignment"),
         F.first("call", ignorenulls=True).alias("call"),
+        F.max(F.when(assignment.isNotNull(), F.col("stop_end"))).alias("stop_end"),
         F.coalesce(F.sum("n_args"), F.lit(0)).alias("n_args"),
         F.coalesce(F.sum("n_strings"), F.lit(0)).alias("n_strings"),
     ]
@@ -290,7 +186,6 @@ def items(units: DataFrame, keep_arguments: bool = False) -> DataFrame:
             ).alias("arguments")
         )
     grouped = found.groupBy("path", "language", "item").agg(*measures)
-    call = F.col("call")
     extra = ["arguments"] if keep_arguments else []
     return grouped.filter(assignment.isNotNull() | call.isNotNull()).select(
         "path",
@@ -305,7 +200,17 @@ def items(units: DataFrame, keep_arguments: bool = False) -> DataFrame:
         call["dotted"].alias("dotted"),
         "n_args",
         "n_strings",
-        assignment["value"].alias("value"),
+        F.when(
+            assignment.isNotNull(),
+            F.struct(
+                assignment["kind"].alias("kind"),
+                assignment["text"].alias("text"),
+                assignment["value_line"].alias("line"),
+                assignment["value_col"].alias("col"),
+                assignment["begin"].alias("begin"),
+                F.col("stop_end").alias("end"),
+            ),
+        ).alias("value"),
         *extra,
     )
 

@@ -1,11 +1,11 @@
-"""Bracket groups, call chains and value ends (W-02), on top of the token table.
+"""What a token row can be by its neighbours, and the bracket groups and chains it stands in.
 
 Tokens are arranged in levels. A bracket and the commas directly inside it share a level, so in
 `(path, lvl)` order a bracket group is a run of rows and the end of an argument is simply the next
 row. The names that a bracket or a dot follows are on the level of that bracket too, so a chain
 such as `a.b(x).c(y)` is a run of rows on one level with everything inside its brackets left out.
 
-All windows are by `(path, lvl)`, so the partitioning by `path` serves them.
+All windows are by `path` and more, so the partitioning by `path` serves them.
 """
 
 from __future__ import annotations
@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 
 from codelode.catalog import JAVA, JAVASCRIPT, PYTHON
 from codelode.functions import lexical as lx
+from codelode.functions.expressions import strip_quotes
+
+STRING = "STRING"
+VARIABLE = "VARIABLE"
+UNKNOWN = "UNKNOWN"
 
 # Roles of a row. A token can have two: it can begin a chain and end the value before it.
 LINK = "link"  # part of a call chain
@@ -24,168 +29,312 @@ STOP = "stop"  # ends the value of an assignment
 _ORDER = Window.partitionBy("path", "lvl").orderBy("pos")
 _UPTO = _ORDER.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-# Kinds after which an opening bracket continues an expression.
-_CALLEE_KINDS = [lx.NAME, lx.MEMBER, lx.VALUE]
-_OPERAND_KINDS = [lx.NAME, lx.MEMBER, lx.VALUE, lx.STRING, lx.OTHER_QUOTED, lx.NUMBER, lx.CLOSE]
+
+def no(condition: Column) -> Column:
+    """True unless the condition holds; an unknown condition does not hold."""
+    return ~F.coalesce(condition, F.lit(False))
+
+
+def yes(condition: Column) -> Column:
+    return F.coalesce(condition, F.lit(False))
+
+
+def _is(near: str, *words: str) -> Column:
+    """Whether a token nearby is one of the words."""
+    return F.col(f"{near}_word").isin(lx.words(*words))
+
+
+def _kind(near: str) -> Column:
+    return F.col(f"{near}_kind")
+
+
+def expression_kind(single: Column, token: str) -> Column:
+    """E-11: one token alone can be a string or a variable, all else is unknown."""
+    return (
+        F.when(single & (_kind(token) == lx.STRING), F.lit(STRING))
+        .when(single & (_kind(token) == lx.NAME), F.lit(VARIABLE))
+        .otherwise(F.lit(UNKNOWN))
+    )
 
 
-def _next(column: str):
-    """The next row of the level that has a value in `column`."""
-    return F.expr(
-        f"lead({column}, 1) IGNORE NULLS OVER (PARTITION BY path, lvl ORDER BY pos)"
+def with_maybe_call(rows: DataFrame) -> DataFrame:
+    """Add whether a bracket can open the arguments of a call (E-07 to E-09)."""
+    language = F.col("language")
+    named = lx.is_name(_kind("p1"))
+    # A declaration has a bare name; `a.f(` and `).f(` can only be calls.
+    bare = _kind("p1") == lx.NAME
+    single = lx.is_single_name(_kind("p1"))
+    python = named & ~((F.col("depth") == 0) & F.col("breaks")) & no(_is("p2", "def", "class"))
+    typed = (
+        (
+            (lx.is_single_name(_kind("p2")) | (_kind("p2") == lx.KEYWORD))
+            & ~_is("p2", *lx.JAVA_BEFORE_CALL)
+        )
+        | _is("p2", "]")
     )
+    java = named & no(single & _is("p2", "new", "@")) & no(bare & typed)
+    javascript = (named | _is("p1", "super", "import")) & no(
+        single & (_is("p2", "new", "function") | (_is("p2", "*") & _is("p3", "function")))
+    )
+    opens = (F.col("kind") == lx.OPEN) & (F.right("tok", F.lit(1)) == "(")
+    found = yes(opens & lx.by_language(language, python, java, javascript))
+    return rows.withColumn("maybe_call", found)
 
 
-def maybe_call(bracket: Column) -> Column:
-    """Whether a bracket can open the arguments of a call, as far as the tokens before it tell.
+def _callee() -> Column:
+    """What is known of the callee before a bracket that may open the arguments of a call.
 
-    `operators.extract` takes the final decision, which also needs the token after the group.
+    The token after the closing bracket has a say too: `by_brace` and `by_semicolon` tell that the
+    call is a declaration after all if that token is a brace or a semicolon.
     """
     language = F.col("language")
-    p1, p2, p3 = F.col("p1.tok"), F.col("p2.tok"), F.col("p3.tok")
-    named = F.col("p1.kind").isin(lx.NAME, lx.MEMBER)
-    return F.coalesce(
-        (bracket == "(")
-        & lx.by_language(
-            language,
-            # A name on the line above is another statement.
-            named
-            & ~((F.col("depth") == 0) & F.col("breaks"))
-            & ~F.coalesce(p2.isin("def", "class"), F.lit(False)),
-            named
-            & ~F.coalesce(
-                (F.col("p1.kind") == lx.NAME)
-                & ((p2 == "new") | p2.endswith(".new") | (p2 == "@")),
-                F.lit(False),
-            ),
-            (named | p1.isin("super", "import"))
-            & ~F.coalesce(
-                (F.col("p1.kind") == lx.NAME)
-                & (p2.isin("new", "function") | ((p2 == "*") & (p3 == "function"))),
-                F.lit(False),
-            ),
+    bare = _kind("p1") == lx.NAME
+    extended = (language == JAVASCRIPT) & _is("p2", "extends")
+    return F.when(
+        F.col("maybe_call"),
+        F.struct(
+            F.col("p1_tok").alias("tok"),
+            F.col("p1_line").alias("line"),
+            F.col("p1_col").alias("col"),
+            F.col("p1_tok_newlines").alias("newlines"),
+            # A name that begins with a dot has a chain before it, which only the text can give.
+            F.when(_kind("p1") == lx.MEMBER, F.col("p1_byte_off")).alias("member_off"),
+            (bare & (language != PYTHON) & no(extended)).alias("by_brace"),
+            (bare & (language == JAVA) & yes(_is("p2", ">"))).alias("by_semicolon"),
         ),
-        F.lit(False),
     )
 
 
-def structure(rows: DataFrame) -> DataFrame:
-    """Rows of `tokens.with_neighbours` that shape calls and assignments, with their groups.
-
-    Adds `opener` (innermost bracket that holds the row, or the bracket itself), `closer` (its
-    closing bracket), `delim` (next comma or closing bracket), `chain` (where the chain of the row
-    begins), `stop_end` (byte at which a value that begins here ends).
-    """
+def with_assigned(rows: DataFrame) -> DataFrame:
+    """Add `assigned` to signs that can assign a value to a plain variable (E-03 to E-06)."""
     language = F.col("language")
-    kind = F.col("kind")
-    tok = F.col("tok")
-    bracket = F.right(tok, F.lit(1))
-    is_python = language == PYTHON
-    is_java = language == JAVA
-    is_javascript = language == JAVASCRIPT
-    leads_on = (F.col("n1.kind") == lx.MEMBER) | (
-        (F.col("n1.kind") == lx.OPEN) & F.right(F.col("n1.tok"), F.lit(1)).isin("(", "[")
+    pos, line_first, last_equals = F.col("pos"), F.col("line_first"), F.col("last_equals")
+    bare = _kind("p1") == lx.NAME
+    is_equals = F.col("kind") == lx.EQUALS
+
+    first_equals = last_equals.isNull() | (last_equals < line_first["pos"])
+    # name: type = value
+    annotated = yes(
+        first_equals
+        & (F.col("last_colon") == line_first["pos"] + 1)
+        & (line_first["kind"] == lx.NAME)
+    )
+    in_statement = (
+        (first_equals & (pos == line_first["pos"] + 1))
+        | (~first_equals & (last_equals == pos - 2))
+        | (_is("p2", ":") & line_first["word"].isin(lx.words(*lx.PYTHON_COMPOUND)))
+    )
+    # int a[] = ...
+    array_name = yes(_is("p1", "]") & _is("p2", "[") & (_kind("p3") == lx.NAME))
+    attribute = _kind("p2").isin(lx.NAME, lx.STRING, lx.NUMBER) & ~F.col("p1_breaks")
+    # Everything below is guarded, so that other rows pay one comparison.
+    is_sign = F.col("kind").isin(lx.EQUALS, lx.COMPOUND)
+    rows = rows.withColumn(
+        "target",
+        F.when(~is_sign, F.lit(None))
+        .when(
+            language == PYTHON,
+            F.when(
+                is_equals & (F.col("depth") == 0),
+                F.when(annotated, F.lit("line")).when(yes(bare & in_statement), F.lit("p1")),
+            ),
+        )
+        .when(
+            language == JAVA,
+            F.when(bare, F.lit("p1")).when(array_name, F.lit("p3")),
+        )
+        .when(is_equals & bare & no(attribute), F.lit("p1")),
+    )
+    target = (
+        F.when(F.col("target") == "line", F.struct(*(line_first[f].alias(f) for f in ("tok", "line", "col"))))
+        .when(F.col("target") == "p3", F.struct(*(F.col(f"p3_{f}").alias(f) for f in ("tok", "line", "col"))))
+        .when(F.col("target") == "p1", F.struct(*(F.col(f"p1_{f}").alias(f) for f in ("tok", "line", "col"))))
     )
+    at_end = _kind("n1").isNull() | (_kind("n1") == lx.END)
+    closing = _is("n1", ";", ")", "]", "}") | (_kind("n1") == lx.COMMA)
+    no_value = at_end | F.when(language == PYTHON, F.col("n1_breaks") | _is("n1", ";")).otherwise(closing)
+    fresh = F.col("n2_breaks") & (
+        lx.begins_operand(_kind("n2"))
+        | ((_kind("n2") == lx.KEYWORD) & ~_is("n2", "in", "instanceof"))
+        | _is("n2", "{", "@", "++", "--", "!", "~", "...")
+    )
+    single = (
+        _kind("n2").isNull()
+        | (_kind("n2") == lx.END)
+        | _is("n2", ";")
+        | F.when(language == PYTHON, F.col("n2_breaks")).otherwise(
+            _kind("n2").isin(lx.COMMA, lx.CLOSE) | ((language == JAVASCRIPT) & fresh)
+        )
+    )
+    has_target = F.col("target").isNotNull()
+    rows = rows.withColumns(
+        {
+            "target": F.when(has_target, target),
+            "value_kind": F.when(has_target, expression_kind(yes(single), "n1")),
+            "no_value": F.when(has_target, no_value),
+        }
+    )
+    value_kind, token = F.col("value_kind"), F.col("n1_tok")
+    assigned = F.struct(
+        F.col("target.tok").alias("name"),
+        F.col("target.line").alias("line"),
+        F.col("target.col").alias("col"),
+        value_kind.alias("kind"),
+        F.when(value_kind == STRING, strip_quotes(token)).when(value_kind == VARIABLE, token).alias("text"),
+        F.col("n1_line").alias("value_line"),
+        F.col("n1_col").alias("value_col"),
+        F.col("n1_byte_off").alias("begin"),
+    )
+    return rows.withColumn(
+        "assigned", F.when(F.col("target").isNotNull() & no(F.col("no_value")), assigned)
+    ).drop("target", "value_kind", "no_value")
+
+
+def with_roles(rows: DataFrame) -> DataFrame:
+    """Add which parts a row plays in calls and values."""
+    language, kind, depth = F.col("language"), F.col("kind"), F.col("depth")
+    is_python, is_javascript = language == PYTHON, language == JAVASCRIPT
+    leads_on = (_kind("n1") == lx.MEMBER) | ((_kind("n1") == lx.OPEN) & ~_is("n1", "{"))
     is_link = (
         kind.isin(lx.OPEN, lx.MEMBER)
-        | (kind.isin(lx.NAME, lx.VALUE, lx.STRING, lx.OTHER_QUOTED, lx.NUMBER) & leads_on)
-        | ((tok == "new") & ~is_python)
-    )
-    is_group = (
-        kind.isin(lx.CLOSE, lx.EQUALS, lx.COMPOUND)
-        | (kind == lx.COMMA)
-        | (is_python & (tok == "for") & (F.col("depth") > 0))
+        | ((kind <= lx.OTHER_QUOTED) & yes(leads_on))
+        | ((F.col("word") == lx.word("new")) & ~is_python)
     )
-    # A line break ends a JavaScript statement unless the next token carries the expression on.
+    is_for = is_python & (F.col("word") == lx.word("for")) & (depth > 0)
+    is_group = kind.isin(lx.CLOSE, lx.EQUALS, lx.COMPOUND, lx.COMMA) | is_for
+    # A line break ends a JavaScript statement unless one of the tokens at it carries it on.
     fresh = (
-        kind.isin(lx.NAME, lx.VALUE, lx.STRING, lx.NUMBER, lx.CLOSE)
-        | ((kind == lx.KEYWORD) & ~tok.isin("in", "instanceof"))
-        | tok.isin("{", "@", "++", "--", "!", "~", "...")
+        lx.begins_operand(kind)
+        | ((kind == lx.KEYWORD) & ~F.col("word").isin(lx.words("in", "instanceof")))
+        | F.col("word").isin(lx.words("{", "@", "++", "--", "!", "~", "..."))
     )
-    ends_operand = F.col("p1.kind").isin(_OPERAND_KINDS) | F.col("p1.tok").isin("++", "--")
+    ends_operand = lx.ends_operand(_kind("p1")) | _is("p1", "++", "--")
     is_stop = (
-        (tok == ";")
+        (F.col("word") == lx.word(";"))
         | (kind == lx.END)
-        | (is_python & (F.col("depth") == 0) & F.col("breaks"))
-        | (is_javascript & F.col("breaks") & fresh & ends_operand)
-        | (~is_python & kind.isin(lx.COMMA, lx.CLOSE))
+        | (is_python & (depth == 0) & F.col("breaks"))
+        | (is_javascript & F.col("breaks") & fresh & yes(ends_operand))
+    )
+    return rows.withColumns(
+        {"is_link": is_link, "is_group": is_group, "is_stop": is_stop & ~is_group}
     )
+
+
+def relevant(rows: DataFrame) -> DataFrame:
+    """Leave out the rows that play no part; about half of them."""
+    return rows.filter(F.col("is_link") | F.col("is_group") | F.col("is_stop"))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Each row once for every level it stands on."""
     depth = F.col("depth")
     roles = F.filter(
         F.array(
-            F.when(is_link, F.struct((depth + 1).alias("lvl"), F.lit(LINK).alias("role"))),
-            F.when(is_group, F.struct(depth.alias("lvl"), F.lit(GROUP).alias("role"))),
-            F.when(
-                is_stop & ~is_group, F.struct(depth.alias("lvl"), F.lit(STOP).alias("role"))
-            ),
+            F.when(F.col("is_link"), F.struct((depth + 1).alias("lvl"), F.lit(LINK).alias("role"))),
+            F.when(F.col("is_group"), F.struct(depth.alias("lvl"), F.lit(GROUP).alias("role"))),
+            F.when(F.col("is_stop"), F.struct(depth.alias("lvl"), F.lit(STOP).alias("role"))),
         ),
         lambda r: r.isNotNull(),
     )
+    return (
+        rows.withColumn("placed", F.explode(roles))
+        .withColumns({"lvl": F.col("placed.lvl"), "role": F.col("placed.role")})
+        .drop("placed", "is_link", "is_group", "is_stop")
+    )
+
+
+def _marks(rows: DataFrame) -> DataFrame:
+    """Columns that the level windows look for, and nothing else, so that the sort is narrow."""
+    language, kind, word = F.col("language"), F.col("kind"), F.col("word")
+    is_java, is_javascript = language == JAVA, language == JAVASCRIPT
+    bracket = F.right("tok", F.lit(1))
+    round_bracket = bracket == "("
+    is_opener = (F.col("role") == LINK) & (kind == lx.OPEN)
     continues = (
-        F.when(kind == lx.MEMBER, F.col("p1.kind").isin(_OPERAND_KINDS))
+        F.when(kind == lx.MEMBER, lx.ends_operand(_kind("p1")))
         .when(
             kind == lx.OPEN,
             (bracket != "{")
             & (
-                F.col("p1.kind").isin(_CALLEE_KINDS)
-                | F.col("p1.tok").isin(")", "]")
-                | (is_java & (F.col("p1.tok") == ">"))
+                (_kind("p1") <= lx.VALUE)
+                | _is("p1", ")", "]")
+                | (is_java & _is("p1", ">"))
             ),
         )
-        .when(kind == lx.NAME, F.col("p1.tok") == "new")
-        .otherwise(False)
+        .when(lx.is_single_name(kind), _is("p1", "new"))
     )
-    is_opener = (F.col("role") == LINK) & (kind == lx.OPEN)
+    # Brackets in which no `=` assigns: annotations, resources, constants of an interface, class
+    # fields in JavaScript.
+    no_assignment = F.when(
+        round_bracket, is_java & (_is("p1", "try") | (_is("p2", "@") & ~_is("p1", "@")))
+    ).when(
+        bracket == "{",
+        F.col("opened_by") == F.when(is_java, lx.word("interface")).otherwise(lx.word("class")),
+    )
+    no_assignment = no_assignment | (
+        is_javascript
+        & ~round_bracket
+        & (_is("p1", "const", "let", "var", "(", "[") | (_kind("p1") == lx.COMMA))
+    )
+    opener = F.struct(
+        "pos",
+        "maybe_call",
+        yes(no_assignment).alias("no_assignment"),
+        round_bracket.alias("round"),
+        yes(_is("p1", *lx.CONTROL_WORDS)).alias("control"),
+    )
+    next_word = F.coalesce(F.col("n1_word"), F.lit(0))
     is_closer = kind == lx.CLOSE
-    is_delim = is_closer | (kind == lx.COMMA)
-    return (
-        rows.withColumn("placed", F.explode(roles))
-        .withColumns({"lvl": F.col("placed.lvl"), "role": F.col("placed.role")})
-        .drop("placed")
-        .withColumns(
-            {
-                "opener_here": F.when(
-                    is_opener,
-                    F.struct(
-                        "pos",
-                        bracket.alias("bracket"),
-                        "opened_by",
-                        maybe_call(bracket).alias("maybe_call"),
-                        F.coalesce(
-                            is_java & ((F.col("p1.tok") == "try") | (F.col("p2.tok") == "@")),
-                            F.lit(False),
-                        ).alias("header"),
-                        F.coalesce(F.col("p1.tok").isin(lx.CONTROL_WORDS), F.lit(False)).alias(
-                            "control"
-                        ),
-                        F.coalesce(
-                            F.col("p1.tok").isin("const", "let", "var", "(", ",", "["),
-                            F.lit(False),
-                        ).alias("pattern"),
-                    ),
-                ),
-                "closer_here": F.when(
-                    is_closer, F.struct("pos", F.col("n1.tok").alias("next_tok"))
-                ),
-                "delim_here": F.when(
-                    is_delim, F.struct("pos", "gap_off", "comments")
-                ),
-                "chain_here": F.when(
-                    (F.col("role") == LINK) & ~F.coalesce(continues, F.lit(False)),
-                    F.struct("byte_off", "line", "col", "kind"),
-                ),
-                "stop_here": F.when(is_stop & (F.col("role") != LINK), F.col("gap_off")),
-                "for_here": F.when(is_python & (tok == "for"), F.col("pos")),
-            }
+    is_stop = (F.col("role") == STOP) | (
+        (language != PYTHON) & (F.col("role") == GROUP) & kind.isin(lx.COMMA, lx.CLOSE)
+    )
+    part = ~kind.isin(lx.EQUALS, lx.COMPOUND)
+    return rows.select(
+        "path",
+        "language",
+        "lvl",
+        "pos",
+        "role",
+        "kind",
+        _callee().alias("callee"),
+        "assigned",
+        *(
+            F.when(part, F.col(f"n1_{fact}")).alias(f"n1_{fact}")
+            for fact in ("tok", "kind", "line", "col", "byte_off", "comments")
+        ),
+        F.when(is_opener, opener).alias("opener_here"),
+        F.when(is_closer, F.struct("pos", next_word.alias("next_word"))).alias("closer_here"),
+        F.when(
+            is_closer | (kind == lx.COMMA), F.struct("pos", "gap_off", "comments")
+        ).alias("delim_here"),
+        F.when(
+            (F.col("role") == LINK) & no(continues), F.struct("byte_off", "line", "col")
+        ).alias("chain_here"),
+        F.when(is_stop, F.col("gap_off")).alias("stop_here"),
+        F.when((word == lx.word("for")) & (language == PYTHON), F.col("pos")).alias("for_here"),
+    )
+
+
+def structure(rows: DataFrame) -> DataFrame:
+    """Add the groups: `opener` (innermost bracket that holds the row, or the bracket itself),
+    `closer` (its closing bracket), `delim` (next comma or closing bracket), `chain` (where the
+    chain of the row begins), `stop_end` (byte at which a value that begins here ends)."""
+
+    def following(column: str) -> Column:
+        return F.expr(
+            f"lead({column}, 1) IGNORE NULLS OVER (PARTITION BY path, lvl ORDER BY pos)"
         )
+
+    return (
+        _marks(_placed(rows))
         .withColumns(
             {
                 "opener": F.last("opener_here", ignorenulls=True).over(_UPTO),
                 "chain": F.last("chain_here", ignorenulls=True).over(_UPTO),
-                "closer": _next("closer_here"),
-                "delim": _next("delim_here"),
-                "stop_end": _next("stop_here"),
-                "next_for": _next("for_here"),
+                "closer": following("closer_here"),
+                "delim": following("delim_here"),
+                "stop_end": following("stop_here"),
+                "next_for": following("for_here"),
             }
         )
         .drop("opener_here", "closer_here", "delim_here", "chain_here", "stop_here", "for_here")

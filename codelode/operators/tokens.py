@@ -9,6 +9,9 @@ A unit is one cell of a table, which Spark limits to 2 GiB. That is the bound of
 partition here; `path` must be unique, so no key can hold more rows than one cell has tokens.
 Tokens carry no copy of the text. Where source text is needed, `operators.extract` goes back to
 the unit by `path`, on the same exchange.
+
+The stages are kept small on purpose: the JVM does not compile a generated method beyond 8,000
+bytes of code, and an uncompiled one is some twenty times slower.
 """
 
 from __future__ import annotations
@@ -21,12 +24,22 @@ from codelode.functions import lexical as lx
 
 
 def by_path(units: DataFrame) -> DataFrame:
-    """The one exchange of the extraction. Both readers of it must select the same columns."""
-    return units.select("path", "language", "content").repartition("path")
+    """The one exchange of the extraction. Both readers of it must select the same columns.
+
+    The number of partitions is `spark.sql.shuffle.partitions`, given explicitly: adaptive
+    execution would merge partitions by the size of the raw text, and a byte of text becomes some
+    forty bytes of token rows behind the exchange. Set it to about one per 16 MB of source text.
+    """
+    n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return units.select("path", "language", "content").repartition(n, "path")
 
 
 def newlines(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    """Number of line breaks. Most tokens and gaps have none, which `contains` finds fast."""
+    without = F.replace(text, F.lit("\n"), F.lit(""))
+    return F.when(
+        text.contains("\n"), F.octet_length(text) - F.octet_length(without)
+    ).otherwise(0)
 
 
 def after_last_newline(text: Column) -> Column:
@@ -42,10 +55,13 @@ _BEFORE = _ORDER.rowsBetween(Window.unboundedPreceding, -1)
 def positioned(units: DataFrame) -> DataFrame:
     """One row per token with its place in the unit.
 
-    `gap` is what stands between the previous token and this one; a last row with an empty token
-    holds a trailing gap. Offsets count from 0, `line` and `col` from 1, columns in bytes.
+    A gap is what stands between the previous token and this one; a last row with an empty token
+    holds a trailing gap. `breaks` tells whether the gap has a line break that can end a
+    statement. Offsets count from 0, `line` and `col` from 1, columns in bytes.
     """
     language = F.col("language")
+    tok, gap = F.col("tok"), F.col("gap")
+    has_note = gap.contains("#") | gap.contains("/") | gap.contains("\\")
     # The units are put in path order before they are exploded: the window sort then meets
     # input that is in order already and only has to check it.
     rows = (
@@ -57,77 +73,84 @@ def positioned(units: DataFrame) -> DataFrame:
             F.posexplode(lx.elements(language, F.col("content"))).alias("pos", "element"),
         )
         .withColumn("tok", lx.without_gap(language, F.col("element")))
+        .transform(lx.with_kind)
+        .withColumn(
+            "gap",
+            F.substring(F.col("element"), F.lit(1), F.length("element") - F.length(tok)),
+        )
         .withColumns(
             {
-                "gap": F.substring(
-                    F.col("element"), F.lit(1), F.length("element") - F.length("tok")
-                ),
-                "kind": lx.kind(language, F.col("tok")),
                 "bytes": F.octet_length("element"),
                 "chars": F.length("element"),
-                "newlines": newlines(F.col("element")),
-                "tok_newlines": newlines(F.col("tok")),
+                "gap_bytes": F.octet_length(gap),
+                "gap_newlines": newlines(gap),
+                "tok_newlines": newlines(tok),
+                # Kept only if it has a comment or a backslash.
+                "note": F.when((F.octet_length(gap) > 1) & has_note, gap),
             }
         )
         .withColumns(
             {
+                "gap_tail": F.when(F.col("gap_newlines") > 0, after_last_newline(gap)),
+                "tok_tail": F.when(F.col("tok_newlines") > 0, after_last_newline(tok)),
+                "line_breaks": F.col("gap_newlines") + F.col("tok_newlines"),
                 "step": F.when(F.col("kind") == lx.OPEN, 1)
                 .when(F.col("kind") == lx.CLOSE, -1)
                 .otherwise(0),
-                "gap_newline": F.col("newlines") > F.col("tok_newlines"),
-            }
-        )
-        .withColumns(
-            {
-                "byte_end": F.sum("bytes").over(_UPTO),
-                "char_end": F.sum("chars").over(_UPTO),
-                "line_end": F.sum("newlines").over(_UPTO),
-                "depth_end": F.sum("step").over(_UPTO),
-            }
-        )
-        .withColumns(
-            {
-                "byte_off": F.col("byte_end") - F.octet_length("tok"),
-                "char_off": F.col("char_end") - F.length("tok"),
-                "line": (F.col("line_end") - F.col("tok_newlines") + 1).cast("int"),
-                "depth": (F.col("depth_end") - F.col("step")).cast("int"),
             }
         )
+        .drop("element", "gap")
     )
-    # Byte at which a line begins: after the last line break so far.
-    gap_break = F.when(
-        F.col("gap_newline"), F.col("byte_off") - after_last_newline(F.col("gap"))
-    )
-    tok_break = F.when(
-        F.col("tok_newlines") > 0, F.col("byte_end") - after_last_newline(F.col("tok"))
+    rows = rows.withColumns(
+        {
+            "byte_end": F.sum("bytes").over(_UPTO),
+            "char_end": F.sum("chars").over(_UPTO),
+            "line_end": F.sum("line_breaks").over(_UPTO),
+            "depth_end": F.sum("step").over(_UPTO),
+        }
+    ).withColumns(
+        {
+            "byte_off": F.col("byte_end") - F.octet_length(tok),
+            "char_off": F.col("char_end") - F.length(tok),
+            "line": (F.col("line_end") - F.col("tok_newlines") + 1).cast("int"),
+            "depth": (F.col("depth_end") - F.col("step")).cast("int"),
+        }
     )
+    # Byte at which a line begins: after the last line break so far.
     return (
-        rows.withColumns({"gap_break": gap_break, "last_break": F.coalesce(tok_break, gap_break)})
-        .withColumn("gap_start", F.coalesce(F.max("last_break").over(_BEFORE), F.lit(0)))
-        .withColumns(
+        rows.withColumns(
             {
-                "col": (F.col("byte_off") - F.coalesce("gap_break", "gap_start") + 1).cast("int"),
-                "gap_off": F.col("byte_off") - F.octet_length("gap"),
+                "gap_off": F.col("byte_off") - F.col("gap_bytes"),
+                "last_break": F.coalesce(
+                    F.col("byte_end") - F.col("tok_tail"), F.col("byte_off") - F.col("gap_tail")
+                ),
             }
         )
+        .withColumn("gap_start", F.coalesce(F.max("last_break").over(_BEFORE), F.lit(0)))
         .withColumn(
-            "comments",
-            _comments(
-                language,
-                F.col("gap"),
-                F.col("line") - newlines(F.col("gap")),
-                F.col("gap_off") - F.col("gap_start") + 1,
-            ),
+            "col",
+            F.coalesce(F.col("gap_tail") + 1, F.col("byte_off") - F.col("gap_start") + 1).cast("int"),
         )
+        .withColumn("gap_col", F.col("gap_off") - F.col("gap_start") + 1)
         .select(
-            "path", "language", "pos", "tok", "gap", "kind", "line", "col", "char_off",
-            "byte_off", "byte_end", "depth", "gap_newline", "gap_off", "comments",
+            "path", "language", "pos", "tok", "kind", "word", "line", "col", "char_off",
+            "byte_off", "depth", "gap_off", "gap_newlines", "gap_col", "note", "tok_newlines",
         )
     )
 
 
-def _comments(language: Column, gap: Column, line: Column, col: Column) -> Column:
-    """Comments of a gap as expressions; `line` and `col` tell where the gap begins."""
+def tokens(units: DataFrame) -> DataFrame:
+    """Public token table: significant tokens with place and bracket depth."""
+    return (
+        positioned(units)
+        .filter(F.col("tok") != "")
+        .select("path", "language", "pos", "tok", "line", "col", "char_off", "byte_off", "depth")
+    )
+
+
+def _comments() -> Column:
+    """Comments of the gap as expressions, or null where there are none."""
+    language, gap = F.col("language"), F.col("note")
 
     def place(comment: Column, i: Column) -> Column:
         before = lx.before_comment(language, gap, i)
@@ -135,66 +158,65 @@ def _comments(language: Column, gap: Column, line: Column, col: Column) -> Colum
         return F.struct(
             F.lit("UNKNOWN").alias("kind"),
             comment.alias("text"),
-            (line + breaks).cast("int").alias("line"),
+            (F.col("line") - F.col("gap_newlines") + breaks).cast("int").alias("line"),
             F.when(breaks > 0, after_last_newline(before) + 1)
-            .otherwise(col + F.octet_length(before))
+            .otherwise(F.col("gap_col") + F.octet_length(before))
             .cast("int")
             .alias("col"),
         )
 
-    return F.transform(lx.comments(language, gap), place)
+    return F.when(gap.isNotNull(), F.transform(lx.comments(language, gap), place))
 
 
-def tokens(units: DataFrame) -> DataFrame:
-    """Public token table: significant tokens with place and bracket depth."""
-    return (
-        positioned(units)
-        .filter(F.col("tok") != "")
-        .select("path", "language", "pos", "tok", "line", "col", "char_off", "byte_off", "depth")
+def with_neighbours(rows: DataFrame) -> DataFrame:
+    """Add the tokens around each token: p1, p2, p3 before it and n1, n2 after it."""
+    # A backslash at the end of a Python line takes the line break away.
+    escaped = (F.col("language") == PYTHON) & F.col("note").contains("\\")
+    breaks = (F.col("gap_newlines") > 0) & F.when(
+        escaped, F.regexp_replace("note", r"#[^\n]*+|\\\r?\n", "").contains("\n")
+    ).otherwise(True)
+    rows = rows.withColumns({"breaks": breaks, "comments": _comments()})
+    rows = rows.drop("gap_newlines", "gap_col", "note")
+    # One column per fact and not one struct per token: generated code stays small.
+    wanted = [
+        ("p1", -1, ["tok", "kind", "word", "breaks", "line", "col", "byte_off", "tok_newlines"]),
+        ("p2", -2, ["kind", "word"]),
+        ("p3", -3, ["tok", "kind", "word", "line", "col"]),
+        ("n1", 1, ["tok", "kind", "word", "breaks", "line", "col", "byte_off", "comments"]),
+        ("n2", 2, ["kind", "word", "breaks"]),
+    ]
+    return rows.withColumns(
+        {
+            f"{name}_{fact}": (
+                F.lag(fact, -offset) if offset < 0 else F.lead(fact, offset)
+            ).over(_ORDER)
+            for name, offset, facts in wanted
+            for fact in facts
+        }
     )
 
 
-def with_neighbours(rows: DataFrame) -> DataFrame:
-    """Add the tokens around each token, and what statement it stands in.
+def with_statement(rows: DataFrame) -> DataFrame:
+    """Add what the tokens before tell.
 
-    p1, p2, p3 are the tokens before, n1 and n2 the tokens after. `breaks` tells whether a line
-    break that can end a statement stands before the token. `line_first`, `last_colon` and
-    `last_equals` describe the logical line and are used for Python only.
+    `line_first` is the first token of the logical line in Python, `last_colon` and `last_equals`
+    are the positions of those signs outside brackets. `opened_by` is the number of the last word
+    that can say what a `{` belongs to.
     """
-    language = F.col("language")
-    kind = F.col("kind")
-    # A backslash at the end of a Python line takes the line break away.
-    unescaped = F.when(
-        (language == PYTHON) & F.col("gap").contains("\\"),
-        F.regexp_replace("gap", r"#[^\n]*+|\\\r?\n", "").contains("\n"),
-    ).otherwise(F.col("gap_newline"))
-    before = F.struct("tok", "kind", "breaks", "line", "col", "byte_off")
-    after = F.struct("tok", "kind", "breaks", "line", "col", "byte_off", "comments")
-    top = F.col("depth") == 0
-    starts_line = (language == PYTHON) & top & (
-        F.col("breaks") | (F.col("pos") == 0) | (F.col("p1.tok") == ";")
-    )
-    # What a `{` belongs to is told by the nearest of these words before it.
-    introduces = F.col("tok").isin(
-        "class", "interface", "enum", ";", "{", "}", "=>", "(", ")"
+    word = F.col("word")
+    top = (F.col("depth") == 0) & (F.col("language") == PYTHON)
+    starts_line = top & (
+        F.col("breaks") | (F.col("pos") == 0) | (F.col("p1_word") == lx.word(";"))
     )
+    introduces = word.isin(lx.words("class", "interface", "enum", ";", "{", "}", "=>", "(", ")"))
+    first = F.struct("pos", "tok", "kind", "word", "line", "col")
     return (
-        rows.withColumn("breaks", unescaped)
-        .withColumns(
-            {
-                "p1": F.lag(before, 1).over(_ORDER),
-                "p2": F.lag(before, 2).over(_ORDER),
-                "p3": F.lag(before, 3).over(_ORDER),
-                "n1": F.lead(after, 1).over(_ORDER),
-                "n2": F.lead(after, 2).over(_ORDER),
-            }
-        )
-        .withColumns(
+        rows.withColumns(
             {
-                "line_head": F.when(starts_line, F.struct("pos", "tok", "kind", "line", "col")),
-                "colon_pos": F.when((F.col("tok") == ":") & top, F.col("pos")),
-                "equals_pos": F.when((kind == lx.EQUALS) & top, F.col("pos")),
-                "introducer": F.when(introduces, F.col("tok")),
+                "line_head": F.when(starts_line, first),
+                "colon_pos": F.when((word == lx.word(":")) & top, F.col("pos")),
+                "equals_pos": F.when((word == lx.word("=")) & top, F.col("pos")),
+                "introducer": F.when(introduces, word),
             }
         )
         .withColumns(
