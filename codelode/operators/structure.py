@@ -26,8 +26,6 @@ LINK = "link"  # part of a call chain
 GROUP = "group"  # bracket, comma, assignment sign, Python `for`
 STOP = "stop"  # ends the value of an assignment
 
-_ORDER = Window.partitionBy("path", "lvl").orderBy("pos")
-_UPTO = _ORDER.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def no(condition: Column) -> Column:
@@ -325,12 +323,17 @@ def structure(rows: DataFrame) -> DataFrame:
             f"lead({column}, 1) IGNORE NULLS OVER (PARTITION BY path, lvl ORDER BY pos)"
         )
 
+    upto = (
+        Window.partitionBy("path", "lvl")
+        .orderBy("pos")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     return (
         _marks(_placed(rows))
         .withColumns(
             {
-                "opener": F.last("opener_here", ignorenulls=True).over(_UPTO),
-                "chain": F.last("chain_here", ignorenulls=True).over(_UPTO),
+                "opener": F.last("opener_here", ignorenulls=True).over(upto),
+                "chain": F.last("chain_here", ignorenulls=True).over(upto),
                 "closer": following("closer_here"),
                 "delim": following("delim_here"),
                 "stop_end": following("stop_here"),

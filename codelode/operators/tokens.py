@@ -16,7 +16,7 @@ bytes of code, and an uncompiled one is some twenty times slower.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from codelode.catalog import PYTHON
@@ -47,9 +47,16 @@ def after_last_newline(text: Column) -> Column:
     return F.octet_length(F.substring_index(text, "\n", -1))
 
 
-_ORDER = Window.partitionBy("path").orderBy("pos")
-_UPTO = _ORDER.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-_BEFORE = _ORDER.rowsBetween(Window.unboundedPreceding, -1)
+def _order() -> WindowSpec:
+    return Window.partitionBy("path").orderBy("pos")
+
+
+def _upto() -> WindowSpec:
+    return _order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _before() -> WindowSpec:
+    return _order().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def positioned(units: DataFrame) -> DataFrame:
@@ -103,10 +110,10 @@ def positioned(units: DataFrame) -> DataFrame:
     )
     rows = rows.withColumns(
         {
-            "byte_end": F.sum("bytes").over(_UPTO),
-            "char_end": F.sum("chars").over(_UPTO),
-            "line_end": F.sum("line_breaks").over(_UPTO),
-            "depth_end": F.sum("step").over(_UPTO),
+            "byte_end": F.sum("bytes").over(_upto()),
+            "char_end": F.sum("chars").over(_upto()),
+            "line_end": F.sum("line_breaks").over(_upto()),
+            "depth_end": F.sum("step").over(_upto()),
         }
     ).withColumns(
         {
@@ -126,7 +133,7 @@ def positioned(units: DataFrame) -> DataFrame:
                 ),
             }
         )
-        .withColumn("gap_start", F.coalesce(F.max("last_break").over(_BEFORE), F.lit(0)))
+        .withColumn("gap_start", F.coalesce(F.max("last_break").over(_before()), F.lit(0)))
         .withColumn(
             "col",
             F.coalesce(F.col("gap_tail") + 1, F.col("byte_off") - F.col("gap_start") + 1).cast("int"),
@@ -189,7 +196,7 @@ def with_neighbours(rows: DataFrame) -> DataFrame:
         {
             f"{name}_{fact}": (
                 F.lag(fact, -offset) if offset < 0 else F.lead(fact, offset)
-            ).over(_ORDER)
+            ).over(_order())
             for name, offset, facts in wanted
             for fact in facts
         }
@@ -221,10 +228,10 @@ def with_statement(rows: DataFrame) -> DataFrame:
         )
         .withColumns(
             {
-                "line_first": F.last("line_head", ignorenulls=True).over(_UPTO),
-                "last_colon": F.last("colon_pos", ignorenulls=True).over(_BEFORE),
-                "last_equals": F.last("equals_pos", ignorenulls=True).over(_BEFORE),
-                "opened_by": F.last("introducer", ignorenulls=True).over(_BEFORE),
+                "line_first": F.last("line_head", ignorenulls=True).over(_upto()),
+                "last_colon": F.last("colon_pos", ignorenulls=True).over(_before()),
+                "last_equals": F.last("equals_pos", ignorenulls=True).over(_before()),
+                "opened_by": F.last("introducer", ignorenulls=True).over(_before()),
             }
         )
         .drop("line_head", "colon_pos", "equals_pos", "introducer")
