@@ -333,7 +333,7 @@ named AS (
          regexp_extract(hit, '"([^"\n]*)"$', 1) AS value
   FROM cut
 )
-SELECT CAST(doc_id AS VARCHAR) AS doc_id,
+SELECT doc_id,
        CAST(length(before) - length(replace(before, chr(10), '')) + 1 AS INTEGER) AS line,
        CAST(strlen(regexp_extract(before, '[^\n]*$')) + 1 AS INTEGER) AS col, variable, value
 FROM named WHERE lower(variable) IN ({names}) AND length(value) >= 6""",
