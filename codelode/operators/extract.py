@@ -23,6 +23,7 @@ from codelode.catalog import JAVA, JAVASCRIPT
 from codelode.functions import lexical as lx
 from codelode.functions.expressions import strip_quotes
 from codelode.operators.structure import (
+    LINK,
     STRING,
     expression_kind,
     no,
@@ -134,12 +135,8 @@ def _segment() -> Column:
     )
 
 
-def items(units: DataFrame, keep_arguments: bool = False) -> DataFrame:
-    """Assignments and calls of all units, one row each.
-
-    `n_args` and `n_strings` count arguments; the arguments themselves are kept on request, as
-    an array in source order. Grouping is by `path` and the bracket, so it needs no shuffle.
-    """
+def _parts(units: DataFrame) -> DataFrame:
+    """Assignments, calls, and the commas between the arguments of calls."""
     rows = positioned(units)
     for stage in (
         with_neighbours,
@@ -151,46 +148,14 @@ def items(units: DataFrame, keep_arguments: bool = False) -> DataFrame:
         structure,
     ):
         rows = stage(rows)
+    is_opener = (F.col("role") == LINK) & F.col("opener.maybe_call") & (F.col("opener.pos") == F.col("pos"))
+    is_comma = (F.col("kind") == lx.COMMA) & F.col("opener.maybe_call")
+    return rows.withColumn("in_call", F.coalesce(is_opener | is_comma, F.lit(False)))
+
+
+def _item_columns() -> list[Column]:
     assignment, call = F.col("assignment"), F.col("call")
-    found = rows.withColumns({"assignment": _assignment(), "call": _call()}).filter(
-        assignment.isNotNull()
-        | call.isNotNull()
-        | ((F.col("kind") == lx.COMMA) & F.col("opener.maybe_call"))
-    )
-    n_args, n_strings = _segment_counts()
-    is_call_part = assignment.isNull()
-    found = found.select(
-        "path",
-        "language",
-        "pos",
-        F.when(is_call_part, F.col("opener.pos")).otherwise(F.col("pos")).alias("item"),
-        "assignment",
-        "call",
-        "stop_end",
-        F.when(is_call_part, n_args).alias("n_args"),
-        F.when(is_call_part, n_strings).alias("n_strings"),
-        *([F.when(is_call_part, _segment()).alias("segment")] if keep_arguments else []),
-    )
-    measures = [
-        F.first("assignment", ignorenulls=True).alias("assignment"),
-        F.first("call", ignorenulls=True).alias("call"),
-        F.max(F.when(assignment.isNotNull(), F.col("stop_end"))).alias("stop_end"),
-        F.coalesce(F.sum("n_args"), F.lit(0)).alias("n_args"),
-        F.coalesce(F.sum("n_strings"), F.lit(0)).alias("n_strings"),
-    ]
-    if keep_arguments:
-        part = F.when(F.col("segment").isNotNull(), F.struct("pos", "segment"))
-        measures.append(
-            F.flatten(
-                F.transform(F.array_sort(F.collect_list(part)), lambda s: s["segment"])
-            ).alias("arguments")
-        )
-    grouped = found.groupBy("path", "language", "item").agg(*measures)
-    extra = ["arguments"] if keep_arguments else []
-    return grouped.filter(assignment.isNotNull() | call.isNotNull()).select(
-        "path",
-        "language",
-        F.col("item").alias("pos"),
+    return [
         F.when(call.isNotNull(), F.lit(CALL)).otherwise(F.lit(ASSIGNMENT)).alias("item"),
         F.coalesce(call["name"], assignment["name"]).alias("name"),
         F.coalesce(call["line"], assignment["line"]).alias("line"),
@@ -198,8 +163,6 @@ def items(units: DataFrame, keep_arguments: bool = False) -> DataFrame:
         call["chain_off"].alias("chain_off"),
         call["member_off"].alias("member_off"),
         call["dotted"].alias("dotted"),
-        "n_args",
-        "n_strings",
         F.when(
             assignment.isNotNull(),
             F.struct(
@@ -211,7 +174,67 @@ def items(units: DataFrame, keep_arguments: bool = False) -> DataFrame:
                 F.col("stop_end").alias("end"),
             ),
         ).alias("value"),
-        *extra,
+    ]
+
+
+def items(units: DataFrame) -> DataFrame:
+    """Assignments and calls of all units, one row each.
+
+    `n_args` and `n_strings` count the arguments of a call. They are differences of running sums
+    between the brackets of the call, so no grouping and no further sort is needed.
+    """
+    level = Window.partitionBy("path", "lvl").orderBy("pos")
+    before = level.rowsBetween(Window.unboundedPreceding, -1)
+    n_args, n_strings = _segment_counts()
+    in_call, is_closer = F.col("in_call"), F.col("kind") == lx.CLOSE
+    rows = _parts(units).withColumns(
+        {"args": F.when(in_call, n_args), "strings": F.when(in_call, n_strings)}
+    )
+    zero = F.lit(0)
+    rows = rows.withColumns(
+        {
+            "args_before": F.coalesce(F.sum("args").over(before), zero),
+            "strings_before": F.coalesce(F.sum("strings").over(before), zero),
+        }
+    ).withColumn(
+        "sums_here", F.when(is_closer, F.struct("args_before", "strings_before"))
+    )
+    sums = F.expr(
+        "lead(sums_here, 1) IGNORE NULLS OVER (PARTITION BY path, lvl ORDER BY pos)"
+    )
+    rows = (
+        rows.withColumn("sums", sums)
+        .filter(F.col("callee").isNotNull() | F.col("assigned").isNotNull())
+        .withColumns({"assignment": _assignment(), "call": _call()})
+        .filter(F.col("assignment").isNotNull() | F.col("call").isNotNull())
+    )
+    return rows.select(
+        "path",
+        "language",
+        "pos",
+        *_item_columns(),
+        F.when(F.col("call").isNotNull(), F.col("sums.args_before") - F.col("args_before")).alias("n_args"),
+        F.when(F.col("call").isNotNull(), F.col("sums.strings_before") - F.col("strings_before")).alias("n_strings"),
+    )
+
+
+def _calls_with_arguments(units: DataFrame) -> DataFrame:
+    """Calls with their argument array, in source order.
+
+    Grouping is by `path` and bracket, so it needs no shuffle.
+    """
+    rows = _parts(units).filter("in_call").withColumn("call", _call())
+    part = F.struct("pos", _segment().alias("segment"))
+    return (
+        rows.groupBy("path", "language", F.col("opener.pos").alias("item_pos"))
+        .agg(
+            F.first("call", ignorenulls=True).alias("call"),
+            F.flatten(
+                F.transform(F.array_sort(F.collect_list(part)), lambda s: s["segment"])
+            ).alias("arguments"),
+        )
+        .filter(F.col("call").isNotNull())
+        .select("path", "language", F.col("item_pos").alias("pos"), "call.*", "arguments")
     )
 
 
@@ -269,23 +292,19 @@ def _chain_qualifier(language: Column, text: Column) -> Column:
 def _with_bytes(found: DataFrame, units: DataFrame, needed: Column) -> DataFrame:
     """Join the bytes of the unit to the rows where `needed` holds, as `unit_bytes`.
 
-    The rows are partitioned by `path` already and the units come from the same exchange (hence
-    the join on both columns of it), so this adds no shuffle.
+    The rows are partitioned by `path` already and the units come from the same exchange, so the
+    join adds no shuffle. It looks at the language too, which makes both readers of the exchange
+    ask for the same columns; otherwise the text would be shuffled once for each.
     """
     texts = by_path(units).select(
         F.col("path").alias("unit_path"),
-        F.col("language").alias("unit_language"),
-        F.col("content").cast("binary").alias("unit_bytes"),
-    )
-    same = (
-        (F.col("path") == F.col("unit_path"))
-        & (F.col("language") == F.col("unit_language"))
-        & F.col("needs_bytes")
+        F.when(F.col("language").isNotNull(), F.col("content").cast("binary")).alias("unit_bytes"),
     )
+    same = (F.col("path") == F.col("unit_path")) & F.col("needs_bytes")
     return (
         found.withColumn("needs_bytes", needed)
         .join(texts, same, "left")
-        .drop("needs_bytes", "unit_path", "unit_language")
+        .drop("needs_bytes", "unit_path")
     )
 
 
@@ -333,7 +352,7 @@ def calls(units: DataFrame) -> DataFrame:
     A call comes before the calls in its arguments. The argument array of a call can be no longer
     than the text of the unit that holds it.
     """
-    rows = items(units, keep_arguments=True).filter(F.col("item") == CALL)
+    rows = _calls_with_arguments(units)
     needed = F.col("member_off").isNotNull() | F.exists("arguments", lambda a: a["text"].isNull())
     rows = _with_bytes(rows, units, needed)
     arguments = F.transform(

@@ -214,13 +214,26 @@ def candidate_units(units: DataFrame, rules: list[TermRule]) -> DataFrame:
 
 
 def _terms(spark: SparkSession, rules: list[TermRule], ordinals: dict[int, int]) -> DataFrame:
-    rows = [
-        (ordinals[id(rule)], rule.item, qualifier, name.lower() if rule.fold_case else name)
-        for rule in rules
-        for qualifier, name in rule.terms
-    ]
+    """One row per rule and name, with all its qualifiers, so that an item meets it once."""
+    rows = []
+    for rule in rules:
+        by_name: dict[str, set[str | None]] = {}
+        for qualifier, name in rule.terms:
+            by_name.setdefault(name, set()).add(qualifier)
+        rows += [
+            (
+                ordinals[id(rule)], rule.item, name.lower(), name, rule.fold_case, None in qualifiers,
+                sorted(q for q in qualifiers if q is not None),
+                rule.id, rule.name, rule.recommendation, rule.severity,
+            )
+            for name, qualifiers in by_name.items()
+        ]
     terms = spark.createDataFrame(
-        rows, "rule_ordinal int, term_item string, term_qualifier string, term_name string"
+        rows,
+        "rule_ordinal int, term_item string, term_key string, term_name string, "
+        "fold_case boolean, any_qualifier boolean, "
+        "qualifiers array<string>, vulnerability_rule_id string, vulnerability_rule_name string, "
+        "recommendation string, severity string",
     )
     return F.broadcast(terms) if len(rows) <= BROADCAST_TERMS else terms
 
@@ -230,46 +243,26 @@ def _term_findings(
 ) -> DataFrame:
     candidates = candidate_units(units, rules)
     items = extract.items(candidates)
-    folds = any(rule.fold_case for rule in rules)
-    terms = _terms(spark, rules, ordinals)
-
-    # First by name alone, to drop nearly all items before any text is fetched for a qualifier.
-    key = F.when(F.col("item") == extract.ASSIGNMENT, F.lower("name")) if folds else F.col("name")
-    key = F.coalesce(key, F.col("name"))
-    named = items.withColumn("key", key).join(
-        F.broadcast(terms.select("term_item", "term_name").distinct()),
-        (F.col("item") == F.col("term_item")) & (F.col("key") == F.col("term_name")),
-        "left_semi",
-    )
-    qualified = extract.with_qualifier(named, candidates, F.lit(True))
-    # Then by name and qualifier. A call can meet two terms of one rule, hence the distinct set.
-    same = (
+    # By name first: nearly all items drop out before any text is fetched for a qualifier.
+    matched = items.withColumn("key", F.lower("name")).join(
+        _terms(spark, rules, ordinals),
         (F.col("item") == F.col("term_item"))
-        & (F.col("key") == F.col("term_name"))
-        & (F.col("term_qualifier").isNull() | (F.col("qualifier") == F.col("term_qualifier")))
+        & (F.col("key") == F.col("term_key"))
+        & (F.col("fold_case") | (F.col("name") == F.col("term_name"))),
     )
-    matched = qualified.join(terms, same).dropDuplicates(["path", "pos", "item", "rule_ordinal"])
-
     condition, message = F.lit(False), F.lit(None).cast("string")
     for rule in rules:
         here = F.col("rule_ordinal") == ordinals[id(rule)]
         condition = F.when(here, rule.condition()).otherwise(condition)
         message = F.when(here, rule.message()).otherwise(message)
-    metadata = F.broadcast(
-        spark.createDataFrame(
-            [(ordinals[id(r)], r.id, r.name, r.recommendation, r.severity) for r in rules],
-            "rule_ordinal int, vulnerability_rule_id string, vulnerability_rule_name string, "
-            "recommendation string, severity string",
-        )
-    )
     return (
-        matched.filter(condition)
-        .withColumn("description", message)
-        .join(metadata, "rule_ordinal")
+        extract.with_qualifier(matched, candidates, F.lit(True))
+        .filter(F.col("any_qualifier") | F.array_contains("qualifiers", F.col("qualifier")))
+        .filter(condition)
         .select(
             "vulnerability_rule_id",
             "vulnerability_rule_name",
-            "description",
+            message.alias("description"),
             "recommendation",
             "severity",
             F.col("path").alias("source_file_path"),
