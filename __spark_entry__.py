@@ -18,7 +18,7 @@ from codelode.functions.expressions import display_name
 from codelode.operators import extract, health
 from codelode.operators.tokens import tokens
 from codelode.plans import report
-from codelode.plans.findings import numbered, ordered, scan
+from codelode.plans.findings import numbered, ordered, scan, settled
 from codelode.plans.rules import (
     COMMAND_INJECTION,
     FINDING_COLUMNS,
@@ -198,14 +198,14 @@ def rules_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def code_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = corpus(spark, sf_dir)
-    return report.code_context(scan(units), units).withColumn(
+    return report.code_context(settled(scan(units)), units).withColumn(
         "finding_no", F.col("finding_no").cast("bigint")
     )
 
 
 def finding_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = corpus(spark, sf_dir)
-    return report.finding_blocks(scan(units), units).withColumn(
+    return report.finding_blocks(settled(scan(units)), units).withColumn(
         "finding_no", F.col("finding_no").cast("bigint")
     )
 

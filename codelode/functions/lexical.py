@@ -48,15 +48,15 @@ _PYTHON_GAP = r"\s++|" + _HASH_COMMENT + r"|\\\r?\n"
 _SLASH_GAP = r"\s++|" + _SLASH_COMMENT
 
 
-def _dotted(dot: str, member: str) -> str:
-    return rf"{_IDENT}(?:{dot}{member})*+|{dot}\s*+{member}(?:{dot}{member})*+"
+def _dotted(dot: str, member: str, blank: str = r"\s") -> str:
+    return rf"{_IDENT}(?:{dot}{member})*+|{dot}(?:{blank})*+{member}(?:{dot}{member})*+"
 
 
 _PYTHON_CORE = "|".join(
     [
         r"[rRbBuUfFtT]{0,2}(?:" + "|".join([_TRIPLE, _TRIPLE_SINGLE, _DOUBLE, _SINGLE]) + ")",
         _NUMBER,
-        _dotted(r"\.", _IDENT),
+        _dotted(r"\.", _IDENT, r"\s|\\\r?\n"),
         _OPERATOR,
     ]
 )

@@ -11,6 +11,7 @@ Known limits, all from working on tokens and not on a syntax tree:
 * a comma inside Java generics in an argument splits the argument in two;
 * Java explicit type arguments (`A.<T>f(x)`), enum constants with arguments, and JSX attributes
   that stand alone on their line are read like ordinary calls and assignments;
+* `a > f();` in Java is read as a declaration `... <a> f();` without parameters;
 * damaged code gives what its tokens show; there is no imitation of a parser's error recovery.
 """
 
@@ -61,12 +62,12 @@ def _call() -> Column:
     callee, closer, chain = F.col("callee"), F.col("closer"), F.col("chain")
     after = closer["next_word"]
     # f(x for x in y) has no argument list.
-    generator = (F.col("next_for") < closer["pos"]) & (F.col("delim.pos") == closer["pos"])
+    generator = F.col("next_for") < F.col("delim.pos")
     declaration = (callee["by_brace"] & after.isin(lx.words("{", "=>", "throws"))) | (
-        callee["by_semicolon"] & (after == lx.word(";"))
+        callee["by_semicolon"] & (after == lx.word(";")) & (_segment_size() != 1)
     )
     token = callee["tok"]
-    name = F.ltrim(F.substring_index(token, ".", -1), F.lit(" \t\n\r\f\x0b"))
+    name = F.ltrim(F.substring_index(token, ".", -1), F.lit(" \t\n\r\f\x0b\\"))
     dotted = F.when(token.contains("."), F.regexp_replace(token, r"\??\.\s*[^.]*$", ""))
     # Java takes the place of the name, which may stand on a later line than its dot; the others
     # take the place of the whole callee.
@@ -266,7 +267,7 @@ def _chain_qualifier(language: Column, text: Column) -> Column:
         depth = acc["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
         is_member = (first == ".") | ((first == "?") & ~opens)
         is_name = token.rlike(r"^[\p{L}\p{Nl}_$]") & (token != "new") & ~last.isin("'", '"')
-        name = F.replace(F.regexp_replace(token, r"\s+", ""), F.lit("?."), F.lit("."))
+        name = F.replace(F.regexp_replace(token, r"[\s\\]+", ""), F.lit("?."), F.lit("."))
         call_group = (language == JAVA) & (token == ")") & ~acc["base"]
         joined = (
             F.when((acc["depth"] > 0) & (depth > 0), acc["joined"])

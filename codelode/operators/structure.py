@@ -192,7 +192,12 @@ def with_roles(rows: DataFrame) -> DataFrame:
     """Add which parts a row plays in calls and values."""
     language, kind, depth = F.col("language"), F.col("kind"), F.col("depth")
     is_python, is_javascript = language == PYTHON, language == JAVASCRIPT
-    leads_on = (_kind("n1") == lx.MEMBER) | ((_kind("n1") == lx.OPEN) & ~_is("n1", "{"))
+    leads_on = (
+        (_kind("n1") == lx.MEMBER)
+        | ((_kind("n1") == lx.OPEN) & ~_is("n1", "{"))
+        # Strings that stand side by side are one operand in Python.
+        | (is_python & (kind == lx.STRING) & (_kind("n1") == lx.STRING))
+    )
     is_link = (
         kind.isin(lx.OPEN, lx.MEMBER)
         | ((kind <= lx.OTHER_QUOTED) & yes(leads_on))
@@ -260,7 +265,10 @@ def _marks(rows: DataFrame) -> DataFrame:
             ),
         )
         .when(lx.is_single_name(kind), _is("p1", "new"))
+        .when(kind == lx.STRING, (_kind("p1") == lx.STRING) & (language == PYTHON))
     )
+    # A line break outside brackets ends a statement in Python.
+    continues = continues & ~((language == PYTHON) & (F.col("depth") == 0) & F.col("breaks"))
     # Brackets in which no `=` assigns: annotations, resources, constants of an interface, class
     # fields in JavaScript.
     no_assignment = F.when(

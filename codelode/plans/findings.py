@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.plans.rules import FINDING_COLUMNS, RuleSet
+from codelode.sources.shared import shared_folder
 
 
 def scan(units: DataFrame, rules: RuleSet | None = None) -> DataFrame:
@@ -13,6 +14,16 @@ def scan(units: DataFrame, rules: RuleSet | None = None) -> DataFrame:
     return (rules or RuleSet()).analyse(units)
 
 
+def settled(findings: DataFrame) -> DataFrame:
+    """Findings written to the shared folder and read back, for plans that use them repeatedly.
+
+    A lost executor then costs a read and not another scan.
+    """
+    folder = shared_folder(findings.sparkSession, "findings")
+    findings.write.parquet(folder)
+    return findings.sparkSession.read.parquet(folder)
+
+
 def path_key(path: Column) -> Column:
     """Paths compare by their components: `a/b` comes before `a-b`."""
     return F.split(path, "/")

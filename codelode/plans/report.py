@@ -1,8 +1,12 @@
-"""Report tables (A-01 to A-06, P-01 to P-04, J-03, J-05)."""
+"""Report tables (A-01 to A-06, P-01 to P-04, J-03, J-05).
+
+`code_context` and `finding_blocks` read the findings more than once: pass them through
+`plans.findings.settled` first, so that the corpus is scanned once.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode import catalog
@@ -22,10 +26,10 @@ def severity_summary(findings: DataFrame) -> DataFrame:
         .join(counts, "severity", "left")
         .withColumn("n", F.coalesce("n", F.lit(0)))
     )
-    # Four rows.
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    # A window over the four rows.
+    total = F.sum("n").over(Window.partitionBy())
     return (
-        rows.crossJoin(F.broadcast(total))
+        rows.withColumn("total", total)
         .select(
             "rank",
             "severity",
