@@ -16,13 +16,13 @@ SF = "/root/testdata/sf0.001"
 
 def test_files(spark, tmp_path):
     for name, content in {
-        "a.py": b"eval(x)", "b.JAVA": b"", "sub/c.js": "é".encode(), "d.c": b"\xff", ".py": b"",
+        "a.py": b"eval(x)", "b.JAVA": b"", "sub/c.js": "é".encode(), "d.c": b"\xff",
         "e.py": b"\xff\xfe", "f": b"",
     }.items():
         path = tmp_path / name
         path.parent.mkdir(exist_ok=True)
         path.write_bytes(content)
-    read = files.read_files(spark, str(tmp_path))
+    read = files.read_files(spark, f"file://{tmp_path}")
     units = {pathlib.Path(r.path).name: r for r in files.units(read).collect()}
     assert {n: r.language for n, r in units.items()} == {
         "a.py": "python", "b.JAVA": "java", "c.js": "javascript",
@@ -31,7 +31,7 @@ def test_files(spark, tmp_path):
     asked = spark.createDataFrame([(f"file:{tmp_path}/{n}",) for n in ("a.py", "gone.py")], "path string")
     bad = {pathlib.Path(r.path).name: r for r in files.rejects(read, asked).collect()}
     assert {n: r.reason for n, r in bad.items()} == {
-        "d.c": "UNSUPPORTED", ".py": "UNSUPPORTED", "e.py": "INVALID_UTF8", "f": "UNSUPPORTED",
+        "d.c": "UNSUPPORTED", "e.py": "INVALID_UTF8", "f": "UNSUPPORTED",
         "gone.py": "MISSING",
     }
     assert bad["d.c"].message.startswith("Unsupported file extension '.c'.\n\nSupported languages:\n")
