@@ -33,12 +33,14 @@ from codelode.operators.structure import (
     with_assigned,
     with_maybe_call,
     with_roles,
+    with_value_end,
 )
 from codelode.operators.tokens import (
     after_last_newline,
     by_path,
     positioned,
-    with_neighbours,
+    with_next,
+    with_previous,
     with_statement,
 )
 
@@ -140,9 +142,11 @@ def _parts(units: DataFrame) -> DataFrame:
     """Assignments, calls, and the commas between the arguments of calls."""
     rows = positioned(units)
     for stage in (
-        with_neighbours,
+        with_previous,
         with_maybe_call,
+        with_next,
         with_roles,
+        with_value_end,
         with_statement,
         relevant,
         with_assigned,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codelode.catalog import PYTHON
 from codelode.functions import lexical as lx
-from codelode.operators.tokens import positioned, with_neighbours
+from codelode.operators.tokens import positioned, with_next, with_previous
 
 
 def source_health(units: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def source_health(units: DataFrame) -> DataFrame:
 
     A unit without tokens has no error and stays in the result.
     """
-    rows = with_neighbours(positioned(units))
+    rows = with_next(with_previous(positioned(units)))
     kind = F.col("kind")
     language = F.col("language")
     is_quoted = kind.isin(lx.STRING, lx.OTHER_QUOTED) & ~F.col("tok").startswith("/")

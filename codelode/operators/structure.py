@@ -103,6 +103,34 @@ def _callee() -> Column:
     )
 
 
+def with_value_end(rows: DataFrame) -> DataFrame:
+    """Add whether a value follows a sign, and whether it is a single token."""
+    language = F.col("language")
+    is_sign = F.col("kind").isin(lx.EQUALS, lx.COMPOUND)
+    at_end = _kind("n1").isNull() | (_kind("n1") == lx.END)
+    closing = _is("n1", ";", ")", "]", "}") | (_kind("n1") == lx.COMMA)
+    no_value = at_end | F.when(language == PYTHON, F.col("n1_breaks") | _is("n1", ";")).otherwise(closing)
+    fresh = F.col("n2_breaks") & (
+        lx.begins_operand(_kind("n2"))
+        | ((_kind("n2") == lx.KEYWORD) & ~_is("n2", "in", "instanceof"))
+        | _is("n2", "{", "@", "++", "--", "!", "~", "...")
+    )
+    single = (
+        _kind("n2").isNull()
+        | (_kind("n2") == lx.END)
+        | _is("n2", ";")
+        | F.when(language == PYTHON, F.col("n2_breaks")).otherwise(
+            _kind("n2").isin(lx.COMMA, lx.CLOSE) | ((language == JAVASCRIPT) & fresh)
+        )
+    )
+    return rows.withColumns(
+        {
+            "has_value": F.when(is_sign, no(no_value)),
+            "is_single": F.when(is_sign, yes(single)),
+        }
+    )
+
+
 def with_assigned(rows: DataFrame) -> DataFrame:
     """Add `assigned` to signs that can assign a value to a plain variable (E-03 to E-06)."""
     language = F.col("language")
@@ -148,28 +176,11 @@ def with_assigned(rows: DataFrame) -> DataFrame:
         .when(F.col("target") == "p3", F.struct(*(F.col(f"p3_{f}").alias(f) for f in ("tok", "line", "col"))))
         .when(F.col("target") == "p1", F.struct(*(F.col(f"p1_{f}").alias(f) for f in ("tok", "line", "col"))))
     )
-    at_end = _kind("n1").isNull() | (_kind("n1") == lx.END)
-    closing = _is("n1", ";", ")", "]", "}") | (_kind("n1") == lx.COMMA)
-    no_value = at_end | F.when(language == PYTHON, F.col("n1_breaks") | _is("n1", ";")).otherwise(closing)
-    fresh = F.col("n2_breaks") & (
-        lx.begins_operand(_kind("n2"))
-        | ((_kind("n2") == lx.KEYWORD) & ~_is("n2", "in", "instanceof"))
-        | _is("n2", "{", "@", "++", "--", "!", "~", "...")
-    )
-    single = (
-        _kind("n2").isNull()
-        | (_kind("n2") == lx.END)
-        | _is("n2", ";")
-        | F.when(language == PYTHON, F.col("n2_breaks")).otherwise(
-            _kind("n2").isin(lx.COMMA, lx.CLOSE) | ((language == JAVASCRIPT) & fresh)
-        )
-    )
     has_target = F.col("target").isNotNull()
     rows = rows.withColumns(
         {
             "target": F.when(has_target, target),
-            "value_kind": F.when(has_target, expression_kind(yes(single), "n1")),
-            "no_value": F.when(has_target, no_value),
+            "value_kind": F.when(has_target, expression_kind(F.col("is_single"), "n1")),
         }
     )
     value_kind, token = F.col("value_kind"), F.col("n1_tok")
@@ -184,8 +195,8 @@ def with_assigned(rows: DataFrame) -> DataFrame:
         F.col("n1_byte_off").alias("begin"),
     )
     return rows.withColumn(
-        "assigned", F.when(F.col("target").isNotNull() & no(F.col("no_value")), assigned)
-    ).drop("target", "value_kind", "no_value")
+        "assigned", F.when(F.col("target").isNotNull() & F.col("has_value"), assigned)
+    ).drop("target", "value_kind", "has_value", "is_single")
 
 
 def with_roles(rows: DataFrame) -> DataFrame:
@@ -218,31 +229,28 @@ def with_roles(rows: DataFrame) -> DataFrame:
         | (is_python & (depth == 0) & F.col("breaks"))
         | (is_javascript & F.col("breaks") & fresh & yes(ends_operand))
     )
-    return rows.withColumns(
-        {"is_link": is_link, "is_group": is_group, "is_stop": is_stop & ~is_group}
+    def role(holds: Column, lvl: Column, name: str) -> Column:
+        return F.when(holds, F.struct(lvl.alias("lvl"), F.lit(name).alias("role")))
+
+    roles = F.array(
+        role(is_link, depth + 1, LINK),
+        role(is_group, depth, GROUP),
+        role(is_stop & ~is_group, depth, STOP),
     )
+    return rows.withColumn("roles", F.filter(roles, lambda r: r.isNotNull()))
 
 
 def relevant(rows: DataFrame) -> DataFrame:
     """Leave out the rows that play no part; about half of them."""
-    return rows.filter(F.col("is_link") | F.col("is_group") | F.col("is_stop"))
+    return rows.filter(F.size("roles") > 0)
 
 
 def _placed(rows: DataFrame) -> DataFrame:
     """Each row once for every level it stands on."""
-    depth = F.col("depth")
-    roles = F.filter(
-        F.array(
-            F.when(F.col("is_link"), F.struct((depth + 1).alias("lvl"), F.lit(LINK).alias("role"))),
-            F.when(F.col("is_group"), F.struct(depth.alias("lvl"), F.lit(GROUP).alias("role"))),
-            F.when(F.col("is_stop"), F.struct(depth.alias("lvl"), F.lit(STOP).alias("role"))),
-        ),
-        lambda r: r.isNotNull(),
-    )
     return (
-        rows.withColumn("placed", F.explode(roles))
+        rows.withColumn("placed", F.explode("roles"))
         .withColumns({"lvl": F.col("placed.lvl"), "role": F.col("placed.role")})
-        .drop("placed", "is_link", "is_group", "is_stop")
+        .drop("placed", "roles")
     )
 
 

@@ -175,8 +175,22 @@ def _comments() -> Column:
     return F.when(gap.isNotNull(), F.transform(lx.comments(language, gap), place))
 
 
-def with_neighbours(rows: DataFrame) -> DataFrame:
-    """Add the tokens around each token: p1, p2, p3 before it and n1, n2 after it."""
+def _shifted(rows: DataFrame, wanted: dict[str, tuple[int, list[str]]]) -> DataFrame:
+    """Facts of tokens nearby. One column per fact and not one struct per token, as generated code
+    then stays small."""
+    return rows.withColumns(
+        {
+            f"{name}_{fact}": (
+                F.lag(fact, -offset) if offset < 0 else F.lead(fact, offset)
+            ).over(_order())
+            for name, (offset, facts) in wanted.items()
+            for fact in facts
+        }
+    )
+
+
+def with_previous(rows: DataFrame) -> DataFrame:
+    """Add the tokens p1, p2 and p3 before each token."""
     # A backslash at the end of a Python line takes the line break away.
     escaped = (F.col("language") == PYTHON) & F.col("note").contains("\\")
     breaks = (F.col("gap_newlines") > 0) & F.when(
@@ -184,22 +198,24 @@ def with_neighbours(rows: DataFrame) -> DataFrame:
     ).otherwise(True)
     rows = rows.withColumns({"breaks": breaks, "comments": _comments()})
     rows = rows.drop("gap_newlines", "gap_col", "note")
-    # One column per fact and not one struct per token: generated code stays small.
-    wanted = [
-        ("p1", -1, ["tok", "kind", "word", "breaks", "line", "col", "byte_off", "tok_newlines"]),
-        ("p2", -2, ["kind", "word"]),
-        ("p3", -3, ["tok", "kind", "word", "line", "col"]),
-        ("n1", 1, ["tok", "kind", "word", "breaks", "line", "col", "byte_off", "comments"]),
-        ("n2", 2, ["kind", "word", "breaks"]),
-    ]
-    return rows.withColumns(
+    return _shifted(
+        rows,
         {
-            f"{name}_{fact}": (
-                F.lag(fact, -offset) if offset < 0 else F.lead(fact, offset)
-            ).over(_order())
-            for name, offset, facts in wanted
-            for fact in facts
-        }
+            "p1": (-1, ["tok", "kind", "word", "breaks", "line", "col", "byte_off", "tok_newlines"]),
+            "p2": (-2, ["kind", "word"]),
+            "p3": (-3, ["tok", "kind", "word", "line", "col"]),
+        },
+    )
+
+
+def with_next(rows: DataFrame) -> DataFrame:
+    """Add the tokens n1 and n2 after each token."""
+    return _shifted(
+        rows,
+        {
+            "n1": (1, ["tok", "kind", "word", "breaks", "line", "col", "byte_off", "comments"]),
+            "n2": (2, ["kind", "word", "breaks"]),
+        },
     )
 
 

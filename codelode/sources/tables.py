@@ -38,7 +38,9 @@ def text_assignments(rows: DataFrame, path: str, text: str) -> DataFrame:
     that have a match.
     """
     pattern = lx.TEXT_ASSIGNMENT
-    found = rows.filter(F.col(text).rlike(pattern)).select(
+    # Two cheap tests first: the full pattern is tried at every letter of a text.
+    likely = F.col(text).contains("=") & F.col(text).rlike(r'=\s*"[^"\n]*"')
+    found = rows.filter(likely).select(
         F.col(path).alias("path"),
         F.posexplode(
             F.arrays_zip(
