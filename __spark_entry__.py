@@ -33,6 +33,12 @@ from codelode.sources.corpus import altered_corpus, corpus
 from codelode.sources.shared import shared_folder
 from codelode.streaming.incremental import read_findings, scan_stream
 
+try:
+    import corpus_pipeline
+    from codelode.llm import registry as llm
+except ImportError:  # the library works without that subpackage
+    corpus_pipeline = llm = None
+
 _NUMBERED = [FINDING_COLUMNS[5], "finding_no", *(c for c in FINDING_COLUMNS if c != "source_file_path")]
 
 
@@ -246,6 +252,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "code_context": code_context,
         "finding_blocks": finding_blocks,
         "incremental_findings": incremental_findings,
+        **({"pipeline": corpus_pipeline.run, **llm.queries()} if llm else {}),
     }
 
 
@@ -338,4 +345,5 @@ SELECT doc_id,
        CAST(strlen(regexp_extract(before, '[^\n]*$')) + 1 AS INTEGER) AS col, variable, value
 FROM named WHERE lower(variable) IN ({names}) AND length(value) >= 6""",
         **corpus_oracle.statements(),
+        **(llm.oracle_sql() if llm else {}),
     }
