@@ -1,35 +1,136 @@
-"""The queries of this subpackage and, where SQL can express them, their DuckDB statements."""
+"""The queries of this subpackage and, where SQL can express them, their DuckDB statements.
+
+Tokenizer files must lie at the same path on every node. The key of the surrogates is a parameter of
+the operator; the one used here stands for a secret.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codelode.llm import language, quality, token_counts
+from codelode.llm import (
+    fingerprints,
+    language,
+    mixing,
+    near_duplicates,
+    quality,
+    repeats,
+    sentence_pieces,
+    surrogates,
+    token_counts,
+    token_files,
+)
 from codelode.llm.common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+SURROGATE_KEY = "codelode-demonstration-key"
+
+#: The hot source is held down, four others are raised, and the rest share what is left.
+MIXTURE = mixing.Mixture({"src0": 0.10, "src1": 0.10, "src2": 0.10, "src3": 0.10, "src4": 0.20}, others=0.40)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(documents(spark, sf_dir))
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(documents(spark, sf_dir), MIXTURE)
+
+
+def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    back = sentence_pieces.decoded(sentence_pieces.encoded(docs, PIECES), PIECES)
+    return back.select(
+        "doc_id", "n_pieces", "piece_ids", "decoded", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip")
+    )
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), BYTE_BPE)
 
 
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replaced(documents(spark, sf_dir), SURROGATE_KEY)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.written_and_read(documents(spark, sf_dir), BYTE_BPE)
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprinted(documents(spark, sf_dir))
+
+
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(documents(spark, sf_dir))
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.components(documents(spark, sf_dir), width=4)
+
+
 def queries() -> dict:
     return {
-        "op1_quality_rules": op1_quality_rules,
-        "op4_token_counts": op4_token_counts,
-        "op6_language_id": op6_language_id,
-    }
+        f.__name__: f
+        for f in (
+            op1_quality_rules, op2_source_mixing, op3_sentence_pieces, op4_token_counts, op5_surrogates,
+            op6_language_id, op7_token_files, op8_fingerprints, op9_repeats, op10_near_duplicates,
+        )
+    }
+
+
+def _uniform(purpose: str, *parts: str) -> str:
+    keyed = " || '|' || ".join((f"'{MIXTURE.seed}|{purpose}'", *parts))
+    return f"CAST(('0x' || substr(md5({keyed}), 1, 13)) AS BIGINT) / 4503599627370496.0"
+
+
+def _mixing_statement() -> str:
+    """Poisson quantiles by cumulated probabilities, as a table of its own."""
+    names = ", ".join(f"'{name}'" for name in sorted(MIXTURE.weights))
+    weight = " ".join(f"WHEN '{name}' THEN {value!r}" for name, value in sorted(MIXTURE.weights.items()))
+    return f"""
+WITH counted AS (
+  SELECT CASE WHEN source IN ({names}) THEN source END AS bucket, count(*) AS n FROM documents GROUP BY 1
+),
+weighted AS (
+  SELECT bucket, n, CAST(CASE bucket {weight} ELSE {MIXTURE.others!r} END AS DOUBLE) AS weight FROM counted
+),
+rated AS (
+  SELECT bucket, weight / (SELECT sum(weight) FROM weighted) * (SELECT CAST(sum(n) AS BIGINT) FROM weighted)
+    * CAST({MIXTURE.size!r} AS DOUBLE) / n AS rate
+  FROM weighted
+),
+numbers AS (
+  SELECT bucket, rate, unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 30) AS BIGINT) + 1)) AS k FROM rated
+),
+cumulated AS (
+  SELECT bucket, rate, sum(exp(k * ln(rate) - rate - lgamma(CAST(k + 1 AS DOUBLE)))) OVER (PARTITION BY bucket ORDER BY k) AS c
+  FROM numbers
+),
+drawn AS (
+  SELECT doc_id, text, lang, source, n_chars, CASE WHEN source IN ({names}) THEN source END AS bucket,
+         {_uniform("copies", "doc_id")} AS u
+  FROM documents
+),
+counts AS (
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, any_value(c.rate) AS rate,
+         CAST(count(*) FILTER (WHERE c.c <= d.u) AS INTEGER) AS copies
+  FROM drawn d JOIN cumulated c ON d.bucket IS NOT DISTINCT FROM c.bucket
+  GROUP BY d.doc_id, d.text, d.lang, d.source, d.n_chars
+),
+copied AS (
+  SELECT *, CAST(unnest(range(1, copies + 1)) AS INTEGER) AS copy FROM counts
+)
+SELECT doc_id, text, lang, source, n_chars, copy, copies, rate, {_uniform("place", "doc_id", "copy")} AS place
+FROM copied"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_source_mixing": _mixing_statement()}
