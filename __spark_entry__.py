@@ -18,7 +18,7 @@ from codelode.functions.expressions import display_name
 from codelode.operators import extract, health
 from codelode.operators.tokens import tokens
 from codelode.plans import report
-from codelode.plans.findings import numbered, ordered, scan, settled
+from codelode.plans.findings import numbered, ordered, ranked, scan, settled, write
 from codelode.plans.rules import (
     COMMAND_INJECTION,
     FINDING_COLUMNS,
@@ -226,6 +226,33 @@ def incremental_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_findings(spark, f"{folder}/findings").select(*FINDING_COLUMNS)
 
 
+def findings_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(_scan(spark, sf_dir)).select("rank", *FINDING_COLUMNS)
+
+
+def findings_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written twice, as a job that is repeated does, and read back."""
+    folder = shared_folder(spark, "sink")
+    found = settled(_scan(spark, sf_dir))
+    for _ in range(2):
+        write(found, folder, "1")
+    write(found.filter(F.col("severity") == "CRITICAL"), folder, "2")
+    return spark.read.parquet(folder).select("run", *FINDING_COLUMNS)
+
+
+def no_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scripts of the pages have none."""
+    return report.severity_summary(scan(tables.page_scripts(spark, sf_dir)))
+
+
+def rules_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = RuleSet().table(spark)
+    detected = report.rules_detected(_scan(spark, sf_dir)).withColumnRenamed("vulnerability_rule_id", "rule_id")
+    return rules.join(detected, "rule_id", "left").select(
+        "rule_ordinal", "rule_id", "name", "recommendation", "severity", "n_findings", "n_files"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "sources_pages": sources_pages,
@@ -252,6 +279,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "code_context": code_context,
         "finding_blocks": finding_blocks,
         "incremental_findings": incremental_findings,
+        "findings_rank": findings_rank,
+        "findings_sink": findings_sink,
+        "no_findings": no_findings,
+        "rules_overview": rules_overview,
         **({"pipeline": corpus_pipeline.run, **llm.queries()} if llm else {}),
     }
 
@@ -344,6 +375,10 @@ SELECT doc_id,
        CAST(length(before) - length(replace(before, chr(10), '')) + 1 AS INTEGER) AS line,
        CAST(strlen(regexp_extract(before, '[^\n]*$')) + 1 AS INTEGER) AS col, variable, value
 FROM named WHERE lower(variable) IN ({names}) AND length(value) >= 6""",
+        "no_findings": """
+SELECT CAST(k AS INTEGER) AS rank, s AS severity, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS total,
+       rpad(s, 8, ' ') || ' : 0' AS line, 'No vulnerabilities detected.' AS heading
+FROM (VALUES (1, 'LOW'), (2, 'MEDIUM'), (3, 'HIGH'), (4, 'CRITICAL')) AS v(k, s)""",
         **corpus_oracle.statements(),
         **(llm.oracle_sql() if llm else {}),
     }

@@ -23,16 +23,6 @@ def strip_quotes(text: Column) -> Column:
     ).otherwise(text)
 
 
-def has_arguments(arguments: Column) -> Column:
-    """X-03."""
-    return F.size(arguments) > 0
-
-
-def all_strings(arguments: Column) -> Column:
-    """X-04, A-04."""
-    return F.forall(arguments, lambda a: a["kind"] == "STRING")
-
-
 def unsafe_function_message(qualifier: Column, name: Column) -> Column:
     """X-06."""
     return F.concat(F.lit("Unsafe function '"), display_name(qualifier, name), F.lit("' detected."))

@@ -13,6 +13,8 @@ long string or comment cannot overflow the stack, and no input makes it backtrac
 
 from __future__ import annotations
 
+from itertools import chain
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ _TEMPLATE = (
 )
 # A slash starts a regex literal when no value can end right before it.
 _REGEX_START = r"(?:(?<![\p{L}\p{N}_$)\]}\"'`<])|(?<=\breturn)|(?<=\btypeof)|(?<=\bcase))"
-_REGEX_BODY = r"/(?![*/])(?:[^/\\\[\n]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/[a-z]*+"
+REGEX_BODY = r"/(?![*/])(?:[^/\\\[\n]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/[a-z]*+"
 
 _NUMBER = r"\.?[0-9][\p{L}\p{N}_.]*+"
 _OPERATOR = (
@@ -44,15 +46,15 @@ _OPERATOR = (
 )
 _SLASH_OPERATOR = _OPERATOR.replace(r"|//", "")
 
-_PYTHON_GAP = r"\s++|" + _HASH_COMMENT + r"|\\\r?\n"
-_SLASH_GAP = r"\s++|" + _SLASH_COMMENT
+PYTHON_GAP = r"\s++|" + _HASH_COMMENT + r"|\\\r?\n"
+SLASH_GAP = r"\s++|" + _SLASH_COMMENT
 
 
 def _dotted(dot: str, member: str, blank: str = r"\s") -> str:
     return rf"{_IDENT}(?:{dot}{member})*+|{dot}(?:{blank})*+{member}(?:{dot}{member})*+"
 
 
-_PYTHON_CORE = "|".join(
+PYTHON_CORE = "|".join(
     [
         r"[rRbBuUfFtT]{0,2}(?:" + "|".join([_TRIPLE, _TRIPLE_SINGLE, _DOUBLE, _SINGLE]) + ")",
         _NUMBER,
@@ -61,7 +63,7 @@ _PYTHON_CORE = "|".join(
     ]
 )
 _JAVA_CORE = "|".join([_TRIPLE, _DOUBLE, _SINGLE, _NUMBER, _dotted(r"\.", _IDENT), _SLASH_OPERATOR])
-_JAVASCRIPT_CORE = "|".join(
+JAVASCRIPT_CORE = "|".join(
     [
         _DOUBLE,
         _SINGLE,
@@ -78,10 +80,10 @@ def _element(gap: str, core: str) -> str:
     return f"(?:{gap})*+(?:{core})|(?:{gap})++"
 
 
-PYTHON_ELEMENT = _element(_PYTHON_GAP, _PYTHON_CORE)
-JAVA_ELEMENT = _element(_SLASH_GAP, _JAVA_CORE)
+PYTHON_ELEMENT = _element(PYTHON_GAP, PYTHON_CORE)
+JAVA_ELEMENT = _element(SLASH_GAP, _JAVA_CORE)
 JAVASCRIPT_ELEMENT = (
-    f"{_REGEX_START}(?:{_SLASH_GAP})*+{_REGEX_BODY}|" + _element(_SLASH_GAP, _JAVASCRIPT_CORE)
+    f"{_REGEX_START}(?:{SLASH_GAP})*+{REGEX_BODY}|" + _element(SLASH_GAP, JAVASCRIPT_CORE)
 )
 
 # Text mode: name = "value" in running text, where quotes and apostrophes are not balanced.
@@ -146,7 +148,7 @@ _WORDS = sorted(
     }
 )
 _WORD_NUMBER = {word: number for number, word in enumerate(_WORDS, start=1)}
-_LONGEST_WORD = 12
+_LONGEST_WORD = max(map(len, (*_WORDS, *chain(*KEYWORDS.values()), *chain(*VALUE_WORDS.values()))))
 
 
 def word(text: str) -> int:
@@ -183,8 +185,8 @@ def without_gap(language: Column, element: Column) -> Column:
         return (code > 32) & ~code.isin(35, 47, 92)
 
     trimmed = F.ltrim(element, F.lit(" \t\n\r\f\x0b"))
-    python = F.regexp_replace(element, rf"^(?:{_PYTHON_GAP})++", "")
-    slash = F.regexp_replace(element, rf"^(?:{_SLASH_GAP})++", "")
+    python = F.regexp_replace(element, rf"^(?:{PYTHON_GAP})++", "")
+    slash = F.regexp_replace(element, rf"^(?:{SLASH_GAP})++", "")
     return (
         F.when(is_plain(F.ascii(element)), element)
         .when(
@@ -229,7 +231,9 @@ def is_complete_string(language: Column, token: Column) -> Column:
             r"`[\s\S]*`",
         ]
     ) + ")$"
-    return token.rlike(whole)
+    # Code in a formatted string may hold its quotes again.
+    formatted = r"""^(?:[rR]?[fFtT][rR]?)("{3}|'{3}|"|')[\s\S]*\1$"""
+    return token.rlike(whole) | ((language == PYTHON) & (F.length(token) > 2) & token.rlike(formatted))
 
 
 # Token kinds. The order lets groups of kinds be told by one comparison.

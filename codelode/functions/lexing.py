@@ -1,0 +1,248 @@
+"""Units that a pattern alone can't split: brackets decide where their literals begin and end.
+
+In JavaScript a slash begins a regular expression or divides, by what the bracket before it belongs to,
+and templates hold code that holds templates. Python's f-strings hold code with quotes of its own.
+`needs_brackets` finds the units that have such places; all others are split by pattern in the JVM.
+
+A literal that isn't closed is one token of its first character, so that it can't hide what follows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from functools import cache
+
+import pyarrow as pa
+import regex
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from codelode.catalog import JAVASCRIPT, PYTHON
+from codelode.functions import lexical as lx
+
+#: Code in literals may hold literals to that depth; deeper ones count as not closed.
+DEEPEST = 100
+
+# A span of code in a literal: its first and last place in the unit.
+Span = tuple[int, int]
+
+
+def needs_brackets(language: Column, content: Column) -> Column:
+    javascript = content.contains("`") | content.rlike(r"[)}]\s*+/(?![/*])")
+    python = content.contains("{") & content.rlike(r"(?<![\p{L}\p{N}_$])(?:[fFtT][rR]?|[rR][fFtT])[\"']")
+    return F.when(language == JAVASCRIPT, javascript).when(language == PYTHON, python).otherwise(False)
+
+
+@cache
+def _compiled(pattern: str) -> regex.Pattern:
+    return regex.compile(pattern)
+
+
+_CONDITIONS = {"if", "while", "for", "with"}
+_BLOCKS = {None, ")", ";", "{", "}", "=>", "else", "do", "try", "finally"}
+_KEYWORDS = set(lx.KEYWORDS[JAVASCRIPT])
+
+
+class _JavaScript:
+    """Tokens of JavaScript from a place on."""
+
+    def __init__(self, text: str, spans: list[Span]) -> None:
+        self.text, self.spans = text, spans
+        self.gap, self.core = _compiled(f"(?:{lx.SLASH_GAP})*+"), _compiled(lx.JAVASCRIPT_CORE)
+        self.regex = _compiled(lx.REGEX_BODY)
+
+    def tokens(self, at: int, closing: bool, depth: int) -> Iterator[Span]:
+        """Tokens up to the end of the text, or up to a `}` that nothing before it has opened."""
+        text, before, opened = self.text, None, []
+        value, after_class = False, False
+        while (start := self.gap.match(text, at).end()) < len(text):
+            first, end = text[start], None
+            if first == "`":
+                end = self.template(start, depth) or start + 1
+            elif first == "/" and not value and (found := self.regex.match(text, start)):
+                end = found.end()
+            if end is None:
+                end = self.core.match(text, start).end()
+            token = text[start:end]
+            if closing and token == "}" and not opened:
+                return
+            yield start, end
+            last = token[-1]
+            if last in "([{" and len(token) <= 3:
+                block = before in _BLOCKS or after_class or (before not in _KEYWORDS and value and last == "{")
+                opened.append((token if last != "(" else before in _CONDITIONS, block))
+                value, after_class = False, False
+            elif token in (")", "]", "}"):
+                condition, block = opened.pop() if opened else (False, False)
+                value = not (condition is True if token == ")" else block) if token != "]" else True
+            elif lx_is_word(first):
+                after_class = token in ("class", "extends") or (after_class and token not in _KEYWORDS)
+                value = token not in _KEYWORDS
+            else:
+                value = first in "\"'`.0123456789?#" and len(token) > 1 or first == "`" or first.isdigit()
+                value = value or (first == "/" and len(token) > 2) or token in ("++", "--")
+                if token in ("...", "?", "??", "?.", "??="):
+                    value = False
+            before = token
+            at = end
+
+    def template(self, start: int, depth: int) -> int | None:
+        """The end of the template that begins here, or None."""
+        text, at, found = self.text, start + 1, []
+        if depth >= DEEPEST:
+            return None
+        while at < len(text):
+            char = text[at]
+            if char == "\\":
+                at += 2
+            elif char == "`":
+                self.spans += found
+                return at + 1
+            elif text.startswith("${", at):
+                last, held = at + 2, len(self.spans)
+                for _, last in self.tokens(at + 2, True, depth + 1):
+                    pass
+                last = self.gap.match(text, last).end()
+                if not text.startswith("}", last):
+                    del self.spans[held:]
+                    return None
+                found.append((at + 2, last))
+                at = last + 1
+            else:
+                at += 1
+        return None
+
+
+def lx_is_word(char: str) -> bool:
+    return char.isalpha() or char in "_$"
+
+
+class _Python:
+    """Tokens of Python."""
+
+    def __init__(self, text: str, spans: list[Span]) -> None:
+        self.text, self.spans = text, spans
+        self.gap, self.core = _compiled(f"(?:{lx.PYTHON_GAP})*+"), _compiled(lx.PYTHON_CORE)
+        self.quote = _compiled(r"([rR]?[fFtT][rR]?)(\"{3}|'{3}|\"|')")
+
+    def token_end(self, start: int, depth: int) -> int:
+        found = self.quote.match(self.text, start)
+        end = self.formatted(found, depth) if found else None
+        return end or self.core.match(self.text, start).end()
+
+    def tokens(self) -> Iterator[Span]:
+        at = 0
+        while (start := self.gap.match(self.text, at).end()) < len(self.text):
+            at = self.token_end(start, 0)
+            yield start, at
+
+    def formatted(self, found: regex.Match, depth: int) -> int | None:
+        """The end of a formatted string, or None if it isn't closed or its code isn't."""
+        text, quote, at = self.text, found[2], found.end()
+        held = len(self.spans)
+        while at < len(text) and depth < DEEPEST:
+            if text.startswith(quote, at):
+                return at + len(quote)
+            char = text[at]
+            if char == "\n" and len(quote) == 1:
+                break
+            if char == "\\" and not text.startswith(("{", "}"), at + 1):
+                at += 2
+            elif text.startswith(("{{", "}}"), at):
+                at += 2
+            elif char == "{":
+                end = self.field(at + 1, depth + 1)
+                if end is None:
+                    break
+                at = end
+            else:
+                at += 1
+        del self.spans[held:]
+        return None
+
+    def field(self, start: int, depth: int) -> int | None:
+        """The end of a replacement field behind its `{`; notes its code and that of its format."""
+        text, at, opened, code_end = self.text, start, 0, None
+        while at < len(text):
+            char = text[at]
+            if code_end is not None:  # the format, which may hold fields of its own
+                if char == "}":
+                    self.spans.append((start, code_end))
+                    return at + 1
+                if char == "{":
+                    at = self.field(at + 1, depth + 1) if depth < DEEPEST else None
+                    if at is None:
+                        return None
+                    continue
+                if char in "\n\"'":
+                    return None
+                at += 1
+                continue
+            if opened == 0 and char == "}":
+                self.spans.append((start, at))
+                return at + 1
+            if opened == 0 and (char == ":" or (char == "!" and not text.startswith("!=", at))):
+                code_end = at
+                at += 1
+                continue
+            code = self.gap.match(text, at).end()
+            if code > at:
+                at = code
+                continue
+            end = self.token_end(at, depth)
+            token = text[at:end]
+            if token[0] in "\"'" and not (len(token) > 1 and token[-1] == token[0]):
+                return None
+            opened += 1 if token in ("(", "[", "{") else -1 if token in (")", "]", "}") else 0
+            at = end
+        return None
+
+
+def split(language: str, text: str) -> tuple[list[str], list[Span]]:
+    """The elements of a unit, and the spans of code inside its literals."""
+    spans: list[Span] = []
+    tokens = _JavaScript(text, spans).tokens(0, False, 0) if language == JAVASCRIPT else _Python(text, spans).tokens()
+    elements, at = [], 0
+    for _, end in tokens:
+        elements.append(text[at:end])
+        at = end
+    if at < len(text):
+        elements.append(text[at:])
+    return elements, sorted(set(spans))
+
+
+def _inner(language: str, text: str) -> list[dict]:
+    """Code inside literals with its place: line, column in bytes and offset in bytes."""
+    found, at, line, offset, column = [], 0, 1, 0, 0
+    for start, end in split(language, text)[1]:
+        if not text[start:end].strip():
+            continue
+        passed = text[at:start]
+        breaks = passed.count("\n")
+        size = len(passed.encode("utf-8", "replace"))
+        line, offset = line + breaks, offset + size
+        column = len(passed.rpartition("\n")[2].encode("utf-8", "replace")) + (0 if breaks else column)
+        at = start
+        found.append({"line": line, "col": column + 1, "off": offset, "content": text[start:end]})
+    return found
+
+
+def _of_units(function: Callable[[str, str], list], kind: pa.DataType, schema: str, language: Column, content: Column) -> Column:
+    def of(languages: pa.Array, contents: pa.Array) -> pa.Array:
+        pairs = zip(languages.to_pylist(), contents.to_pylist(), strict=True)
+        return pa.array([None if text is None else function(name, text) for name, text in pairs], kind)
+
+    # Other units are not sent to Python.
+    return F.arrow_udf(of, schema)(language, F.when(needs_brackets(language, content), content))
+
+
+def bracketed_elements(language: Column, content: Column) -> Column:
+    """Elements as `lexical.elements` gives them, of the units that need brackets; null for others."""
+    return _of_units(lambda name, text: split(name, text)[0], pa.list_(pa.string()), "array<string>", language, content)
+
+
+def inner_code(language: Column, content: Column) -> Column:
+    """Code inside the literals of a unit, at any depth, with its place; null if there can be none."""
+    schema = "array<struct<line: int, col: int, off: long, content: string>>"
+    kind = pa.list_(pa.struct([("line", pa.int32()), ("col", pa.int32()), ("off", pa.int64()), ("content", pa.string())]))
+    return _of_units(_inner, kind, schema, language, content)

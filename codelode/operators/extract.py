@@ -5,7 +5,8 @@ One pass over the tokens gives one table of items, each an assignment or a call.
 
 Known limits, all from working on tokens and not on a syntax tree:
 
-* calls inside f-strings and `${...}` are not seen, as the whole literal is one token;
+* code inside f-strings and `${...}` is read as a piece of its own, so that an assignment in it is found
+  as in a statement of its own;
 * a callee that is not a chain of names (`f()(x)`, `a[0](x)`) gives no call, as it cannot match
   a rule;
 * a comma inside Java generics in an argument splits the argument in two;
@@ -38,7 +39,11 @@ from codelode.operators.structure import (
 from codelode.operators.tokens import (
     after_last_newline,
     by_path,
+    in_unit,
+    piece_bounds,
     positioned,
+    text_of_unit,
+    with_inner_code,
     with_next,
     with_previous,
     with_statement,
@@ -182,13 +187,26 @@ def _item_columns() -> list[Column]:
     ]
 
 
+def placed(found: DataFrame) -> DataFrame:
+    """Rows of pieces as rows of the units that hold them; `off` is the byte that orders them."""
+    line, col, off = in_unit(F.col("line"), F.col("col"), F.coalesce("chain_off", F.col("pos").cast("bigint")))
+    return found.withColumns({"line": line, "col": col, "off": off})
+
+
+def _placed_expression(x: Column) -> Column:
+    line, col, _ = in_unit(x["line"], x["col"], x["line"])
+    return F.struct(x["kind"].alias("kind"), x["text"].alias("text"), line.alias("line"), col.alias("col"))
+
+
 def items(units: DataFrame) -> DataFrame:
-    """Assignments and calls of all units, one row each.
+    """Assignments and calls of all units and of the pieces of code in their literals, one row each.
+
+    Places are those in the piece; `placed` turns them into places in the unit.
 
     `n_args` and `n_strings` count the arguments of a call. They are differences of running sums
     between the brackets of the call, so no grouping and no further sort is needed.
     """
-    level = Window.partitionBy("path", "lvl").orderBy("pos")
+    level = Window.partitionBy("path", "piece", "lvl").orderBy("pos")
     before = level.rowsBetween(Window.unboundedPreceding, -1)
     n_args, n_strings = _segment_counts()
     in_call, is_closer = F.col("in_call"), F.col("kind") == lx.CLOSE
@@ -205,7 +223,7 @@ def items(units: DataFrame) -> DataFrame:
         "sums_here", F.when(is_closer, F.struct("args_before", "strings_before"))
     )
     sums = F.expr(
-        "lead(sums_here, 1) IGNORE NULLS OVER (PARTITION BY path, lvl ORDER BY pos)"
+        "lead(sums_here, 1) IGNORE NULLS OVER (PARTITION BY path, piece, lvl ORDER BY pos)"
     )
     rows = (
         rows.withColumn("sums", sums)
@@ -215,6 +233,7 @@ def items(units: DataFrame) -> DataFrame:
     )
     return rows.select(
         "path",
+        "piece",
         "language",
         "pos",
         *_item_columns(),
@@ -231,7 +250,7 @@ def _calls_with_arguments(units: DataFrame) -> DataFrame:
     rows = _parts(units).filter("in_call").withColumn("call", _call())
     part = F.struct("pos", _segment().alias("segment"))
     return (
-        rows.groupBy("path", "language", F.col("opener.pos").alias("item_pos"))
+        rows.groupBy("path", "piece", "language", F.col("opener.pos").alias("item_pos"))
         .agg(
             F.first("call", ignorenulls=True).alias("call"),
             F.flatten(
@@ -239,13 +258,14 @@ def _calls_with_arguments(units: DataFrame) -> DataFrame:
             ).alias("arguments"),
         )
         .filter(F.col("call").isNotNull())
-        .select("path", "language", F.col("item_pos").alias("pos"), "call.*", "arguments")
+        .select("path", "piece", "language", F.col("item_pos").alias("pos"), "call.*", "arguments")
     )
 
 
 def _slice(content: Column, begin: Column, end: Column) -> Column:
-    """E-02: bytes of the unit from `begin` to `end` as text."""
-    return F.substring(content, (begin + 1).cast("int"), (end - begin).cast("int")).cast("string")
+    """E-02: bytes of the unit from `begin` to `end`, counted in the piece, as text."""
+    start, _ = piece_bounds()
+    return F.substring(content, (start + begin + 1).cast("int"), (end - begin).cast("int")).cast("string")
 
 
 def _chain_qualifier(language: Column, text: Column) -> Column:
@@ -299,11 +319,13 @@ def _with_bytes(found: DataFrame, units: DataFrame, needed: Column) -> DataFrame
 
     The rows are partitioned by `path` already and the units come from the same exchange, so the
     join adds no shuffle. It looks at the language too, which makes both readers of the exchange
-    ask for the same columns; otherwise the text would be shuffled once for each.
+    ask for the same columns; otherwise the text would be shuffled once for each. For the same reason
+    the units are told from their pieces by an expression that stays above the exchange.
     """
-    texts = by_path(units).select(
+    whole = F.when(F.spark_partition_id() >= 0, F.col("piece")) == ""
+    texts = by_path(units).filter(whole).select(
         F.col("path").alias("unit_path"),
-        F.when(F.col("language").isNotNull(), F.col("content").cast("binary")).alias("unit_bytes"),
+        F.when(F.col("language").isNotNull(), text_of_unit().cast("binary")).alias("unit_bytes"),
     )
     same = (F.col("path") == F.col("unit_path")) & F.col("needs_bytes")
     return (
@@ -334,20 +356,20 @@ def with_qualifier(found: DataFrame, units: DataFrame, only: Column) -> DataFram
 
 def assignments(units: DataFrame) -> DataFrame:
     """Assignments to plain variables (E-03 to E-06), one row each, in the order of the source."""
-    rows = items(units).filter(F.col("item") == ASSIGNMENT)
+    units = with_inner_code(units)
+    rows = placed(items(units).filter(F.col("item") == ASSIGNMENT))
+    # Numbered before the text joins, so that no sort carries the text of a unit.
+    order = Window.partitionBy("path").orderBy("line", "col", "pos")
+    rows = rows.withColumn("ordinal", F.row_number().over(order))
     rows = _with_bytes(rows, units, F.col("value.text").isNull())
     value = F.col("value")
-    to_end = F.coalesce(value["end"], F.octet_length("unit_bytes").cast("bigint"))
+    start, end = piece_bounds()
+    to_end = F.coalesce(value["end"], (F.coalesce(end, F.octet_length("unit_bytes")) - start).cast("bigint"))
     text = F.coalesce(value["text"], F.rtrim(_slice(F.col("unit_bytes"), value["begin"], to_end)))
-    order = Window.partitionBy("path").orderBy("line", "col", "pos")
-    return rows.withColumn("ordinal", F.row_number().over(order)).select(
-        "path",
-        "language",
-        "ordinal",
-        "line",
-        "col",
-        F.col("name").alias("variable"),
-        F.struct(value["kind"].alias("kind"), text.alias("text"), value["line"].alias("line"), value["col"].alias("col")).alias("value"),
+    found = F.struct(value["kind"].alias("kind"), text.alias("text"), value["line"].alias("line"), value["col"].alias("col"))
+    return rows.select(
+        "path", "language", "ordinal", "line", "col", F.col("name").alias("variable"),
+        _placed_expression(found).alias("value"),
     )
 
 
@@ -357,7 +379,9 @@ def calls(units: DataFrame) -> DataFrame:
     A call comes before the calls in its arguments. The argument array of a call can be no longer
     than the text of the unit that holds it.
     """
-    rows = _calls_with_arguments(units)
+    units = with_inner_code(units)
+    order = Window.partitionBy("path").orderBy("off", "piece", "pos")
+    rows = placed(_calls_with_arguments(units)).withColumn("ordinal", F.row_number().over(order))
     needed = F.col("member_off").isNotNull() | F.exists("arguments", lambda a: a["text"].isNull())
     rows = _with_bytes(rows, units, needed)
     arguments = F.transform(
@@ -369,12 +393,9 @@ def calls(units: DataFrame) -> DataFrame:
             a["col"].alias("col"),
         ),
     )
-    order = Window.partitionBy("path").orderBy("chain_off", "pos")
-    return rows.withColumns(
-        {"ordinal": F.row_number().over(order), "qualifier": _qualifier()}
-    ).select(
-        "path", "language", "ordinal", "line", "col", "qualifier",
-        F.col("name").alias("function_name"), arguments.alias("arguments"),
+    return rows.withColumn("qualifier", _qualifier()).select(
+        "path", "language", "ordinal", "line", "col", "qualifier", F.col("name").alias("function_name"),
+        F.transform(arguments, _placed_expression).alias("arguments"),
     )
 
 

@@ -148,7 +148,6 @@ def with_assigned(rows: DataFrame) -> DataFrame:
     in_statement = (
         (first_equals & (pos == line_first["pos"] + 1))
         | (~first_equals & (last_equals == pos - 2))
-        | (_is("p2", ":") & line_first["word"].isin(lx.words(*lx.PYTHON_COMPOUND)))
     )
     # int a[] = ...
     array_name = yes(_is("p1", "]") & _is("p2", "[") & (_kind("p3") == lx.NAME))
@@ -305,6 +304,7 @@ def _marks(rows: DataFrame) -> DataFrame:
     part = ~kind.isin(lx.EQUALS, lx.COMPOUND)
     return rows.select(
         "path",
+        "piece",
         "language",
         "lvl",
         "pos",
@@ -336,11 +336,11 @@ def structure(rows: DataFrame) -> DataFrame:
 
     def following(column: str) -> Column:
         return F.expr(
-            f"lead({column}, 1) IGNORE NULLS OVER (PARTITION BY path, lvl ORDER BY pos)"
+            f"lead({column}, 1) IGNORE NULLS OVER (PARTITION BY path, piece, lvl ORDER BY pos)"
         )
 
     upto = (
-        Window.partitionBy("path", "lvl")
+        Window.partitionBy("path", "piece", "lvl")
         .orderBy("pos")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from codelode.catalog import PYTHON
 from codelode.functions import lexical as lx
+from codelode.functions import lexing
 
 
 def by_path(units: DataFrame) -> DataFrame:
@@ -31,7 +32,62 @@ def by_path(units: DataFrame) -> DataFrame:
     forty bytes of token rows behind the exchange. Set it to about one per 16 MB of source text.
     """
     n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return units.select("path", "language", "content").repartition(n, "path")
+    # An empty string, but no literal: the windows must keep the column they are partitioned by.
+    none = F.substring("path", 1, 0).alias("piece")
+    piece = F.col("piece") if "piece" in units.columns else none
+    # Units that only Python can split cross the exchange as elements in place of their text: behind
+    # a Python function Spark would no longer know the partitioning.
+    split = lexing.bracketed_elements(F.col("language"), F.col("content"))
+    return (
+        units.select("path", piece, "language", "content", split.alias("elements"))
+        .withColumn("content", F.when(F.col("elements").isNull(), F.col("content")))
+        .repartition(n, "path")
+    )
+
+
+def text_of_unit() -> Column:
+    """The text of a unit behind the exchange."""
+    return F.coalesce(F.col("content"), F.array_join("elements", ""))
+
+
+def with_inner_code(units: DataFrame) -> DataFrame:
+    """The units, and the code inside their formatted strings and templates as pieces of their own.
+
+    The literal itself stays one token of the unit around it. `piece` holds the line, column and byte
+    at which the code begins, and its size in bytes; it is empty for the unit itself.
+    """
+    language, content = F.col("language"), F.col("content")
+    inner = (
+        units.filter(lexing.needs_brackets(language, content))
+        .select("path", "language", F.explode(lexing.inner_code(language, content)).alias("code"))
+        .select(
+            "path", "language", "code.content",
+            F.concat_ws(":", "code.line", "code.col", "code.off", F.octet_length("code.content")).alias("piece"),
+        )
+    )
+    return units.select("path", "language", "content", F.lit("").alias("piece")).unionByName(inner)
+
+
+def _of_piece(number: int) -> Column:
+    return F.element_at(F.split("piece", ":"), number).cast("int")
+
+
+def piece_bounds() -> tuple[Column, Column]:
+    """The byte of the unit at which a piece begins, and where it ends; null for the end of a unit itself."""
+    inside = F.col("piece") != ""
+    start = F.when(inside, _of_piece(3)).otherwise(0)
+    return start, F.when(inside, _of_piece(3) + _of_piece(4))
+
+
+def in_unit(line: Column, col: Column, off: Column) -> tuple[Column, Column, Column]:
+    """Line, column and byte in the unit of a place in a piece."""
+    inside = F.col("piece") != ""
+    first_line, first_col, first_off = (_of_piece(k) for k in (1, 2, 3))
+    return (
+        F.when(inside, first_line + line - 1).otherwise(line).cast("int"),
+        F.when(inside & (line == 1), first_col + col - 1).otherwise(col).cast("int"),
+        F.when(inside, first_off + off).otherwise(off),
+    )
 
 
 def newlines(text: Column) -> Column:
@@ -48,7 +104,7 @@ def after_last_newline(text: Column) -> Column:
 
 
 def _order() -> WindowSpec:
-    return Window.partitionBy("path").orderBy("pos")
+    return Window.partitionBy("path", "piece").orderBy("pos")
 
 
 def _upto() -> WindowSpec:
@@ -73,11 +129,14 @@ def positioned(units: DataFrame) -> DataFrame:
     # input that is in order already and only has to check it.
     rows = (
         by_path(units)
-        .sortWithinPartitions("path")
+        .sortWithinPartitions("path", "piece")
         .select(
             "path",
+            "piece",
             "language",
-            F.posexplode(lx.elements(language, F.col("content"))).alias("pos", "element"),
+            F.posexplode(
+                F.coalesce(F.col("elements"), lx.elements(language, F.col("content")))
+            ).alias("pos", "element"),
         )
         .withColumn("tok", lx.without_gap(language, F.col("element")))
         .transform(lx.with_kind)
@@ -140,7 +199,7 @@ def positioned(units: DataFrame) -> DataFrame:
         )
         .withColumn("gap_col", F.col("gap_off") - F.col("gap_start") + 1)
         .select(
-            "path", "language", "pos", "tok", "kind", "word", "line", "col", "char_off",
+            "path", "piece", "language", "pos", "tok", "kind", "word", "line", "col", "char_off",
             "byte_off", "depth", "gap_off", "gap_newlines", "gap_col", "note", "tok_newlines",
         )
     )
@@ -222,17 +281,30 @@ def with_next(rows: DataFrame) -> DataFrame:
 def with_statement(rows: DataFrame) -> DataFrame:
     """Add what the tokens before tell.
 
-    `line_first` is the first token of the logical line in Python, `last_colon` and `last_equals`
-    are the positions of those signs outside brackets. `opened_by` is the number of the last word
-    that can say what a `{` belongs to.
+    `line_first` is the first token of the statement in Python, which can begin behind the colon of
+    a compound one; `last_colon` and `last_equals` are the positions of those signs outside brackets.
+    `opened_by` is the number of the last word that can say what a `{` belongs to: brackets between
+    that word and the `{`, as in `class A extends mixin(B) {`, say nothing.
     """
     word = F.col("word")
     top = (F.col("depth") == 0) & (F.col("language") == PYTHON)
     starts_line = top & (
         F.col("breaks") | (F.col("pos") == 0) | (F.col("p1_word") == lx.word(";"))
     )
-    introduces = word.isin(lx.words("class", "interface", "enum", ";", "{", "}", "=>", "(", ")"))
+    # Not the name of a property or method: `class: 1`, `class() {`.
+    introduces = word.isin(lx.words("class", "interface", "enum", ";", "{", "}", "=>")) & ~(
+        (word == lx.word("class")) & F.coalesce(F.col("n1_word").isin(lx.words(":", "(")), F.lit(False))
+    )
     first = F.struct("pos", "tok", "kind", "word", "line", "col")
+    line_first = F.col("line_first")
+    # The first colon of a line that begins with a compound word, unless that word is a name: `match: int`.
+    compound = (
+        F.col("colon_pos").isNotNull()
+        & line_first["word"].isin(lx.words(*lx.PYTHON_COMPOUND))
+        & (F.col("last_colon").isNull() | (F.col("last_colon") < line_first["pos"]))
+        & ~((line_first["kind"] == lx.NAME) & (F.col("pos") == line_first["pos"] + 1))
+    )
+    starts = F.col("line_head").isNotNull() | (F.col("pos") == F.col("last_compound") + 1)
     return (
         rows.withColumns(
             {
@@ -250,5 +322,7 @@ def with_statement(rows: DataFrame) -> DataFrame:
                 "opened_by": F.last("introducer", ignorenulls=True).over(_before()),
             }
         )
-        .drop("line_head", "colon_pos", "equals_pos", "introducer")
+        .withColumn("last_compound", F.last(F.when(compound, F.col("pos")), ignorenulls=True).over(_before()))
+        .withColumn("line_first", F.last(F.when(starts, first), ignorenulls=True).over(_upto()))
+        .drop("line_head", "colon_pos", "equals_pos", "introducer", "last_compound")
     )

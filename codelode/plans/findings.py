@@ -36,6 +36,8 @@ def report_order() -> list[Column]:
         F.col("column_number"),
         F.col("rule_ordinal"),
         F.col("item_pos"),
+        # Findings of a function rule have one `item_pos`; what they say orders them.
+        *(F.col(name) for name in ("vulnerability_rule_id", "description", "severity", "recommendation")),
     ]
 
 
@@ -50,8 +52,31 @@ def numbered(findings: DataFrame) -> DataFrame:
     return findings.withColumn("finding_no", F.row_number().over(order))
 
 
-def write(findings: DataFrame, directory: str, file_format: str = "parquet") -> None:
-    """Append findings to a table partitioned by language."""
-    findings.select(*FINDING_COLUMNS).write.mode("append").partitionBy(
+def ranked(findings: DataFrame) -> DataFrame:
+    """Add `rank`, the place of each finding in the report of all files, from 1.
+
+    The findings are sorted by ranges and numbered in each range; only the sizes of the ranges, a row
+    for each, are added up in one place.
+    """
+    order = report_order()
+    placed = findings.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    folder = shared_folder(findings.sparkSession, "ranked")
+    placed.write.parquet(folder)
+    placed = findings.sparkSession.read.schema(placed.schema).parquet(folder)
+    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    before = sizes.select(
+        F.col("part").alias("of_part"), (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before")
+    )
+    number = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    numbered_parts = placed.withColumn("number", number).join(F.broadcast(before), F.col("part") == F.col("of_part"))
+    return numbered_parts.withColumn("rank", F.col("before") + F.col("number")).drop("part", "of_part", "before", "number")
+
+
+def write(findings: DataFrame, directory: str, run: str, file_format: str = "parquet") -> None:
+    """Write the findings of a run to a table partitioned by run and language.
+
+    A run that is repeated replaces its own findings and no others.
+    """
+    findings.select(*FINDING_COLUMNS).write.mode("overwrite").partitionBy(
         "programming_language"
-    ).format(file_format).save(directory)
+    ).format(file_format).save(f"{directory.rstrip('/')}/run={run}")

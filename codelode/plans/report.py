@@ -22,8 +22,8 @@ def severity_summary(findings: DataFrame) -> DataFrame:
     spark = findings.sparkSession
     counts = findings.groupBy("severity").agg(F.count("*").alias("n"))
     rows = (
-        F.broadcast(catalog.severities(spark))
-        .join(counts, "severity", "left")
+        catalog.severities(spark)
+        .join(F.broadcast(counts), "severity", "left")  # a row for each severity
         .withColumn("n", F.coalesce("n", F.lit(0)))
     )
     # A window over the four rows.
@@ -75,8 +75,8 @@ def rules_detected(findings: DataFrame) -> DataFrame:
 def code_context(findings: DataFrame, units: DataFrame) -> DataFrame:
     """P-01: up to five lines of code around each finding.
 
-    Findings ask for line numbers, so the join is on `(path, line)` alone. Lines are made only for
-    units that have findings, and the pair of keys spreads a long file over many tasks.
+    The line numbers that findings ask for are brought to the unit, which gives just these lines, so
+    no other line is shuffled. The pair of keys spreads the findings of a long file over many tasks.
     """
     asked = numbered(findings).select(
         "source_file_path",
@@ -84,16 +84,16 @@ def code_context(findings: DataFrame, units: DataFrame) -> DataFrame:
         F.col("line_number").alias("target"),
         F.explode(ex.context_range(F.col("line_number"))).alias("line"),
     )
-    with_findings = findings.select(F.col("source_file_path").alias("path")).distinct()
-    lines = (
-        units.select("path", "content")
-        .join(with_findings, "path", "left_semi")
-        .select(
-            F.col("path").alias("source_file_path"),
-            F.posexplode(ex.code_lines(F.col("content"))).alias("index", "text"),
-        )
-        .withColumn("line", F.col("index") + 1)
+    # No more numbers than the unit has lines.
+    wanted = asked.groupBy("source_file_path").agg(F.collect_set("line").alias("numbers"))
+    given = units.select("path", ex.code_lines(F.col("content")).alias("all")).join(
+        wanted, F.col("path") == F.col("source_file_path")
+    )
+    picked = F.transform(
+        F.filter("numbers", lambda n: n <= F.size("all")),
+        lambda n: F.struct(n.alias("line"), F.element_at("all", n).alias("text")),
     )
+    lines = given.select("source_file_path", F.inline(picked))
     is_target = F.col("line") == F.col("target")
     return asked.join(lines, ["source_file_path", "line"]).select(
         "source_file_path",

@@ -28,9 +28,6 @@ FINDING_COLUMNS = [part.strip().split(" ")[0] for part in FINDINGS.split(",")]
 # Columns that carry the report order besides path, line and column.
 ORDER_COLUMNS = ["rule_ordinal", "item_pos"]
 
-# Most terms that are joined by broadcast; a larger table is left to the join planner.
-BROADCAST_TERMS = 100_000
-
 
 @dataclass(frozen=True, eq=False)
 class TermRule:
@@ -61,7 +58,7 @@ class Context:
 
     @cached_property
     def items(self) -> DataFrame:
-        return extract.items(self.units)
+        return extract.placed(extract.items(extract.with_inner_code(self.units)))
 
     @cached_property
     def assignments(self) -> DataFrame:
@@ -193,23 +190,26 @@ class RuleSet:
 
 
 def candidate_units(units: DataFrame, rules: list[TermRule]) -> DataFrame:
-    """Units in whose text the names of at least one rule appear.
+    """Units in whose text the names of at least one rule appear as they must for a finding.
 
-    Every finding needs its name in the text, and a string value needs a quote, so leaving out
-    the other units changes no finding. It saves their shuffle and their tokens.
+    A called name is a whole identifier with a bracket behind it, an assigned one a whole identifier
+    with a sign of assignment, a type or an index behind it; only blanks, comments and line
+    continuations can stand between. Leaving out the other units changes no finding and saves their
+    shuffle and their tokens.
     """
     content = F.col("content")
+    gap = r"(?:\s|\\|#[^\n]*+|//[^\n]*+|/\*(?:[^*]|\*(?!/))*+(?:\*/)?)*+"
 
-    def names(rule: TermRule) -> str:
-        return "|".join(sorted({f"\\Q{name}\\E" for _, name in rule.terms}))
+    def pattern(rule: TermRule) -> str:
+        names = "|".join(sorted({f"\\Q{name}\\E" for _, name in rule.terms}))
+        follows = r"(?:\?\.\s*+)?\(" if rule.item == extract.CALL else r"[^\s\p{L}\p{N}.,;)(]"
+        fold = "(?iu)" if rule.fold_case else ""
+        return rf"{fold}(?<![\p{{L}}\p{{N}}_$])(?:{names})(?![\p{{L}}\p{{N}}_$]){gap}{follows}"
 
     wanted = F.lit(False)
     for rule in rules:
-        fold = "(?iu)" if rule.fold_case else ""
-        if rule.item == extract.CALL:
-            wanted = wanted | content.rlike(rf"(?:{names(rule)})")
-        else:
-            wanted = wanted | (content.contains("=") & content.rlike(f"{fold}(?:{names(rule)})"))
+        found = content.rlike(pattern(rule))
+        wanted = wanted | (found if rule.item == extract.CALL else content.contains("=") & found)
     return units.filter(wanted)
 
 
@@ -228,20 +228,20 @@ def _terms(spark: SparkSession, rules: list[TermRule], ordinals: dict[int, int])
             )
             for name, qualifiers in by_name.items()
         ]
-    terms = spark.createDataFrame(
+    # A local table: the planner knows its size and broadcasts it if it is small.
+    return spark.createDataFrame(
         rows,
         "rule_ordinal int, term_item string, term_key string, term_name string, "
         "fold_case boolean, any_qualifier boolean, "
         "qualifiers array<string>, vulnerability_rule_id string, vulnerability_rule_name string, "
         "recommendation string, severity string",
     )
-    return F.broadcast(terms) if len(rows) <= BROADCAST_TERMS else terms
 
 
 def _term_findings(
     spark: SparkSession, units: DataFrame, rules: list[TermRule], ordinals: dict[int, int]
 ) -> DataFrame:
-    candidates = candidate_units(units, rules)
+    candidates = extract.with_inner_code(candidate_units(units, rules))
     items = extract.items(candidates)
     # By name first: nearly all items drop out before any text is fetched for a qualifier.
     matched = items.withColumn("key", F.lower("name")).join(
@@ -250,13 +250,13 @@ def _term_findings(
         & (F.col("key") == F.col("term_key"))
         & (F.col("fold_case") | (F.col("name") == F.col("term_name"))),
     )
-    condition, message = F.lit(False), F.lit(None).cast("string")
+    # One flat choice each: expressions don't get deeper with the number of rules.
+    condition = message = F
     for rule in rules:
         here = F.col("rule_ordinal") == ordinals[id(rule)]
-        condition = F.when(here, rule.condition()).otherwise(condition)
-        message = F.when(here, rule.message()).otherwise(message)
+        condition, message = condition.when(here, rule.condition()), message.when(here, rule.message())
     return (
-        extract.with_qualifier(matched, candidates, F.lit(True))
+        extract.placed(extract.with_qualifier(matched, candidates, F.lit(True)))
         .filter(F.col("any_qualifier") | F.array_contains("qualifiers", F.col("qualifier")))
         .filter(condition)
         .select(
@@ -270,6 +270,6 @@ def _term_findings(
             F.col("line").alias("line_number"),
             F.col("col").alias("column_number"),
             "rule_ordinal",
-            F.coalesce(F.col("chain_off"), F.col("pos")).cast("bigint").alias("item_pos"),
+            F.col("off").cast("bigint").alias("item_pos"),
         )
     )

@@ -1,7 +1,7 @@
 """Code corpus derived from the `events` table.
 
 Twenty consecutive events make one source file, each event one statement. The statement is chosen
-by `event_id % 23`, the language by the number of the file, and the user id of the event stands in
+by `event_id % 27`, the language by the number of the file, and the user id of the event stands in
 the text, so that texts and columns differ from file to file. The statements cover hits, near
 misses and the quirks of every rule in every language.
 """
@@ -39,6 +39,10 @@ STATEMENTS = {
         'credentials = ("user", "pass{u}")',
         '# password = "commented-{u}"',
         'data = """\npassword = "inner"\neval(x)\n"""',
+        'msg = f"{eval(code)} {d["k"]}"',
+        'if debug: password: str = "secret-{u}"',
+        'os.system(f"{opts["cmd"]}")',
+        'say(f"{level:>{width(3)}} {run(f"{eval(z)}")}")',
     ],
     "java": [
         'String password = "pw-{u}-secret";',
@@ -64,6 +68,10 @@ STATEMENTS = {
         'String[] credentials = {"user", "pass{u}"};',
         '// String password = "commented-{u}";',
         'String data = """\n    password = "inner"; eval(x);\n    """;',
+        "x.a(b).c(d).e(f).exec(cmd);",
+        'String s = "é" + run("{u}"); // é',
+        "if (a > 1) { eval.run(cmd); }",
+        'Object p = factory.password("x").create(y);',
     ],
     "javascript": [
         'const password = "pw-{u}-secret";',
@@ -89,9 +97,13 @@ STATEMENTS = {
         'const credentials = ["user", "pass{u}"];',
         '// const password = "commented-{u}";',
         'const { user = "nobody{u}" } = load?.(opts);',
+        "if (ok) /`/.test(line); eval(`a${exec(cmd)}`);",
+        'class Safe extends mixin(Base) { password = "field-{u}-y"; }',
+        "t = `${a(`${b({ c: `${d(e)}` })}`)}`;",
+        "run(tag`x${1}`, `y`); f`z`;",
     ],
 }
-N_STATEMENTS = 23
+N_STATEMENTS = 27
 
 
 def statements(spark: SparkSession) -> DataFrame:
@@ -116,7 +128,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
             "template": (F.col("event_id") % N_STATEMENTS).cast("int"),
         }
     )
-    # 69 statements, a fixed number.
+    # 81 statements, a fixed number.
     lines = placed.join(
         F.broadcast(statements(spark)), ["language_no", "template"]
     ).withColumn(

@@ -23,6 +23,8 @@ ASSIGNMENTS = {
     (PY, 18): [(0, 11, "secret", S, "s3cr3t-{u}")],
     (PY, 20): [(0, 1, "credentials", X, '("user", "pass{u}")')],
     (PY, 22): [(0, 1, "data", S, '""\npassword = "inner"\neval(x)\n""')],
+    (PY, 23): [(0, 1, "msg", S, 'f"{eval(code)} {d["k"]}"')],
+    (PY, 24): [(0, 11, "password", S, "secret-{u}")],
     (JA, 0): [(0, 8, "password", S, "pw-{u}-secret")],
     (JA, 1): [(0, 8, "token", X, "readToken({u})")],
     (JA, 2): [(0, 8, "pwd", S, "abc")],
@@ -34,6 +36,8 @@ ASSIGNMENTS = {
     (JA, 18): [(0, 48 + U, "secret", S, "s3cr3t-{u}")],
     (JA, 20): [(0, 10, "credentials", X, '{"user", "pass{u}"}')],
     (JA, 22): [(0, 8, "data", S, '""\n    password = "inner"; eval(x);\n    ""')],
+    (JA, 24): [(0, 8, "s", X, '"é" + run("{u}")')],
+    (JA, 26): [(0, 8, "p", X, 'factory.password("x").create(y)')],
     (JS, 0): [(0, 7, "password", S, "pw-{u}-secret")],
     (JS, 1): [(0, 5, "token", X, "loadToken({u})")],
     (JS, 2): [(0, 5, "pwd", S, "abc")],
@@ -44,6 +48,7 @@ ASSIGNMENTS = {
     (JS, 18): [(0, 43 + U, "secret", S, "s3cr3t-{u}")],
     (JS, 19): [(0, 7, "run", X, '(command, password = "d{u}") => command')],
     (JS, 20): [(0, 7, "credentials", X, '["user", "pass{u}"]')],
+    (JS, 25): [(0, 1, "t", X, "`${a(`${b({ c: `${d(e)}` })}`)}`")],
 }
 
 # (language, statement): [(line, column, qualifier, name, [(kind, text)])]
@@ -66,6 +71,14 @@ CALLS = {
         (0, 7, None, "eval", [(S, "1 + {u}")]),
         (0, 21 + U, None, "len", [(X, "os.environ")]),
     ],
+    (PY, 23): [(0, 10, None, "eval", [(V, "code")])],
+    (PY, 25): [(0, 1, "os", "system", [(S, 'f"{opts["cmd"]}"')])],
+    (PY, 26): [
+        (0, 1, None, "say", [(S, 'f"{level:>{width(3)}} {run(f"{eval(z)}")}"')]),
+        (0, 16, None, "width", [(X, "3")]),
+        (0, 28, None, "run", [(S, 'f"{eval(z)}"')]),
+        (0, 35, None, "eval", [(V, "z")]),
+    ],
     (JA, 1): [(0, 16, None, "readToken", [(X, "{u}")])],
     (JA, 7): [(0, 8, "engine", "eval", [(V, "code")])],
     (JA, 8): [
@@ -88,6 +101,18 @@ CALLS = {
         (0, 27, "engine", "eval", [(S, "1 + {u}")]),
         (0, 41 + U, None, "size", [(X, "a.b")]),
     ],
+    (JA, 23): [
+        (0, 3, "x", "a", [(V, "b")]),
+        (0, 8, "x.a", "c", [(V, "d")]),
+        (0, 13, "x.a.c", "e", [(V, "f")]),
+        (0, 18, "x.a.c.e", "exec", [(V, "cmd")]),
+    ],
+    (JA, 24): [(0, 19, None, "run", [(S, "{u}")])],
+    (JA, 25): [(0, 19, "eval", "run", [(V, "cmd")])],
+    (JA, 26): [
+        (0, 20, "factory", "password", [(S, "x")]),
+        (0, 34, "factory.password", "create", [(V, "y")]),
+    ],
     (JS, 1): [(0, 13, None, "loadToken", [(X, "{u}")])],
     (JS, 7): [(0, 1, "window", "eval", [(V, "userInput")])],
     (JS, 8): [
@@ -106,6 +131,18 @@ CALLS = {
         (0, 27 + U, None, "size", [(X, "a.b")]),
     ],
     (JS, 22): [(0, 29 + U, None, "load", [(V, "opts")])],
+    (JS, 23): [
+        (0, 9, "/`/", "test", [(V, "line")]),
+        (0, 25, None, "eval", [(X, "`a${exec(cmd)}`")]),
+        (0, 34, None, "exec", [(V, "cmd")]),
+    ],
+    (JS, 24): [(0, 20, None, "mixin", [(V, "Base")])],
+    (JS, 25): [
+        (0, 8, None, "a", [(X, "`${b({ c: `${d(e)}` })}`")]),
+        (0, 13, None, "b", [(X, "{ c: `${d(e)}` }")]),
+        (0, 23, None, "d", [(V, "e")]),
+    ],
+    (JS, 26): [(0, 1, None, "run", [(X, "tag`x${1}`"), (X, "`y`")])],
 }
 
 # (language, statement): [(rule, line, column, name in the description)]
@@ -122,6 +159,9 @@ FINDINGS = {
     (PY, 15): [("GEN003", 0, 1, None)],
     (PY, 17): [("GEN002", 0, 7, "eval")],
     (PY, 18): [("GEN001", 0, 11, "secret")],
+    (PY, 23): [("GEN002", 0, 10, "eval")],
+    (PY, 24): [("GEN001", 0, 11, "password")],
+    (PY, 26): [("GEN002", 0, 35, "eval")],
     (JA, 0): [("GEN001", 0, 8, "password")],
     (JA, 4): [("GEN001", 0, 31, "API_KEY")],
     (JA, 6): [("GEN001", 0, 8, "login")],
@@ -135,6 +175,7 @@ FINDINGS = {
     (JA, 15): [("GEN003", 0, 1, None)],
     (JA, 17): [("GEN002", 0, 27, "engine.eval")],
     (JA, 18): [("GEN001", 0, 48 + U, "secret")],
+    (JA, 23): [("GEN003", 0, 18, None)],
     (JS, 0): [("GEN001", 0, 7, "password")],
     (JS, 4): [("GEN001", 0, 16, "apiKey")],
     (JS, 6): [("GEN001", 0, 8, "login")],
@@ -147,6 +188,7 @@ FINDINGS = {
     (JS, 15): [("GEN003", 0, 1, None)],
     (JS, 17): [("GEN002", 0, 13, "eval")],
     (JS, 18): [("GEN001", 0, 43 + U, "secret")],
+    (JS, 23): [("GEN002", 0, 25, "eval"), ("GEN003", 0, 34, None)],
 }
 # Calls that the custom rule of the `custom_rule` query reports.
 DEBUG_OUTPUT = {(PY, 17): [(0, 1)], (JA, 17): [(0, 12)], (JS, 17): [(0, 1)]}

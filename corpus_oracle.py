@@ -31,7 +31,7 @@ _statements = [
 BASE = "WITH " + _values("st", "l, t, n, text", _statements) + """,
 ev AS (
   SELECT event_id, CAST(user_id AS VARCHAR) AS u, event_id // 20 AS f, event_id % 20 AS i,
-         event_id % 23 AS t, (event_id // 20) % 3 AS l
+         event_id % 27 AS t, (event_id // 20) % 3 AS l
   FROM events
 ),
 placed AS (
@@ -206,6 +206,19 @@ FROM fi GROUP BY source_file_path, programming_language""",
         + """
 SELECT vulnerability_rule_id, count(*) AS n_findings, count(DISTINCT source_file_path) AS n_files
 FROM fi GROUP BY vulnerability_rule_id""",
+        "findings_rank": f"""{_findings()}
+SELECT row_number() OVER (ORDER BY source_file_path, finding_no) AS rank, {_ALL} FROM fi""".replace(
+            "finding_no, programming", "programming", 1
+        ),
+        "findings_sink": f"""{_findings()}
+SELECT CAST(run AS INTEGER) AS run, {_ALL} FROM fi, (VALUES (1), (2)) AS r(run)
+WHERE run = 1 OR severity = 'CRITICAL'""".replace("finding_no, programming", "programming", 1),
+        "rules_overview": f"""{_findings()}
+SELECT CAST(rule_no AS INTEGER) AS rule_ordinal, rule AS rule_id, ru.rule_name AS name, ru.recommendation,
+       ru.severity, nullif(count(description), 0) AS n_findings,
+       nullif(count(DISTINCT source_file_path), 0) AS n_files
+FROM ru LEFT JOIN fi ON rule = vulnerability_rule_id WHERE rule_no < 4
+GROUP BY rule_no, rule, ru.rule_name, ru.recommendation, ru.severity""",
         "code_context": f"{_CONTEXT} SELECT source_file_path, finding_no, line, marker, text, code_line FROM cx",
         "finding_blocks": _CONTEXT
         + """,

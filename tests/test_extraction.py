@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import ast
 import pathlib
+import re
 
 import pytest
 
 from codelode.operators import extract
 from codelode.operators.health import source_health
 from codelode.operators.tokens import tokens
+from codelode.plans.findings import scan
 
 S, V, X = "STRING", "VARIABLE", "UNKNOWN"
 
@@ -17,14 +19,11 @@ S, V, X = "STRING", "VARIABLE", "UNKNOWN"
 CASES = {
     # The three kinds of values, and calls in source order with positions.
     "mixed.py": (
-        'password = "secret123"\n\ntoken = password\n\nsecret = token.strip()\n\neval(code)\n\n'
-        'os.system(command)\n\nrun(\n    "abc",\n    token,\n    token.strip(),\n)\n',
-        [(1, 1, "password", S, "secret123"), (3, 1, "token", V, "password"),
-         (5, 1, "secret", X, "token.strip()")],
-        [(5, 10, "token", "strip", []), (7, 1, None, "eval", [(V, "code")]),
-         (9, 1, "os", "system", [(V, "command")]),
-         (11, 1, None, "run", [(S, "abc"), (V, "token"), (X, "token.strip()")]),
-         (14, 5, "token", "strip", [])],
+        'api_key = "k-991-zz"\n\nalias = api_key\n\nshort = alias.lower()\n\ncompile(text)\n\n'
+        'shell.launch(line)\n\nstart(\n    "one",\n    alias,\n    alias.lower(),\n)\n',
+        [(1, 1, "api_key", S, "k-991-zz"), (3, 1, "alias", V, "api_key"), (5, 1, "short", X, "alias.lower()")],
+        [(5, 9, "alias", "lower", []), (7, 1, None, "compile", [(V, "text")]), (9, 1, "shell", "launch", [(V, "line")]),
+         (11, 1, None, "start", [(S, "one"), (V, "alias"), (X, "alias.lower()")]), (14, 5, "alias", "lower", [])],
     ),
     "mixed.java": (
         'class T {\n    void t() {\n        String password = "secret123";\n'
@@ -117,7 +116,7 @@ CASES = {
         [(7, 1, "r", X, "s / t / u(v)")],
         [(1, 1, None, "require", [(S, "a")]), (1, 1, "require('a')", "b", [(V, "c")]),
          (2, 1, "d", "e", [(V, "f")]), (3, 1, "g", "h", [(V, "i")]),
-         (3, 1, "g.h(i)", "j", [(X, "`k${l(m)}`")]), (6, 1, '/["(]/', "test", [(V, "q")]),
+         (3, 1, "g.h(i)", "j", [(X, "`k${l(m)}`")]), (4, 10, None, "l", [(V, "m")]), (6, 1, '/["(]/', "test", [(V, "q")]),
          (7, 13, None, "u", [(V, "v")]), (8, 1, None, "import", [(S, "w")]),
          (9, 1, "w", "catch", [(V, "x")]), (10, 16, None, "y", [])],
     ),
@@ -153,7 +152,7 @@ def test_calls(found, path):
 
 
 def test_argument_places(found):
-    run = next(r for r in found[1] if r.path == "mixed.py" and r.function_name == "run")
+    run = next(r for r in found[1] if r.path == "mixed.py" and r.function_name == "start")
     assert [(a.line, a.col) for a in run.arguments] == [(12, 5), (13, 5), (14, 5)]
     notes = next(r for r in found[1] if r.path == "args.py" and r.line == 8)
     assert [(a.line, a.col) for a in notes.arguments] == [(8, 3), (9, 3), (10, 3), (11, 5)]
@@ -194,8 +193,6 @@ def test_against_the_parser_of_python(units):
     calls, targets = set(), set()
 
     def walk(path: str, node: ast.AST) -> None:
-        if isinstance(node, ast.JoinedStr):
-            return
         if isinstance(node, ast.Call) and isinstance(node.func, ast.Name | ast.Attribute):
             name = node.func.id if isinstance(node.func, ast.Name) else node.func.attr
             bare = (
@@ -216,12 +213,31 @@ def test_against_the_parser_of_python(units):
 
     for path, text in texts.items():
         walk(path, ast.parse(text))
-    got = extract.items(units(texts)).select("path", "line", "col", "name", "item").collect()
+    found = extract.placed(extract.items(extract.with_inner_code(units(texts))))
+    got = found.select("path", "line", "col", "name", "item").collect()
     assert {tuple(r)[:4] for r in got if r.item == extract.CALL} == calls
     assert {tuple(r)[:4] for r in got if r.item == extract.ASSIGNMENT} == targets
 
 
+def shuffles(frame) -> int:
+    """Exchanges by path that ran; those that were reused don't count."""
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    lines = (line for line in plan.split("\n") if re.search(r"Exchange hashpartitioning\(\w*path", line))
+    return sum("ReusedExchange" not in line for line in lines)
+
+
 def test_one_shuffle(units):
-    rows = extract.items(units({"a.py": "f(x)"}))
-    plan = rows._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1
+    texts = units({"a.py": "f(x).g(y + 1)\nz = f'{h(1)}'", "b.js": "a = `${b(c).d(e)}`", "c.java": "x.eval(y).exec(z);"})
+    for frame in (extract.items(texts), extract.calls(texts), extract.assignments(texts), scan(texts)):
+        assert shuffles(frame) == 1
+
+
+def test_no_sort_carries_text(units):
+    """The number of a row is found before the text of its unit joins it."""
+    texts = units({"a.py": "f(x).g(y + 1)\nz = a + b"})
+    for frame in (extract.calls(texts), extract.assignments(texts)):
+        lines = frame._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        join = next(n for n, line in enumerate(lines) if "Join" in line)
+        ordinal = next(n for n, line in enumerate(lines) if "Window [row_number()" in line)
+        assert join < ordinal and not any("Window" in line for line in lines[:join])

@@ -13,11 +13,12 @@ from codelode.plans.rules import (
     UNSAFE_CODE_EXECUTION,
     FunctionRule,
     RuleSet,
+    candidate_units,
 )
 
 TEXTS = {
-    "all.py": 'import os\n\npassword = "secret123"\n\neval(user_input)\n\nos.system(command)\n',
-    "sorted.py": 'eval(a)\n\npassword = "secret123"\n\nimport os\n\nos.system(b)\n',
+    "all.py": 'from a import b\n\nsecret = "zz-top-1"\n\ncompile(source)\n\nos.popen(line)\n',
+    "sorted.py": 'compile(p)\n\napi_key = "abcdef-1"\n\nfrom c import d\n\nos.popen(q)\n',
     "safe.py": 'name = "World"\nmessage = f"Hello {name}"\nprint(message)\n',
     "all.java": 'class T {\n  void r() {\n    String password = "secret123";\n    e.eval(c);\n'
     "    Runtime.getRuntime().exec(d);\n  }\n}",
@@ -184,7 +185,17 @@ def test_context_and_blocks(spark, units):
     assert blocks[1].block.endswith("     5 | line5")
 
 
+def test_units_without_findings_are_left_out(units):
+    clean = {f"c{n}.py": f"key_{n} = user_{n}\nruntime(start)\nprint(x.execute(key))\n" for n in range(20)}
+    texts = units({**TEXTS, **clean})
+    kept = {r.path for r in candidate_units(texts, list(DEFAULT_RULES)).collect()}
+    assert not kept & set(clean) and {p for p, rows in EXPECTED.items() if rows} <= kept
+    gaps = units({"a.py": "eval \\\n (x)", "b.js": "eval?. (x); exec // c\n(y)", "c.java": "char password [] = x;", "d.py": "password : str = 'abcdef'"})
+    assert candidate_units(gaps, list(DEFAULT_RULES)).count() == 4
+
+
 def test_sink(found, spark, tmp_path):
-    write(found, str(tmp_path / "findings"))
+    for _ in range(2):  # a run that is repeated adds nothing
+        write(found, str(tmp_path / "findings"), "a")
     back = spark.read.parquet(str(tmp_path / "findings"))
     assert back.filter(F.col("programming_language") == "java").count() == 5
