@@ -62,7 +62,7 @@ PYTHON_CORE = "|".join(
         _OPERATOR,
     ]
 )
-_JAVA_CORE = "|".join([_TRIPLE, _DOUBLE, _SINGLE, _NUMBER, _dotted(r"\.", _IDENT), _SLASH_OPERATOR])
+JAVA_CORE = "|".join([_TRIPLE, _DOUBLE, _SINGLE, _NUMBER, _dotted(r"\.", _IDENT), _SLASH_OPERATOR])
 JAVASCRIPT_CORE = "|".join(
     [
         _DOUBLE,
@@ -81,7 +81,7 @@ def _element(gap: str, core: str) -> str:
 
 
 PYTHON_ELEMENT = _element(PYTHON_GAP, PYTHON_CORE)
-JAVA_ELEMENT = _element(SLASH_GAP, _JAVA_CORE)
+JAVA_ELEMENT = _element(SLASH_GAP, JAVA_CORE)
 JAVASCRIPT_ELEMENT = (
     f"{_REGEX_START}(?:{SLASH_GAP})*+{REGEX_BODY}|" + _element(SLASH_GAP, JAVASCRIPT_CORE)
 )

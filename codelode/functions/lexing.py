@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from codelode.catalog import JAVASCRIPT, PYTHON
+from codelode.catalog import JAVA, JAVASCRIPT, PYTHON
 from codelode.functions import lexical as lx
 
 #: Code in literals may hold literals to that depth; deeper ones count as not closed.
@@ -246,3 +246,75 @@ def inner_code(language: Column, content: Column) -> Column:
     schema = "array<struct<line: int, col: int, off: long, content: string>>"
     kind = pa.list_(pa.struct([("line", pa.int32()), ("col", pa.int32()), ("off", pa.int64()), ("content", pa.string())]))
     return _of_units(_inner, kind, schema, language, content)
+
+
+def _token_ends(language: str, text: str) -> Iterator[Span]:
+    if language == JAVASCRIPT:
+        return _JavaScript(text, []).tokens(0, False, 0)
+    if language == PYTHON:
+        return _Python(text, []).tokens()
+    element = _compiled(f"(?:{lx.SLASH_GAP})*+(?P<core>{lx.JAVA_CORE})")
+    return (m.span("core") for m in element.finditer(text))
+
+
+class _Chain:
+    """The names before a call, read token by token at bracket depth 0 (E-13 to E-15).
+
+    Names are joined with dots. A bracket group puts the text so far in place of the joined names,
+    except that Java leaves the arguments of a method call out: `Runtime.getRuntime().exec` has the
+    qualifier `Runtime.getRuntime`. The text so far is kept as a length and never built up.
+    """
+
+    def __init__(self, language: str) -> None:
+        self.language, self.text = language, ""
+        self.depth, self.base, self.raw, self.names = 0, True, 0, []
+
+    def read(self, more: str) -> None:
+        start, self.text = len(self.text), self.text + more
+        for begin, end in _token_ends(self.language, more):
+            self._token(more[begin:end], start + begin, start + end)
+
+    def _token(self, token: str, begin: int, end: int) -> None:
+        opens, closes = token[-1] in "([{" and len(token) <= 3, token[0] in ")]}"
+        depth, first = self.depth + opens - closes, begin == 0
+        named = lx_is_word(token[0]) and token != "new" and token[-1] not in "'\""
+        if opens or (self.depth > 0 and depth > 0):
+            pass
+        elif closes and self.language == JAVA and token == ")" and not self.base:
+            pass
+        elif token[0] == "." or token[0] == "?":
+            self.names.append(regex.sub(r"[\s\\]+", "", token).replace("?.", "."))
+        elif named and first:
+            self.names.append(regex.sub(r"[\s\\]+", "", token).replace("?.", "."))
+        else:
+            self.raw, self.names = end, []
+        if depth <= 0 and (closes or (first and named)):
+            self.base = False
+        self.depth = depth
+
+    def joined(self, dotted: str) -> str | None:
+        names = "".join(self.names) + dotted.replace("?.", ".")
+        found = self.text[: self.raw] + names
+        return found.removeprefix(".") or None
+
+
+def chain_qualifiers(language: Column, before: Column, dotted: Column) -> Column:
+    """Qualifier of a call from the text of its chain before the last name; null without a text.
+
+    Calls of one chain come one after the other, so each goes on where the one before stopped.
+    """
+
+    def of(languages: pa.Array, befores: pa.Array, dots: pa.Array) -> pa.Array:
+        found, chain = [], None
+        for name, text, dot in zip(languages.to_pylist(), befores, dots.to_pylist(), strict=True):
+            text = text.as_py()
+            if text is None:
+                found.append(None)
+                continue
+            if chain is None or chain.language != name or not text.startswith(chain.text):
+                chain = _Chain(name)
+            chain.read(text[len(chain.text) :])
+            found.append(chain.joined(regex.sub(r"[\s\\]+", "", dot or "")))
+        return pa.array(found, pa.string())
+
+    return F.arrow_udf(of, "string")(language, before, dotted)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from codelode.catalog import JAVA, JAVASCRIPT
 from codelode.functions import lexical as lx
+from codelode.functions import lexing
 from codelode.functions.expressions import strip_quotes
 from codelode.operators.structure import (
     LINK,
@@ -268,52 +269,6 @@ def _slice(content: Column, begin: Column, end: Column) -> Column:
     return F.substring(content, (start + begin + 1).cast("int"), (end - begin).cast("int")).cast("string")
 
 
-def _chain_qualifier(language: Column, text: Column) -> Column:
-    """E-13 to E-15: qualifier of a call from the text of the chain before its name.
-
-    Reads the chain token by token at bracket depth 0. Names are joined with dots. A bracket group
-    puts the text so far in place of the joined names, except that Java leaves the arguments of a
-    method call out: `Runtime.getRuntime().exec` has the qualifier `Runtime.getRuntime`.
-    """
-    start = F.struct(
-        F.lit("").alias("raw"),
-        F.lit("").alias("joined"),
-        F.lit(0).alias("depth"),
-        F.lit(True).alias("base"),
-    )
-
-    def step(acc: Column, element: Column) -> Column:
-        token = lx.without_gap(language, element)
-        first, last = F.substring(token, 1, 1), F.right(token, F.lit(1))
-        raw = F.when(acc["raw"] == "", token).otherwise(F.concat(acc["raw"], element))
-        opens = last.isin("(", "[", "{") & (F.length(token) <= 3)
-        closes = first.isin(")", "]", "}")
-        depth = acc["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
-        is_member = (first == ".") | ((first == "?") & ~opens)
-        is_name = token.rlike(r"^[\p{L}\p{Nl}_$]") & (token != "new") & ~last.isin("'", '"')
-        name = F.replace(F.regexp_replace(token, r"[\s\\]+", ""), F.lit("?."), F.lit("."))
-        call_group = (language == JAVA) & (token == ")") & ~acc["base"]
-        joined = (
-            F.when((acc["depth"] > 0) & (depth > 0), acc["joined"])
-            .when(opens, acc["joined"])
-            .when(closes, F.when(call_group, acc["joined"]).otherwise(raw))
-            .when(is_member, F.concat(acc["joined"], name))
-            .when(is_name & (acc["raw"] == ""), name)
-            .otherwise(raw)
-        )
-        # `base` holds while a group belongs to the first operand: `new A(x)`, `(a)`, `[1]`.
-        plain_start = (acc["raw"] == "") & is_name
-        base = F.when(depth > 0, acc["base"]).when(closes | plain_start, F.lit(False)).otherwise(acc["base"])
-        after = F.struct(
-            raw.alias("raw"), joined.alias("joined"), depth.alias("depth"), base.alias("base")
-        )
-        return F.when(token == "", acc).otherwise(after)
-
-    return F.aggregate(
-        lx.elements(language, text), start, step, lambda acc: F.regexp_replace(acc["joined"], r"^\.", "")
-    )
-
-
 def _with_bytes(found: DataFrame, units: DataFrame, needed: Column) -> DataFrame:
     """Join the bytes of the unit to the rows where `needed` holds, as `unit_bytes`.
 
@@ -336,12 +291,11 @@ def _with_bytes(found: DataFrame, units: DataFrame, needed: Column) -> DataFrame
 
 
 def _qualifier() -> Column:
-    before = _slice(F.col("unit_bytes"), F.col("chain_off"), F.col("member_off"))
-    chain = F.concat(before, F.coalesce("dotted", F.lit("")))
-    return F.when(
-        F.col("member_off").isNotNull(),
-        F.nullif(_chain_qualifier(F.col("language"), chain), F.lit("")),
-    ).otherwise(F.col("dotted"))
+    before = F.when(
+        F.col("member_off").isNotNull(), _slice(F.col("unit_bytes"), F.col("chain_off"), F.col("member_off"))
+    )
+    chain = lexing.chain_qualifiers(F.col("language"), before, F.col("dotted"))
+    return F.when(F.col("member_off").isNotNull(), chain).otherwise(F.col("dotted"))
 
 
 def with_qualifier(found: DataFrame, units: DataFrame, only: Column) -> DataFrame:

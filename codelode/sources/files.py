@@ -89,60 +89,28 @@ def rejects(files: DataFrame, requested: DataFrame | None = None) -> DataFrame:
     )
 
 
-def read_files(spark: SparkSession, directory: str) -> DataFrame:
+def read_files(spark: SparkSession, directory: str, listing: DataFrame | None = None) -> DataFrame:
     """All files under a folder as `(path, bytes)`; no filter on names, so that `rejects` can
-    report the ones that are not supported. `directory` is a full URI."""
+    report the ones that are not supported. `directory` is any URI that Spark reads.
+
+    Spark's readers leave out files of no bytes. Give a `listing` (path, length) of the store, with
+    paths as Spark writes them, and its empty files are rows too.
+    """
     read = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(directory)
         .select("path", F.col("content").alias("bytes"))
     )
-    return read.unionByName(_empty_files(spark, directory))
+    if listing is None:
+        return read
+    return read.unionByName(listing.filter("length = 0").select("path", F.lit(b"").alias("bytes")))
 
 
 def _file_system(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
-def _empty_files(spark: SparkSession, directory: str) -> DataFrame:
-    """Files of no bytes, which Spark's readers leave out.
-
-    The entries of the folder itself are spread over tasks, which list what is below them; only
-    the paths of empty files come back.
-    """
-    base = _file_system(directory)[1]
-    # What stands before the path in the names that Spark gives to files.
-    scheme, _, rest = directory.partition("://")
-    prefix = "file:" if scheme == "file" else f"{scheme}://{rest.partition('/')[0]}"
-    if scheme.startswith("s3"):
-        prefix = f"{scheme}://"
-
-    def empties(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system = _file_system(directory)[0]
-        for batch in batches:
-            for entry in batch["path"]:
-                found = system.get_file_info(entry)
-                if found.type == fs.FileType.Directory:
-                    infos = system.get_file_info(fs.FileSelector(entry, recursive=True))
-                else:
-                    infos = [found]
-                paths = [i.path for i in infos if i.type == fs.FileType.File and i.size == 0]
-                # Spark skips hidden files, so these are skipped too.
-                kept = [p for p in paths if not p.rsplit("/", 1)[-1].startswith(("_", "."))]
-                if kept:
-                    yield pd.DataFrame({"path": [prefix + p for p in kept]}, dtype=object)
-
-    top = _file_system(directory)[0].get_file_info(fs.FileSelector(base))
-    entries = spark.createDataFrame([(info.path,) for info in top] or [(base,)], "path string")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        entries.repartition(n)
-        .mapInPandas(empties, "path string")
-        .select("path", F.lit(b"").alias("bytes"))
-    )
-
-
 def write_files(units: DataFrame, directory: str) -> None:
     """Write every unit to a file of its own; the tasks write in parallel."""
 

@@ -241,3 +241,9 @@ def test_no_sort_carries_text(units):
         join = next(n for n, line in enumerate(lines) if "Join" in line)
         ordinal = next(n for n, line in enumerate(lines) if "Window [row_number()" in line)
         assert join < ordinal and not any("Window" in line for line in lines[:join])
+
+
+def test_long_chains(units):
+    """Each call of a chain goes on where the one before stopped."""
+    rows = extract.calls(units({"a.java": "x" + ".a(b)" * 3000 + ";"})).orderBy("ordinal").collect()
+    assert len(rows) == 3000 and rows[-1].qualifier == "x" + ".a" * 2999

@@ -22,7 +22,8 @@ def test_files(spark, tmp_path):
         path = tmp_path / name
         path.parent.mkdir(exist_ok=True)
         path.write_bytes(content)
-    read = files.read_files(spark, f"file://{tmp_path}")
+    listing = spark.createDataFrame([(f"file:{tmp_path}/{n}", 0) for n in ("b.JAVA", "f")], "path string, length long")
+    read = files.read_files(spark, f"file://{tmp_path}", listing)
     units = {pathlib.Path(r.path).name: r for r in files.units(read).collect()}
     assert {n: r.language for n, r in units.items()} == {
         "a.py": "python", "b.JAVA": "java", "c.js": "javascript",
