@@ -13,7 +13,8 @@ hash, are the dictionary, and the phrases of each document its parse.
 * A phrase that occurs twice or more is repeated with all its windows. Long passages consist of such
   phrases but for their ends.
 * What is left are phrases whose trigger occurs in other phrases too. These few entries of the
-  dictionary are ordered by their windows: windows from anywhere that are equal come together.
+  dictionary are ordered by their windows, so that equal ones come together: the entries of a trigger
+  meet in one task, unless there are more than TOGETHER; then their windows are shuffled by hash.
 
 The order of suffixes is needed only to the depth of a window and only as far as it tells equal ones
 from others, so equality of 128-bit hashes takes the place of sorted suffix arrays of dictionary and
@@ -44,6 +45,8 @@ from codelode.llm.hashing import BASE, Stretches, mix
 
 LENGTH = 200
 TRIGGER = 48
+#: Entries of one trigger that are ordered in one task, some 350 bytes each.
+TOGETHER = 4096
 RUN = 1 << 20
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -131,7 +134,7 @@ def _parsed(length: int, trigger: int):
 
 
 _SPANS = "array<struct<first: int, number: int>>"
-_OPEN = "array<struct<first: int, number: int, copies: long>>"
+_OPEN = "array<struct<first: int, number: int, copies: long, trigger: long, hot: boolean>>"
 _RESULT = "id {id}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _FIRST = _RESULT + f", ident long, text string, known {_SPANS}, open {_OPEN}"
 
@@ -159,6 +162,8 @@ def _first_results(length: int, schema: pa.Schema):
 
 
 def _open_windows(length: int):
+    """The windows of open phrases, each with its hashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
@@ -176,6 +181,80 @@ def _open_windows(length: int):
     return run
 
 
+_ENTRY = "ident long, first int, number int, copies long, trigger long, bytes binary"
+
+
+def _open_entries(length: int, schema: pa.Schema):
+    """The bytes of open phrases."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ident, text, left = (batch.column(k)[row].as_py() for k in range(3))
+                data = text.encode("utf-8", "replace")
+                yield pa.RecordBatch.from_pylist([
+                    {**{k: span[k] for k in ("first", "number", "copies", "trigger")}, "ident": ident,
+                     "bytes": data[span["first"] : span["first"] + span["number"] - 1 + length]}
+                    for span in left
+                ], schema)
+
+    return run
+
+
+def repeated_runs(entries: list[tuple[int, int, int, bytes]], length: int) -> Iterator[tuple[int, int, int]]:
+    """(entry, first, number) of runs of repeated windows of entries (first, number, copies, bytes)."""
+    first, number, copies = (np.array([e[k] for e in entries], np.int64) for k in range(3))
+    raw = np.frombuffer(b"".join(e[3] for e in entries), np.uint8)
+    ends = np.cumsum([len(e[3]) for e in entries])
+    entry = np.repeat(np.arange(len(entries)), number)
+    within = np.arange(len(entry)) - np.repeat(np.cumsum(number) - number, number)
+    starts = np.repeat(np.concatenate([[0], ends[:-1]]), number) + within
+    a, b = (Stretches(raw, table).of(starts, starts + length) for table in (2, 3))
+    order = np.lexsort((b, a))
+    new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
+    group = np.cumsum(new) - 1
+    total = np.bincount(group, weights=np.repeat(copies, number)[order])
+    again = np.zeros(len(order), bool)
+    again[order] = total[group] > 1
+    hit = np.flatnonzero(again)
+    cut = np.flatnonzero((np.diff(hit) != 1) | (np.diff(entry[hit]) != 0)) + 1
+    for run in np.split(hit, cut) if len(hit) else ():
+        k = int(entry[run[0]])
+        yield k, int(first[k] + within[run[0]]), len(run)
+
+
+def _ordered_entries(length: int, block: int = 8 << 20):
+    """Runs of repeated windows of entries that come sorted by trigger."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size, last = 0, None
+
+        def record(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+            columns = list(zip(*found, strict=True)) or [(), (), ()]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())],
+                ["ident", "first", "number"],
+            )
+
+        def flush() -> pa.RecordBatch:
+            runs = repeated_runs([x[1:] for x in held], length)
+            return record([(held[k][0], first, number) for k, first, number in runs])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if size >= block and row["trigger"] != last:
+                    yield flush()
+                    held.clear()
+                    size = 0
+                held.append((row["ident"], row["first"], row["number"], row["copies"], row["bytes"]))
+                size, last = size + len(row["bytes"]), row["trigger"]
+        if held:
+            yield flush()
+
+    return run
+
+
 def _last_results(length: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +263,7 @@ def _last_results(length: int, schema: pa.Schema):
                 for row in batch.slice(low, 128).to_pylist():
                     data = row["text"].encode("utf-8", "replace")
                     starts = [(s["first"], s["number"]) for s in row["known"] or []]
-                    starts += [(first, 1) for first in row["found"] or []]
+                    starts += [(s["first"], s["number"]) for s in row["found"] or []]
                     total, gone, digest = removed(data, starts, length)
                     rows.append({"id": row["id"], "n_bytes": len(data), "n_removed": total, "n_spans": gone, "kept_sha256": digest})
                 yield pa.RecordBatch.from_pylist(rows, schema)
@@ -219,13 +298,34 @@ def _repeated(parse: DataFrame) -> DataFrame:
         shared.filter("mixed").join(entries.filter("copies > 1").select("trigger", "phrase"), ["trigger", "phrase"], "left_semi")
         .select("ident", "first", "number")
     )
+    sizes = entries.groupBy("trigger").agg((F.count(F.lit(1)) > TOGETHER).alias("hot"))
     known = whole.distinct().groupBy("ident").agg(F.collect_list(F.struct("first", "number")).alias("known"))
-    left = entries.select("place.ident", "place.first", "place.number", "copies").groupBy("ident").agg(
-        F.collect_list(F.struct("first", "number", "copies")).alias("open")
-    )
+    left = entries.join(sizes, "trigger").select(
+        "place.ident", "place.first", "place.number", "copies", "trigger", "hot"
+    ).groupBy("ident").agg(F.collect_list(F.struct("first", "number", "copies", "trigger", "hot")).alias("open"))
     return known.join(left, "ident", "full")
 
 
+def _runs(unsettled: DataFrame, length: int) -> DataFrame:
+    """(ident, first, number) of the repeated windows of open phrases."""
+    # Rows that repeat have one identity; one of them will do.
+    by_kind = [
+        unsettled.select("ident", "text", F.filter("open", lambda s: s["hot"] == hot).alias("open")).filter(F.size("open") > 0)
+        for hot in (False, True)
+    ]
+    few = by_kind[0].mapInArrow(_open_entries(length, _arrow_schema(_ENTRY)), _ENTRY)
+    together = (
+        few.repartition("trigger").sortWithinPartitions("trigger")
+        .mapInArrow(_ordered_entries(length), "ident long, first int, number int")
+    )
+    seen = settled(
+        by_kind[1].mapInArrow(_open_windows(length), "ident long, first int, copies long, a long, b long"), "open-windows"
+    )
+    twice = seen.groupBy("a", "b").agg(F.sum("copies").alias("n")).filter("n > 1").select("a", "b")
+    apart = seen.join(twice, ["a", "b"], "left_semi").select("ident", "first", F.lit(1).alias("number"))
+    return together.unionByName(apart)
+
+
 def without_repeats(
     docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, trigger: int = TRIGGER
 ) -> DataFrame:
@@ -236,18 +336,10 @@ def without_repeats(
     long = rows.filter(F.octet_length("text") >= length).select("ident", "text")
     parse = settled(long.mapInArrow(_parsed(length, trigger), _PARSE), "parse")
     found = rows.join(_repeated(parse), "ident", "left").select("id", "ident", "text", "known", "open")
-    arrow = _arrow_schema(kind)
+    arrow = _arrow_schema(_FIRST.format(id=kind))
     first = settled(found.mapInArrow(_first_results(length, arrow), _FIRST.format(id=kind)), "first-results")
     unsettled = first.filter("open is not null")
-    # One of several rows with the same identity will do.
-    seen = settled(
-        unsettled.select("ident", "text", "open").mapInArrow(
-            _open_windows(length), "ident long, first int, copies long, a long, b long"
-        ).dropDuplicates(["ident", "first"]),
-        "open-windows",
-    )
-    twice = seen.groupBy("a", "b").agg(F.sum("copies").alias("n")).filter("n > 1").select("a", "b")
-    hits = seen.join(twice, ["a", "b"], "left_semi").groupBy("ident").agg(F.collect_list("first").alias("found"))
+    hits = _runs(unsettled, length).groupBy("ident").agg(F.collect_list(F.struct("first", "number")).alias("found"))
     last = unsettled.join(hits, "ident", "left").select("id", "text", "known", "found")
     result = pa.schema(list(arrow)[:5])
     return (
@@ -257,8 +349,8 @@ def without_repeats(
     )
 
 
-def _arrow_schema(kind: str) -> pa.Schema:
+def _arrow_schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    return to_arrow_schema(StructType.fromDDL(_FIRST.format(id=kind)))
+    return to_arrow_schema(StructType.fromDDL(ddl))
