@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -20,11 +21,13 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: White space twice running, where a blank or line feed is no place to cut.
 _DOUBLE = re.compile(r"\s[ \n]")
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
-#: Pieces that are remembered; then the memory starts anew.
-REMEMBERED = 400_000
+#: White space other than a single blank or line feed; a text without any needs no closer look.
+_OTHER_SPACE = ("  ", "\n ", " \n", "\n\n", *"\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000",
+                *map(chr, range(0x2000, 0x200B)))
+#: Pieces that are remembered; beyond that only those of the texts at hand are.
+REMEMBERED = 800_000
 #: Pieces longer than that are encoded where they occur and not remembered.
 LONGEST = 64
-_LINE_FEED = 198  # the id of a line feed in byte-level vocabularies of this kind
 
 
 @cache
@@ -35,45 +38,69 @@ def library(path: str):
 
 
 def cut(text: str) -> list[str]:
-    if "\0" in text or _DOUBLE.search(text):
+    if "\0" in text or any(space in text for space in _OTHER_SPACE) and _DOUBLE.search(text):
         return [piece for piece in _CUT.split(text) if piece]
     pieces = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
     return pieces if pieces[0] else pieces[1:]
 
 
+def _alphabet() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: bytes that can't be seen are moved."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [byte for byte in range(256) if byte not in seen]
+    return {byte: chr(256 + k) for k, byte in enumerate(hidden)}
+
+
 class Encoder:
-    """Ids of texts as little-endian bytes, two bytes each (four for vocabularies beyond 65,536)."""
+    """Ids of texts as little-endian bytes, two bytes each (four for vocabularies beyond 65,536).
+
+    The library's model encodes runs of letters, with the blank in front of them, without the library
+    having to split them; that a piece is such a run, between a line feed and a mark at most, is told
+    in Python. All other pieces go through the whole library.
+    """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = library(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {}
-        # Pieces without a line feed may be joined by line feeds if these stay tokens of their own.
-        probe = self.tokenizer.encode("a\n b\nc", add_special_tokens=False).ids
-        self.joins = probe.count(_LINE_FEED) == 2
+        self.alphabet = _alphabet()
+        self.marks = {mark: self._whole([mark])[0] for mark in ".,;:!?"}
+        self.line = self._whole(["\n"])[0]
+        probes = ["a", " the", " Zürich,", "\nWord", "Naïve!", "\n日本語.", " ſœß?", " ẞ"]
+        self.plain = all(self._plain(p) == ids for p, ids in zip(probes, self._whole(probes), strict=True))
 
     def _ids(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
-
-    def _learn(self, pieces: Iterable[str]) -> None:
-        new = [p for p in pieces if p not in self.known and len(p) <= LONGEST]
+        return array(self.code, ids).tobytes()
+
+    def _whole(self, pieces: list[str]) -> list[bytes]:
+        return [self._ids(e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _plain(self, piece: str) -> bytes | None:
+        """The ids of a line feed (or none), a run of letters and a mark (or none); None for other pieces."""
+        end = self.marks.get(piece[-1], b"")
+        body = piece[:-1] if end else piece
+        if end and (word := self.known.get(body)):
+            return word + end
+        begin = b""
+        if body[:1] == "\n":
+            begin, body = self.line, body[1:]
+        letters = body[1:] if body[:1] == " " and not begin else body
+        if not letters.isalpha():
+            return None
+        spelled = "Ġ" + letters if letters.isascii() and letters is not body else (
+            letters if letters.isascii() else body.encode().decode("latin-1").translate(self.alphabet)
+        )
+        return begin + self._ids([token.id for token in self.tokenizer.model.tokenize(spelled)]) + end
+
+    def _learn(self, pieces: set[str]) -> None:
+        new = [p for p in pieces.difference(self.known) if len(p) <= LONGEST]
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-        lines = [p for p in new if "\n" not in p] if self.joins else []
-        if lines:
-            ids = np.array(self.tokenizer.encode("\n".join(lines), add_special_tokens=False).ids, self.kind)
-            ends = np.flatnonzero(ids == _LINE_FEED)
-            if len(ends) == len(lines) - 1:
-                raw, size = ids.tobytes(), self.kind.itemsize
-                starts = np.concatenate([[0], ends + 1]) * size
-                stops = np.append(ends, len(ids)) * size
-                self.known.update(
-                    (p, raw[a:b]) for p, a, b in zip(lines, starts.tolist(), stops.tolist(), strict=True)
-                )
-        rest = [p for p in new if p not in self.known]
-        if rest:
-            found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
-            self.known.update((p, self._ids(e.ids)) for p, e in zip(rest, found, strict=True))
+            self.known = {p: self.known[p] for p in pieces if p in self.known}
+        if self.plain:
+            self.known.update((p, ids) for p in new if (ids := self._plain(p)) is not None)
+            new = [p for p in new if p not in self.known]
+        self.known.update(zip(new, self._whole(new), strict=True))
 
     def _alone(self, piece: str) -> bytes:
         found = self.known.get(piece)
@@ -96,9 +123,6 @@ class Encoder:
     def _flush(self, waiting: list[list[str]]) -> Iterator[bytes]:
         distinct: set[str] = set()
         distinct.update(*waiting)
-        # After a fresh start the pieces of this block must all be there again.
-        if len(self.known) + len(distinct) > REMEMBERED:
-            self.known.clear()
         self._learn(distinct)
         for pieces in waiting:
             try:
