@@ -9,8 +9,12 @@ threshold. Documents of the same set are one class from the start, so copies cos
    the members. Pairs whose signatures, corrected for chance collisions of the few bits, say that the
    similarity is far below the threshold are dropped; the others are confirmed on full sets. A member's
    most similar pivot comes first, and what links have joined already isn't tested again.
-3. Buckets whose other members still lie in different components take further pivots, four times as
-   many in each round, until every pair of theirs is joined or tested.
+3. Members of buckets that still hold several components, such as documents that share a common
+   passage, are compared by rare shingles: in the order of their frequency among these documents, two
+   sets at the threshold have one of their rarest n - ceil(threshold * n) + 1 shingles in common, and
+   behind the first such shingle either set has as many left as the threshold asks for. This is exact,
+   and passages that many share, being frequent, make no candidates. Pivots test what is left, more
+   of them in each round, until every pair is joined or tested.
 
 Two documents at the threshold share no bucket with a probability of
 (1 - threshold ** ROWS) ** (MINIMA / ROWS), 5e-7 for 0.8, and the estimate would have to be SIGMAS
@@ -30,7 +34,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.llm.common import settled, strings
@@ -257,7 +261,7 @@ class _Search:
             .groupBy("x", "y").agg(F.max("likeness").alias("likeness"))
         )
 
-    def _sets_of(self, pairs: DataFrame) -> DataFrame:
+    def _sets_of(self, pairs: DataFrame) -> DataFrame | None:
         """Full sets of the documents in the pairs; a text is read again only when its set is first needed."""
         ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
         if self.sets is not None:
@@ -275,6 +279,8 @@ class _Search:
     def confirm(self, pairs: DataFrame) -> None:
         """Test pairs (x, y) on full sets; links and components take in what is found."""
         sets = self._sets_of(pairs)
+        if sets is None:  # there are no pairs
+            return
         x, y = (sets.select(F.col("id").alias(name), F.col("shingles").alias(f"set_{name}")) for name in "xy")
         common = F.size(F.array_intersect("set_x", "set_y"))
         union = F.size("set_x") + F.size("set_y") - F.col("common")
@@ -323,32 +329,55 @@ class _Search:
         if not rest.isEmpty():
             self.confirm(rest)
 
+    def rare_shingles(self, ids: DataFrame) -> DataFrame:
+        """(bucket, id, n, rank): the rarest shingles of the documents, of which two that are linked share one."""
+        pairs = ids.select(F.col("id").alias("x"), F.col("id").alias("y"))
+        sets = self._sets_of(pairs).join(ids, "id", "left_semi")
+        each = sets.select(
+            "id", F.xxhash64("shingles").alias("set"), F.size("shingles").alias("n"), F.explode("shingles").alias("bucket")
+        )
+        counts = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("times"))
+        order = Window.partitionBy("id", "set").orderBy("times", "bucket")  # the shingles of one text
+        ranked = each.join(counts, "bucket").withColumn("rank", F.row_number().over(order))
+        first = F.col("n") - F.ceil(F.col("n") * self.threshold - 1e-6) + 1
+        return ranked.filter((F.col("rank") <= first) & (F.col("times") > 1)).select("bucket", "id", "n", "rank")
+
+    def _torn(self, members: DataFrame) -> DataFrame:
+        """The members (bucket, id ...), with their components `c`, of buckets that hold several."""
+        placed = self.with_component(members, "id", "c")
+        torn = placed.groupBy("bucket").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a < b")
+        return settled(placed.join(torn.select("bucket"), "bucket", "left_semi"), "near-members")
+
     def further_rounds(self, members: DataFrame) -> None:
-        """Pivots for buckets whose untested members lie in several components."""
-        left, pivots = members.filter("id <> pivot").select("bucket", "id"), 4
+        """Test what the first pivots of torn buckets have left, by rare shingles."""
+        left = self._torn(members.filter("id <> pivot").select("bucket", "id"))
+        if left.isEmpty():
+            return
+        left, pivots = self.rare_shingles(settled(left.select("id").distinct(), "near-torn")), 16
         while True:
-            placed = self.with_component(left, "id", "c")
-            torn = placed.groupBy("bucket").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a < b")
-            left = settled(placed.join(torn.select("bucket"), "bucket", "left_semi"), "near-members")
+            left = self._torn(left)
             if left.isEmpty():
                 return
             chosen = left.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(pivots)).alias("part")).agg(
-                F.min_by(F.struct("id", "c"), "id").alias("p")
-            ).select("bucket", F.col("p.id").alias("p"), F.col("p.c").alias("c_p"))
+                F.min_by(F.struct("id", "c", "n", "rank"), "id").alias("p")
+            ).select("bucket", *(F.col("p")[x].alias(f"{x}_p") for x in ("id", "c", "n", "rank")))
             chosen = settled(chosen, "near-pivots")
+            # The shingles that two sets can still have in common, and those that a link takes.
+            most = 1 + F.least(F.col("n") - F.col("rank"), F.col("n_p") - F.col("rank_p"))
+            asked = F.ceil((F.col("n") + F.col("n_p")) * (self.threshold / (1 + self.threshold)) - 1e-6)
             pairs = (
-                left.join(chosen, "bucket").filter("id <> p and c <> c_p")
-                .select(F.least("id", "p").alias("x"), F.greatest("id", "p").alias("y")).distinct()
+                left.join(chosen, "bucket").filter((F.col("id") != F.col("id_p")) & (F.col("c") != F.col("c_p")) & (most >= asked))
+                .select(F.least("id", "id_p").alias("x"), F.greatest("id", "id_p").alias("y")).distinct()
             )
             if self.tested is not None:
                 pairs = pairs.join(self.tested, ["x", "y"], "left_anti")
             likely = settled(self.likely(pairs).select("x", "y"), "near-tests")
             if not likely.isEmpty():
                 self.confirm(likely)
-            left = left.select("bucket", "id").join(
-                chosen.select("bucket", F.col("p").alias("id")), ["bucket", "id"], "left_anti"
+            left = left.drop("c").join(
+                chosen.select("bucket", F.col("id_p").alias("id")), ["bucket", "id"], "left_anti"
             )
-            pivots *= 4
+            pivots *= 8
 
 
 def components(
