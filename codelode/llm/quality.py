@@ -7,7 +7,8 @@ probability of being good.
 
 The distinct vote patterns, at most 3 to the number of rules, are counted by Spark; only these counts
 reach the driver. The figures are made by one Arrow function of the text and the posterior is a plain
-expression, so that nothing but pattern counts is shuffled.
+expression, so that nothing but pattern counts is shuffled. `assess` makes the figures once and keeps
+them as a table; `good_documents` makes them twice, which spares it a join with the texts.
 
 Edge cases: null and empty texts have no words, so fail the base rule; any id, also null or repeated,
 is passed through, one row for each row; further columns are ignored by `assess` and kept by
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelode.llm.common import free_name, strings
+from codelode.llm.common import free_name, settled, strings
 
 FIGURES = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -184,10 +185,14 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500, tolerance:
 
 def learn(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> Model:
     """Estimate the accuracies of the rules on all documents."""
-    figure = "figure"
+    return learn_from(docs.select(text_figures(text).alias("figure")), "figure", rules)
+
+
+def learn_from(figures: DataFrame, figure: str, rules: tuple[Rule, ...] = RULES) -> Model:
+    """Estimate the accuracies of the rules from the figures of all documents."""
     votes = [rule.vote(figure).alias(f"v{k}") for k, rule in enumerate(rules)]
     found = (
-        docs.select(text_figures(text).alias(figure)).select(*votes)
+        figures.select(*votes)
         .groupBy(*(f"v{k}" for k in range(len(rules)))).count()
         .collect()  # no more than 3 ** len(rules) rows
     )
@@ -196,21 +201,14 @@ def learn(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
     return fit(table[:, :-1], table[:, -1])
 
 
-def _judged(docs: DataFrame, text: str, rules: tuple[Rule, ...], threshold: float) -> tuple[DataFrame, str]:
-    model = learn(docs, text, rules)
-    figure = free_name(docs, "_figure")
-    judged = docs.withColumn(figure, text_figures(text))
+def _verdict(model: Model, figure: str, rules: tuple[Rule, ...], threshold: float) -> Column:
     base_failed = F.expr(f"`{figure}`.n_words < 50 or 100 * `{figure}`.n_repeat_words > 50 * `{figure}`.n_words")
-    verdict = free_name(judged, "_verdict")
     posterior = model.posterior([rule.vote(figure) for rule in rules])
-    return judged.withColumn(
-        verdict,
-        F.struct(
-            base_failed.alias("base_failed"),
-            posterior.alias("quality"),
-            (~base_failed & (posterior >= threshold)).alias("kept"),
-        ),
-    ), figure
+    return F.struct(
+        base_failed.alias("base_failed"),
+        posterior.alias("quality"),
+        (~base_failed & (posterior >= threshold)).alias("kept"),
+    )
 
 
 def assess(
@@ -218,17 +216,17 @@ def assess(
     threshold: float = 0.5,
 ) -> DataFrame:
     """`key`, the figures, `base_failed`, `quality` (posterior) and `kept` of every document."""
-    judged, figure = _judged(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", rules, threshold)
-    verdict = judged.columns[-1]
-    return judged.select(
-        F.col("key").alias(key), *(F.col(figure)[name].alias(name) for name in FIGURES),
-        *(F.col(verdict)[name].alias(name) for name in ("base_failed", "quality", "kept")),
-    )
+    # The figures are read twice, to estimate and to judge; they are few bytes beside a text.
+    figures = settled(docs.select(F.col(key).alias("key"), text_figures(text).alias("figure")), "quality-figures")
+    verdict = _verdict(learn_from(figures, "figure", rules), "figure", rules, threshold)
+    return figures.withColumn("verdict", verdict).select(F.col("key").alias(key), "figure.*", "verdict.*")
 
 
 def good_documents(
     docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = 0.5
 ) -> DataFrame:
     """The documents that are kept, with their own columns and no other."""
-    judged, _ = _judged(docs, text, rules, threshold)
-    return judged.filter(F.col(judged.columns[-1])["kept"]).select(*docs.columns)
+    model = learn(docs, text, rules)
+    figure = free_name(docs, "_figure")
+    judged = docs.withColumn(figure, text_figures(text))
+    return judged.filter(_verdict(model, figure, rules, threshold)["kept"]).select(*docs.columns)

@@ -158,8 +158,9 @@ def test_repeats_in_documents(spark):
     assert got == brute.without_repeats([tuple(r) for r in docs.collect()], 200)
 
 
-@pytest.mark.parametrize(("length", "trigger", "run"), [(12, 4, 1 << 20), (30, 8, 50)])
-def test_repeats_in_random_texts(spark, length, trigger, run):
+@pytest.mark.parametrize(("length", "trigger", "run", "together"), [(12, 4, 1 << 20, 4096), (30, 8, 50, 2)])
+def test_repeats_in_random_texts(spark, monkeypatch, length, trigger, run, together):
+    monkeypatch.setattr(repeats, "TOGETHER", together)  # beyond it windows are shuffled by hash
     draw = random.Random(length)
     base = "".join(draw.choice("ab cé") for _ in range(500))
     rows = []
