@@ -223,7 +223,7 @@ def repeated_runs(entries: list[tuple[int, int, int, bytes]], length: int) -> It
         yield k, int(first[k] + within[run[0]]), len(run)
 
 
-def _ordered_entries(length: int, block: int = 8 << 20):
+def _ordered_entries(length: int, block: int = 2 << 20):
     """Runs of repeated windows of entries that come sorted by trigger."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
