@@ -80,14 +80,14 @@ class Encoder:
         """The ids of a line feed (or none), a run of letters and a mark (or none); None for other pieces."""
         end = self.marks.get(piece[-1], b"")
         body = piece[:-1] if end else piece
-        if end and (word := self.known.get(body)):
-            return word + end
         begin = b""
         if body[:1] == "\n":
             begin, body = self.line, body[1:]
         letters = body[1:] if body[:1] == " " and not begin else body
-        if not letters.isalpha():
+        if not letters.isalpha():  # a mark behind another belongs to the same unit
             return None
+        if end and (word := self.known.get(body)):
+            return begin + word + end
         spelled = "Ġ" + letters if letters.isascii() and letters is not body else (
             letters if letters.isascii() else body.encode().decode("latin-1").translate(self.alphabet)
         )

@@ -44,6 +44,19 @@ def test_pieces_give_the_ids_of_whole_texts(monkeypatch):
     assert list(pieces.Encoder(BPE).encode(ODD, block=10)) == expected
 
 
+def test_pieces_with_marks_behind_known_ones():
+    """A run of marks is one unit, also if the piece without the last mark was learned before."""
+    texts = [
+        "a foo) what? wait. \"yes\" x) f() what", "a foo). what?! wait.. \"yes\", x): f(); what!", "what? wait. foo)",
+        "what?! wait.. foo).", "\nfoo \nfoo, \nfoo,. foo", "a?\nfoo.. a\nfoo, \n. . .. ... 1. 1.. 1,", "foo foo. foo.. foo... foo....",
+    ]
+    expected = [np.array(library_ids(t), "<u2").tobytes() for t in texts]
+    for block in (1, 4 << 20):
+        own = pieces.Encoder(BPE)
+        assert list(own.encode(texts, block=block)) == expected
+        assert list(own.encode(texts, block=block)) == expected
+
+
 def test_token_counts(spark, odd):
     docs = odd.unionByName(documents(spark, SF).select((F.col("doc_id") + 100).alias("doc_id"), "text"))
     docs = docs.unionByName(odd.filter("doc_id = 3")).unionByName(odd.filter("doc_id = 5").select(F.lit(None).alias("doc_id"), "text"))
