@@ -10,6 +10,10 @@ Distinctness is checked, not hoped for: a candidate that another entity of the t
 is itself an entity of the texts, is given up and the entity with the greater hash tries again. A format
 with few possible values is left in steps: first its fixed parts, then its length.
 
+A number behind a country code ends with the digits of that code's plan. Where the plan isn't fixed it has up to
+15 digits, its blanks stand before its hyphens, and dots stand alone; a number behind it that goes on in that way
+can't be told from it. No telephone number reaches into an IP address.
+
 DataFrame functions only. Texts are scanned where they are; what is shuffled are the mentions, and the
 texts of those documents that have one. A hot entity or text is reduced before the shuffle or split
 by adaptive joins.
@@ -49,10 +53,27 @@ SURNAME = {
 _WORD = r"\p{L}\p{N}._%+-"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _EMAIL = rf"(?<![{_WORD}])[{_WORD}]{{1,64}}+@(?:[\p{{L}}\p{{N}}-]{{1,63}}\.){{1,8}}\p{{L}}{{2,24}}(?![\p{{L}}\p{{N}}])"
-_IP = rf"(?<![\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\p{{N}}|\.\p{{N}})"
+_QUAD = rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\p{{N}}|\.\p{{N}})"
+_IP = rf"(?<![\p{{N}}.]){_QUAD}"
 _CARD = r"(?<!\p{N})(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\p{N})"
+# What divides a number; no IP address begins behind it.
+_BLANK, _HYPHEN = rf" (?!{_QUAD})", rf"-(?!{_QUAD})"
+_GAP = rf"(?:{_BLANK}|{_HYPHEN}|\.)"
+# Country codes by the digits that all their numbers have.
+_PLANS = {10: "1|7|44|91", 9: "3[134]|4[18]|61", 8: "4[57]"}
+_PLANNED = "|".join(
+    rf"(?:{codes})(?:{_GAP}|\(){{0,2}}\d(?:(?:{_GAP}(?=\d\d)|[()]){{0,2}}\d){{{digits - 1}}}(?!\p{{N}})"
+    for digits, codes in _PLANS.items()
+)
+# Four pairs with dots may be the end of a number although they look like an IP address.
+_OTHER = (
+    r"\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?|\d{1,4}[ .-])"
+    rf"(?:(?!{_QUAD})|(?=\d\d(?:\.\d\d){{3}}(?!\p{{N}})))"
+    rf"(?:\d{{2,4}}(?:\.\d{{2,4}}){{1,3}}|\d{{2,4}}(?:{_BLANK}\d{{2,4}}){{0,3}}(?:{_HYPHEN}\d{{2,4}}){{0,3}})"
+    rf"(?<!\d{r'[ .()-]{0,3}\d' * 15})"
+)
 _PHONE = (
-    r"(?<![\p{N}+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?|\d{1,4}[ .-])\d{2,4}(?:[ .-]\d{2,4}){0,3}"
+    rf"(?<![\p{{N}}+])(?:\+(?:{_PLANNED}|{_OTHER})"
     r"|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?!\p{N})"
 )
 _NAME = (

@@ -222,6 +222,29 @@ def test_surrogates(spark):
     assert surrogates.replaced(rows.limit(0), "k").count() == 0
 
 
+def test_surrogates_of_numbers_in_a_row(spark):
+    """What stands behind a telephone number is no part of it."""
+    phone, ip = "+1 (555) 123-4567", "192.168.10.25"
+    texts = [
+        f"{phone} {ip} on", f"{phone} 12 items", f"{phone} 2024 budget", f"{phone}-{ip}", f"{phone}, {ip}.",
+        f"+49 30 1234 5678 {ip}", f"+44 20 7946 0958 12 items", "+33 1 23 45 67 89 20 on", "+33.1.23.45.67.89.", "+33 1 23.45.67.89 on",
+        "+49 30 1234 5678-90", "+420 601-123-456 20", "+49 30 1234 567 9012 34", "+7 495 123-45-67 10", "+1 555 123 4567", "+1-555-123-4567 8.8.8.8",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.m for r in rows.select("doc_id", surrogates.mentions(F.col("text")).alias("m")).collect()}
+    assert [found[n] for n in range(len(texts))] == [
+        [phone, ip], [phone], [phone], [phone, ip], [phone, ip],
+        ["+49 30 1234 5678", ip], ["+44 20 7946 0958"], ["+33 1 23 45 67 89"], ["+33.1.23.45.67.89"], ["+33 1 23.45.67.89"],
+        ["+49 30 1234 5678-90"], ["+420 601-123-456"], ["+49 30 1234 567 9012"], ["+7 495 123-45-67"], ["+1 555 123 4567"],
+        ["+1-555-123-4567", "8.8.8.8"],
+    ]
+    new = {r.doc_id: r for r in surrogates.replaced(rows, "k").collect()}
+    first = new[1].text.removesuffix(" 12 items")
+    assert first != phone and new[0].text.startswith(f"{first} 10.") and new[0].text.endswith(" on") and ip not in new[0].text
+    assert new[2].text == f"{first} 2024 budget" and new[0].n_replaced == 2
+    assert re.sub(r"\D", "", new[14].text) == re.sub(r"\D", "", first)
+
+
 def test_surrogates_stay_distinct(spark):
     """A thousand names of few words, and telephone numbers of which none may become another's."""
     names = spark.range(1000).select(F.lit("surname Latin").alias("type"), F.concat(F.lit("n"), "id").alias("canonical"))
