@@ -245,6 +245,29 @@ def test_surrogates_of_numbers_in_a_row(spark):
     assert re.sub(r"\D", "", new[14].text) == re.sub(r"\D", "", first)
 
 
+def test_surrogates_of_common_forms(spark):
+    texts = {
+        "+15551234567, +1 (555) 123-4567": ["+15551234567", "+1 (555) 123-4567"],
+        "+49 151 23456789, +4915123456789 on": ["+49 151 23456789", "+4915123456789"],
+        "+55 11 98765-4321; +4111111111111111; +12345678.5": ["+55 11 98765-4321", "4111111111111111"],
+        "Mr. McDonald, Mr. Mcdonald's": ["Mr. McDonald", "Mr. Mcdonald"],
+        "Frau Müller-Schmidt": ["Frau Müller-Schmidt"], "Mr. J. Smith, Mr. J.R. Smith": ["Mr. J. Smith", "Mr. J.R. Smith"],
+        "Mrs O'Brien met Herr D’Angelo.": ["Mrs O'Brien", "Herr D’Angelo"], "Mr. SMITH": ["Mr. SMITH"],
+        "госпожа Анна Римская-Корсакова": ["госпожа Анна Римская-Корсакова"], "Mr. X said": [],
+        "Herr Müller東京": ["Herr Müller"],
+    }
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.text: r.m for r in rows.select("text", surrogates.mentions(F.col("text")).alias("m")).collect()}
+    assert found == texts
+    new = {r.doc_id: r.text for r in surrogates.replaced(rows, "k").collect()}
+    for n, whole in ((0, r"\+1(\d{10}), \+1 (\(\d{3}\) \d{3}-\d{4})"), (1, r"\+49 (\d{3} \d{8}), \+49(\d{11}) on")):
+        a, b = re.fullmatch(whole, new[n]).groups()
+        assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b)
+    assert not any(w in t for t in new.values() for w in ("Donald", "Schmidt", "Smith", "Brien", "Angelo", "SMITH", "Римская"))
+    one, two = re.fullmatch(r"Mr\. (\S+), Mr\. (\S+)'s", new[3]).groups()
+    assert one == two and new[9] == "Mr. X said"
+
+
 def test_surrogates_stay_distinct(spark):
     """A thousand names of few words, and telephone numbers of which none may become another's."""
     names = spark.range(1000).select(F.lit("surname Latin").alias("type"), F.concat(F.lit("n"), "id").alias("canonical"))
