@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.llm import (
+    centroids,
     fingerprints,
+    hard_negatives,
     language,
     mixing,
     near_duplicates,
+    packing,
     quality,
     repeats,
     sentence_pieces,
@@ -25,6 +28,7 @@ from codelode.llm import (
 from codelode.llm.common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 SURROGATE_KEY = "codelode-demonstration-key"
 
@@ -76,12 +80,35 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.components(documents(spark, sf_dir), width=4)
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, label = F.col("vec_id"), F.col("label").cast("long")
+    moved = F.when(key % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mined(
+        embeddings(spark, sf_dir), "vec_id", F.col("embedding"), moved, F.col("key") % 100 == 0, scale=256
+    )
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(
+        embeddings(spark, sf_dir), "vec_id", F.col("embedding"), components=64, scale=1024, n=8, rounds=10, seed="3"
+    )
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir), WORD_BPE)
+
+
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
             op1_quality_rules, op2_source_mixing, op3_sentence_pieces, op4_token_counts, op5_surrogates,
             op6_language_id, op7_token_files, op8_fingerprints, op9_repeats, op10_near_duplicates,
+            op11_hard_negatives, op12_centroids, op13_packing,
         )
     }
 
