@@ -1,6 +1,7 @@
 """Lexical patterns of the three languages.
 
-One call of `regexp_extract_all` splits a whole unit into elements. An element is a gap (blanks,
+One call of `regexp_extract_all` splits a whole unit into elements, or each part between the literals that
+`functions.literals` finds. An element is a gap (blanks,
 line breaks, comments) followed by one token; a gap may stand alone only at the end of the unit.
 Joining all elements gives the unit back, so offsets are sums of element lengths.
 
@@ -29,17 +30,27 @@ _TRIPLE = r'"""(?:[^"\\]++|\\[\s\S]|"(?!""))*+(?:""")?'
 _TRIPLE_SINGLE = r"'''(?:[^'\\]++|\\[\s\S]|'(?!''))*+(?:''')?"
 _DOUBLE = r'"(?:[^"\\\n]++|\\[\s\S])*+"?'
 _SINGLE = r"'(?:[^'\\\n]++|\\[\s\S])*+'?"
-# Template literal; a ${...} part may hold strings, templates and one more level of braces.
-_TEMPLATE = (
-    r"`(?:[^`\\$]++|\\[\s\S]"
-    r"|\$\{(?:[^{}`'\"]++|" + _SINGLE + "|" + _DOUBLE + r"|`(?:[^`\\]++|\\[\s\S])*+`|\{[^{}]*+\})*+\}"
-    r"|\$)*+`?"
-)
-# A slash starts a regex literal when no value can end right before it.
-_REGEX_START = r"(?:(?<![\p{L}\p{N}_$)\]}\"'`<])|(?<=\breturn)|(?<=\btypeof)|(?<=\bcase))"
-REGEX_BODY = r"/(?![*/])(?:[^/\\\[\n]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/[a-z]*+"
-
 _NUMBER = r"\.?[0-9][\p{L}\p{N}_.]*+"
+
+# Java's type arguments are one token, so that their commas part nothing. A simple name in them begins with a capital,
+# by custom; that tells them from comparisons. `_NESTED` of them can stand in each other.
+_NESTED = 8
+
+
+def _type_arguments() -> str:
+    name = (
+        r"(?:" + _IDENT + r"\s*+\.\s*+)*+(?:\p{Lu}[\p{L}\p{N}_$]*+"
+        r"|(?:int|long|byte|char|short|boolean|float|double)(?=\s*+\[))"
+    )
+    words = r"\s++|[,&?]|\[\s*+\]|(?:extends|super)(?![\p{L}\p{N}_$])|" + name
+    pattern = f"<(?:{words})*+>"
+    for _ in range(_NESTED - 1):
+        pattern = f"<(?:{words}|{pattern})*+>"
+    return pattern
+
+
+_TYPE_ARGUMENTS = _type_arguments()
+
 _OPERATOR = (
     r"===|!==|==|!=|=>|->|:=|<=|\.\.\.|::|\+\+|--"
     r"|(?:>>>|>>|<<|\*\*|//|&&|\|\||\?\?|[-+*/%&|^@>])=|[\s\S]"
@@ -62,12 +73,14 @@ PYTHON_CORE = "|".join(
         _OPERATOR,
     ]
 )
-JAVA_CORE = "|".join([_TRIPLE, _DOUBLE, _SINGLE, _NUMBER, _dotted(r"\.", _IDENT), _SLASH_OPERATOR])
+_JAVA_MEMBER = rf"\.\s*+{_TYPE_ARGUMENTS}\s*+{_IDENT}(?:\.{_IDENT})*+"
+JAVA_CORE = "|".join(
+    [_TRIPLE, _DOUBLE, _SINGLE, _NUMBER, _dotted(r"\.", _IDENT), _JAVA_MEMBER, _TYPE_ARGUMENTS, _SLASH_OPERATOR]
+)
 JAVASCRIPT_CORE = "|".join(
     [
         _DOUBLE,
         _SINGLE,
-        _TEMPLATE,
         _NUMBER,
         _dotted(r"\??\.", "#?" + _IDENT),
         r"\?\.\s*+[(\[]",
@@ -82,9 +95,7 @@ def _element(gap: str, core: str) -> str:
 
 PYTHON_ELEMENT = _element(PYTHON_GAP, PYTHON_CORE)
 JAVA_ELEMENT = _element(SLASH_GAP, JAVA_CORE)
-JAVASCRIPT_ELEMENT = (
-    f"{_REGEX_START}(?:{SLASH_GAP})*+{REGEX_BODY}|" + _element(SLASH_GAP, JAVASCRIPT_CORE)
-)
+JAVASCRIPT_ELEMENT = _element(SLASH_GAP, JAVASCRIPT_CORE)
 
 # Text mode: name = "value" in running text, where quotes and apostrophes are not balanced.
 TEXT_ASSIGNMENT = r'([A-Za-z_][A-Za-z0-9_]*)\s*=\s*"([^"\n]*)"'
@@ -167,7 +178,7 @@ def by_language(language: Column, python: Column, java: Column, javascript: Colu
 
 
 def elements(language: Column, content: Column) -> Column:
-    """All elements of a unit, in order; empty for a language the scanner does not know."""
+    """All elements of a text without nested literals, in order; empty for a language the scanner does not know."""
     def split(pattern: str) -> Column:
         return F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
 
@@ -178,6 +189,12 @@ def elements(language: Column, content: Column) -> Column:
     )
 
 
+def is_gap(language: Column, element: Column) -> Column:
+    """Whether an element has no token."""
+    python, slash = element.rlike(rf"\A(?:{PYTHON_GAP})++\z"), element.rlike(rf"\A(?:{SLASH_GAP})++\z")
+    return F.when(language == PYTHON, python).otherwise(slash)
+
+
 def without_gap(language: Column, element: Column) -> Column:
     """The token of an element. Most gaps are empty or one blank; only comments need the regex."""
     # Codes: 32 blank, 35 #, 47 /, 92 backslash. Comments begin with one of the last three.
@@ -243,7 +260,7 @@ MEMBER = 3  # name that begins with a dot
 VALUE = 4  # null, this, True, ...
 STRING = 5
 NUMBER = 6
-OTHER_QUOTED = 7  # template literal, regular expression, Java character
+OTHER_QUOTED = 7  # template literal, JSX element, regular expression, Java character
 CLOSE = 8
 OPEN = 9
 COMMA = 10
@@ -337,6 +354,8 @@ def with_kind(rows: DataFrame) -> DataFrame:
         )
         # A regular expression literal: no operator of three characters begins with a slash here.
         .when((first == _SLASH) & (size > 2) & (language == JAVASCRIPT), F.lit(OTHER_QUOTED))
+        # A JSX element: no operator of four characters begins like that.
+        .when((code == 60) & (size > 3) & (language == JAVASCRIPT), F.lit(OTHER_QUOTED))
         .when(token.isin(_COMPOUND_OPERATORS), F.lit(COMPOUND))
         .otherwise(F.lit(OPERATOR))
     )
@@ -351,7 +370,11 @@ def with_kind(rows: DataFrame) -> DataFrame:
         .when(first > END, F.lit(OPERATOR))
         .otherwise(first)
     )
-    number = F.when(
+    # Type arguments count as the sign that ends them; a comparison is no word.
+    is_java = language == JAVA
+    number = F.when(is_java & (code == 60) & (size > 1) & token.endswith(">"), F.lit(word(">"))).when(
+        is_java & (token == ">"), F.lit(0)
+    ).when(
         size <= _LONGEST_WORD, F.find_in_set(token, F.lit(",".join(_WORDS)))
     ).when(token.endswith(".new"), F.lit(word("new"))).otherwise(0)
     return rows.withColumns({"kind": kind, "word": number}).drop("code", "size", "first")

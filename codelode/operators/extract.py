@@ -7,12 +7,8 @@ Known limits, all from working on tokens and not on a syntax tree:
 
 * code inside f-strings and `${...}` is read as a piece of its own, so that an assignment in it is found
   as in a statement of its own;
-* a callee that is not a chain of names (`f()(x)`, `a[0](x)`) gives no call, as it cannot match
-  a rule;
-* a comma inside Java generics in an argument splits the argument in two;
-* Java explicit type arguments (`A.<T>f(x)`), enum constants with arguments, and JSX attributes
-  that stand alone on their line are read like ordinary calls and assignments;
-* `a > f();` in Java is read as a declaration `... <a> f();` without parameters;
+* Java's type arguments are told from comparisons by the capitals of their names: `f(A < B, C > d)` has one argument;
+* enum constants with arguments are read like calls;
 * damaged code gives what its tokens show; there is no imitation of a parser's error recovery.
 """
 
@@ -21,9 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codelode.catalog import JAVA, JAVASCRIPT
+from codelode.catalog import JAVA, JAVASCRIPT, PYTHON
 from codelode.functions import lexical as lx
-from codelode.functions import lexing
 from codelode.functions.expressions import strip_quotes
 from codelode.operators.structure import (
     LINK,
@@ -43,7 +38,6 @@ from codelode.operators.tokens import (
     in_unit,
     piece_bounds,
     positioned,
-    text_of_unit,
     with_inner_code,
     with_next,
     with_previous,
@@ -72,17 +66,21 @@ def _call() -> Column:
     # f(x for x in y) has no argument list.
     generator = F.col("next_for") < F.col("delim.pos")
     declaration = (callee["by_brace"] & after.isin(lx.words("{", "=>", "throws"))) | (
-        callee["by_semicolon"] & (after == lx.word(";")) & (_segment_size() != 1)
+        callee["name_end"].isNotNull() & chain["control"]
+    )
+    # Type arguments in front of a name are no part of it.
+    token = F.when(
+        callee["name_end"].isNull(),
+        F.when(callee["tok"].contains("<"), F.regexp_replace(callee["tok"], r"<[\s\S]*>\s*", "")).otherwise(callee["tok"]),
     )
-    token = callee["tok"]
     name = F.ltrim(F.substring_index(token, ".", -1), F.lit(" \t\n\r\f\x0b\\"))
     dotted = F.when(token.contains("."), F.regexp_replace(token, r"\??\.\s*[^.]*$", ""))
     # Java takes the place of the name, which may stand on a later line than its dot; the others
     # take the place of the whole callee.
     own = F.col("language") == JAVA
     own_line = callee["line"] + callee["newlines"]
-    own_col = F.when(callee["newlines"] > 0, after_last_newline(token) + 1).otherwise(
-        callee["col"] + F.octet_length(token)
+    own_col = F.when(callee["newlines"] > 0, after_last_newline(callee["tok"]) + 1).otherwise(
+        callee["col"] + F.octet_length(callee["tok"])
     ) - F.octet_length(name)
     return F.when(
         callee.isNotNull() & closer["pos"].isNotNull() & no(generator) & no(declaration),
@@ -92,6 +90,9 @@ def _call() -> Column:
             F.when(own, own_col).otherwise(chain["col"]).cast("int").alias("col"),
             chain["byte_off"].alias("chain_off"),
             callee["member_off"].alias("member_off"),
+            callee["name_end"].alias("name_end"),
+            chain["pos"].alias("chain_pos"),
+            *(F.col(name).alias(name) for name in ("kept", "earlier", "own_begin")),
             F.when(dotted != "", F.replace(dotted, F.lit("?."), F.lit("."))).alias("dotted"),
         ),
     )
@@ -173,6 +174,7 @@ def _item_columns() -> list[Column]:
         F.coalesce(call["col"], assignment["col"]).alias("col"),
         call["chain_off"].alias("chain_off"),
         call["member_off"].alias("member_off"),
+        *(call[name].alias(name) for name in ("name_end", "chain_pos", "kept", "earlier", "own_begin")),
         call["dotted"].alias("dotted"),
         F.when(
             assignment.isNotNull(),
@@ -229,6 +231,7 @@ def items(units: DataFrame) -> DataFrame:
     rows = (
         rows.withColumn("sums", sums)
         .filter(F.col("callee").isNotNull() | F.col("assigned").isNotNull())
+        .transform(with_earlier_names)
         .withColumns({"assignment": _assignment(), "call": _call()})
         .filter(F.col("assignment").isNotNull() | F.col("call").isNotNull())
     )
@@ -248,7 +251,7 @@ def _calls_with_arguments(units: DataFrame) -> DataFrame:
 
     Grouping is by `path` and bracket, so it needs no shuffle.
     """
-    rows = _parts(units).filter("in_call").withColumn("call", _call())
+    rows = _parts(units).filter("in_call").transform(with_earlier_names).withColumn("call", _call())
     part = F.struct("pos", _segment().alias("segment"))
     return (
         rows.groupBy("path", "piece", "language", F.col("opener.pos").alias("item_pos"))
@@ -280,7 +283,7 @@ def _with_bytes(found: DataFrame, units: DataFrame, needed: Column) -> DataFrame
     whole = F.when(F.spark_partition_id() >= 0, F.col("piece")) == ""
     texts = by_path(units).filter(whole).select(
         F.col("path").alias("unit_path"),
-        F.when(F.col("language").isNotNull(), text_of_unit().cast("binary")).alias("unit_bytes"),
+        F.when(F.col("language").isNotNull(), F.col("content").cast("binary")).alias("unit_bytes"),
     )
     same = (F.col("path") == F.col("unit_path")) & F.col("needs_bytes")
     return (
@@ -290,12 +293,52 @@ def _with_bytes(found: DataFrame, units: DataFrame, needed: Column) -> DataFrame
     )
 
 
+def with_earlier_names(rows: DataFrame) -> DataFrame:
+    """Add `earlier` to calls in Java: where the names of the calls before it in its chain stand, and `own_begin`, where its
+    own begin. Only Java leaves brackets out of a qualifier, so only there it has names of several stretches."""
+    ended = F.when(F.col("ended.pos") >= F.col("chain.pos"), F.col("ended.end"))
+    own_begin = F.coalesce(ended, F.col("chain.byte_off"))
+    here = F.when(
+        (F.col("language") == JAVA) & F.col("callee").isNotNull(),
+        F.struct("pos", F.col("own_begin").alias("begin"), F.col("gap_off").alias("end")),
+    )
+    in_chain = Window.partitionBy("path", "piece", "lvl", F.col("chain.pos")).orderBy("pos")
+    before = F.collect_list(here).over(in_chain.rowsBetween(Window.unboundedPreceding, -1))
+    kept = F.coalesce("kept.pos", F.lit(-1))
+    return (
+        rows.withColumn("own_begin", own_begin)
+        .withColumn("before", before)
+        .withColumn("earlier", F.filter("before", lambda n: n["pos"] > kept))
+        .drop("before")
+    )
+
+
+def _names(language: Column, text: Column) -> Column:
+    """Names with their dots, without comments, type arguments and blanks. No string can stand between them."""
+    python = F.regexp_replace(text, r"#[^\n]*+", "")
+    slash = F.regexp_replace(text, r"//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/", "")
+    java = F.when(slash.contains("<"), F.regexp_replace(slash, r"<[\s\S]*?>(?=\s*[\p{L}_$])", "")).otherwise(slash)
+    plain = F.when(language == PYTHON, python).when(language == JAVA, java).otherwise(slash)
+    joined = F.replace(F.regexp_replace(plain, r"[\s\\]+", ""), F.lit("?."), F.lit("."))
+    # Most stretches are bare names; a long chain has many.
+    odd = F.lit(False)
+    for sign in (" ", "\n", "\t", "\r", "\f", "\x0b", "\\", "/", "#", "<", "?"):
+        odd = odd | text.contains(sign)
+    return F.when(odd, joined).otherwise(text)
+
+
 def _qualifier() -> Column:
-    before = F.when(
-        F.col("member_off").isNotNull(), _slice(F.col("unit_bytes"), F.col("chain_off"), F.col("member_off"))
+    """E-13 to E-15: the text of the chain up to the last bracket that counts, and the names behind it."""
+    language, begin, member = F.col("language"), F.col("chain_off"), F.col("member_off")
+    raw = F.col("unit_bytes")
+    kept_end = F.when(F.col("kept.pos") >= F.col("chain_pos"), F.col("kept.end")).otherwise(begin)
+    parts = F.concat(
+        F.array(_slice(raw, begin, kept_end)),
+        F.transform("earlier", lambda n: _names(language, _slice(raw, n["begin"], n["end"]))),
+        F.array(_names(language, _slice(raw, F.col("own_begin"), member)), _names(language, F.coalesce("dotted", F.lit("")))),
     )
-    chain = lexing.chain_qualifiers(F.col("language"), before, F.col("dotted"))
-    return F.when(F.col("member_off").isNotNull(), chain).otherwise(F.col("dotted"))
+    found = F.regexp_replace(F.array_join(parts, ""), r"\A\.", "")
+    return F.when(member.isNotNull(), F.when(found != "", found)).otherwise(F.col("dotted"))
 
 
 def with_qualifier(found: DataFrame, units: DataFrame, only: Column) -> DataFrame:
@@ -336,7 +379,7 @@ def calls(units: DataFrame) -> DataFrame:
     units = with_inner_code(units)
     order = Window.partitionBy("path").orderBy("off", "piece", "pos")
     rows = placed(_calls_with_arguments(units)).withColumn("ordinal", F.row_number().over(order))
-    needed = F.col("member_off").isNotNull() | F.exists("arguments", lambda a: a["text"].isNull())
+    needed = F.coalesce("member_off", "name_end").isNotNull() | F.exists("arguments", lambda a: a["text"].isNull())
     rows = _with_bytes(rows, units, needed)
     arguments = F.transform(
         "arguments",
@@ -348,7 +391,8 @@ def calls(units: DataFrame) -> DataFrame:
         ),
     )
     return rows.withColumn("qualifier", _qualifier()).select(
-        "path", "language", "ordinal", "line", "col", "qualifier", F.col("name").alias("function_name"),
+        "path", "language", "ordinal", "line", "col", "qualifier",
+        F.coalesce(F.col("name"), _slice(F.col("unit_bytes"), F.col("chain_off"), F.col("name_end"))).alias("function_name"),
         F.transform(arguments, _placed_expression).alias("arguments"),
     )
 

@@ -18,7 +18,7 @@ def source_health(units: DataFrame) -> DataFrame:
     rows = with_next(with_previous(positioned(units)))
     kind = F.col("kind")
     language = F.col("language")
-    is_quoted = kind.isin(lx.STRING, lx.OTHER_QUOTED) & ~F.col("tok").startswith("/")
+    is_quoted = kind.isin(lx.STRING, lx.OTHER_QUOTED) & ~F.substring("tok", 1, 1).isin("/", "<")
     open_quote = F.when(is_quoted, ~lx.is_complete_string(language, F.col("tok")))
     at_end = F.col("n1_kind").isNull() | (F.col("n1_kind") == lx.END)
     no_value = (kind == lx.EQUALS) & (

@@ -68,12 +68,16 @@ def with_maybe_call(rows: DataFrame) -> DataFrame:
             (lx.is_single_name(_kind("p2")) | (_kind("p2") == lx.KEYWORD))
             & ~_is("p2", *lx.JAVA_BEFORE_CALL)
         )
-        | _is("p2", "]")
+        | _is("p2", "]", ">")
     )
     java = named & no(single & _is("p2", "new", "@")) & no(bare & typed)
     javascript = (named | _is("p1", "super", "import")) & no(
         single & (_is("p2", "new", "function") | (_is("p2", "*") & _is("p3", "function")))
     )
+    # Any expression can be called but in Java: `f()(x)`, `a[0](x)`, tag`x`(y).
+    ended = _is("p1", ")", "]")
+    python = python | (ended & ~((F.col("depth") == 0) & F.col("breaks")))
+    javascript = javascript | ended | (_kind("p1") == lx.OTHER_QUOTED)
     opens = (F.col("kind") == lx.OPEN) & (F.right("tok", F.lit(1)) == "(")
     found = yes(opens & lx.by_language(language, python, java, javascript))
     return rows.withColumn("maybe_call", found)
@@ -82,12 +86,13 @@ def with_maybe_call(rows: DataFrame) -> DataFrame:
 def _callee() -> Column:
     """What is known of the callee before a bracket that may open the arguments of a call.
 
-    The token after the closing bracket has a say too: `by_brace` and `by_semicolon` tell that the
-    call is a declaration after all if that token is a brace or a semicolon.
+    The token after the closing bracket has a say too: `by_brace` tells that the call is a declaration
+    after all if that token is a brace.
     """
     language = F.col("language")
     bare = _kind("p1") == lx.NAME
     extended = (language == JAVASCRIPT) & _is("p2", "extends")
+    unnamed = (_kind("p1") == lx.CLOSE) | (_kind("p1") == lx.OTHER_QUOTED)
     return F.when(
         F.col("maybe_call"),
         F.struct(
@@ -97,8 +102,9 @@ def _callee() -> Column:
             F.col("p1_tok_newlines").alias("newlines"),
             # A name that begins with a dot has a chain before it, which only the text can give.
             F.when(_kind("p1") == lx.MEMBER, F.col("p1_byte_off")).alias("member_off"),
-            (bare & (language != PYTHON) & no(extended)).alias("by_brace"),
-            (bare & (language == JAVA) & yes(_is("p2", ">"))).alias("by_semicolon"),
+            # No name but an expression, which ends there.
+            F.when(unnamed, F.col("gap_off")).alias("name_end"),
+            ((bare | unnamed) & (language != PYTHON) & no(extended)).alias("by_brace"),
         ),
     )
 
@@ -298,6 +304,10 @@ def _marks(rows: DataFrame) -> DataFrame:
     )
     next_word = F.coalesce(F.col("n1_word"), F.lit(0))
     is_closer = kind == lx.CLOSE
+    begins_chain = (F.col("role") == LINK) & no(continues)
+    is_named = kind.isin(lx.NAME, lx.DOTTED, lx.VALUE)
+    in_link = (F.col("role") == LINK) & ~kind.isin(lx.OPEN, lx.MEMBER) & ~(begins_chain & is_named)
+    tok_end = F.col("byte_off") + F.octet_length("tok")
     is_stop = (F.col("role") == STOP) | (
         (language != PYTHON) & (F.col("role") == GROUP) & kind.isin(lx.COMMA, lx.CLOSE)
     )
@@ -310,6 +320,7 @@ def _marks(rows: DataFrame) -> DataFrame:
         "pos",
         "role",
         "kind",
+        "gap_off",
         _callee().alias("callee"),
         "assigned",
         *(
@@ -322,8 +333,15 @@ def _marks(rows: DataFrame) -> DataFrame:
             is_closer | (kind == lx.COMMA), F.struct("pos", "gap_off", "comments")
         ).alias("delim_here"),
         F.when(
-            (F.col("role") == LINK) & no(continues), F.struct("byte_off", "line", "col")
+            begins_chain,
+            F.struct(
+                "pos", "byte_off", "line", "col", is_named.alias("named"),
+                # `if (a) (b)` calls nothing.
+                (yes(_is("p1", *lx.CONTROL_WORDS)) & is_javascript & (kind == lx.OPEN)).alias("control"),
+            ),
         ).alias("chain_here"),
+        F.when(is_closer, F.when(is_java & (bracket == ")"), "maybe").otherwise("yes")).when(in_link, "yes").alias("kept"),
+        F.when(is_closer | in_link, tok_end).alias("kept_end"),
         F.when(is_stop, F.col("gap_off")).alias("stop_here"),
         F.when((word == lx.word("for")) & (language == PYTHON), F.col("pos")).alias("for_here"),
     )
@@ -332,7 +350,8 @@ def _marks(rows: DataFrame) -> DataFrame:
 def structure(rows: DataFrame) -> DataFrame:
     """Add the groups: `opener` (innermost bracket that holds the row, or the bracket itself),
     `closer` (its closing bracket), `delim` (next comma or closing bracket), `chain` (where the
-    chain of the row begins), `stop_end` (byte at which a value that begins here ends)."""
+    chain of the row begins), `kept` (the last token in front of it up to which qualifiers have the text of the chain as it
+    stands, in place of its names), `ended` (the last bracket in front of it), `stop_end` (byte at which a value that begins here ends)."""
 
     def following(column: str) -> Column:
         return F.expr(
@@ -344,8 +363,15 @@ def structure(rows: DataFrame) -> DataFrame:
         .orderBy("pos")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    before = upto.rowsBetween(Window.unboundedPreceding, -1)
+    closed = F.count("closer_here").over(upto)
+    chain_here = F.when(F.col("chain_here").isNotNull(), F.struct("chain_here.*", "closed"))
+    # Java leaves the arguments of a method call out of the qualifiers behind it, but for a bracket that begins the chain.
+    keeps = (F.col("kept") == "yes") | (~F.col("chain.named") & (F.col("closed") == F.col("chain.closed") + 1))
     return (
         _marks(_placed(rows))
+        .withColumn("closed", closed)
+        .withColumn("chain_here", chain_here)
         .withColumns(
             {
                 "opener": F.last("opener_here", ignorenulls=True).over(upto),
@@ -356,5 +382,15 @@ def structure(rows: DataFrame) -> DataFrame:
                 "next_for": following("for_here"),
             }
         )
-        .drop("opener_here", "closer_here", "delim_here", "chain_here", "stop_here", "for_here")
+        .withColumn("kept_here", F.when(F.col("kept").isNotNull() & keeps, F.struct("pos", F.col("kept_end").alias("end"))))
+        .withColumns(
+            {
+                "kept": F.last("kept_here", ignorenulls=True).over(before),
+                "ended": F.last(F.when(F.col("kept").isNotNull(), F.struct("pos", F.col("kept_end").alias("end"))), ignorenulls=True).over(before),
+            }
+        )
+        .drop(
+            "opener_here", "closer_here", "delim_here", "chain_here", "stop_here", "for_here", "kept_here", "kept_end",
+            "closed",
+        )
     )

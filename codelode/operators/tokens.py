@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from codelode.catalog import PYTHON
 from codelode.functions import lexical as lx
-from codelode.functions import lexing
+from codelode.functions import literals
 
 
 def by_path(units: DataFrame) -> DataFrame:
@@ -32,40 +32,23 @@ def by_path(units: DataFrame) -> DataFrame:
     forty bytes of token rows behind the exchange. Set it to about one per 16 MB of source text.
     """
     n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # An empty string, but no literal: the windows must keep the column they are partitioned by.
-    none = F.substring("path", 1, 0).alias("piece")
-    piece = F.col("piece") if "piece" in units.columns else none
-    # Units that only Python can split cross the exchange as elements in place of their text: behind
-    # a Python function Spark would no longer know the partitioning.
-    split = lexing.bracketed_elements(F.col("language"), F.col("content"))
-    return (
-        units.select("path", piece, "language", "content", split.alias("elements"))
-        .withColumn("content", F.when(F.col("elements").isNull(), F.col("content")))
-        .repartition(n, "path")
-    )
-
-
-def text_of_unit() -> Column:
-    """The text of a unit behind the exchange."""
-    return F.coalesce(F.col("content"), F.array_join("elements", ""))
+    if "piece" not in units.columns:
+        # An empty string, but no literal: the windows must keep the column they are partitioned by.
+        units = units.select("path", F.substring("path", 1, 0).alias("piece"), "language", "content",
+                             literals.outermost().alias("literals"))
+    return units.select("path", "piece", "language", "content", "literals").repartition(n, "path")
 
 
 def with_inner_code(units: DataFrame) -> DataFrame:
-    """The units, and the code inside their formatted strings and templates as pieces of their own.
+    """The units, and the code inside their formatted strings, templates and elements as pieces of their own.
 
     The literal itself stays one token of the unit around it. `piece` holds the line, column and byte
-    at which the code begins, and its size in bytes; it is empty for the unit itself.
+    at which the code begins, and its size in bytes; it is empty for the unit itself. The fold that finds the
+    literals runs once for a unit, as one generator makes all its rows.
     """
-    language, content = F.col("language"), F.col("content")
-    inner = (
-        units.filter(lexing.needs_brackets(language, content))
-        .select("path", "language", F.explode(lexing.inner_code(language, content)).alias("code"))
-        .select(
-            "path", "language", "code.content",
-            F.concat_ws(":", "code.line", "code.col", "code.off", F.octet_length("code.content")).alias("piece"),
-        )
-    )
-    return units.select("path", "language", "content", F.lit("").alias("piece")).unionByName(inner)
+    return units.select("path", "language", F.explode(literals.pieces()).alias("found")).select(
+        "path", "language", "found.piece", "found.content", "found.literals"
+    ).filter((F.col("piece") == "") | (F.trim("content") != ""))
 
 
 def _of_piece(number: int) -> Column:
@@ -134,9 +117,7 @@ def positioned(units: DataFrame) -> DataFrame:
             "path",
             "piece",
             "language",
-            F.posexplode(
-                F.coalesce(F.col("elements"), lx.elements(language, F.col("content")))
-            ).alias("pos", "element"),
+            F.posexplode(literals.elements(language, F.col("content"), F.col("literals"))).alias("pos", "element"),
         )
         .withColumn("tok", lx.without_gap(language, F.col("element")))
         .transform(lx.with_kind)
