@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from codelode.catalog import JAVA, JAVASCRIPT, PYTHON
 from codelode.functions import lexical as lx
 from codelode.functions.expressions import strip_quotes
+from codelode.functions.literals import let
 from codelode.operators.structure import (
     LINK,
     STRING,
@@ -92,7 +93,9 @@ def _call() -> Column:
             callee["member_off"].alias("member_off"),
             callee["name_end"].alias("name_end"),
             chain["pos"].alias("chain_pos"),
-            *(F.col(name).alias(name) for name in ("kept", "earlier", "own_begin")),
+            F.col("kept").alias("kept"),
+            F.coalesce(F.when(F.col("ended.pos") >= chain["pos"], F.col("ended.end")), chain["byte_off"]).alias("own_begin"),
+            F.col("gap_off").alias("own_end"),
             F.when(dotted != "", F.replace(dotted, F.lit("?."), F.lit("."))).alias("dotted"),
         ),
     )
@@ -174,7 +177,7 @@ def _item_columns() -> list[Column]:
         F.coalesce(call["col"], assignment["col"]).alias("col"),
         call["chain_off"].alias("chain_off"),
         call["member_off"].alias("member_off"),
-        *(call[name].alias(name) for name in ("name_end", "chain_pos", "kept", "earlier", "own_begin")),
+        *(call[name].alias(name) for name in ("name_end", "chain_pos", "kept", "own_begin", "own_end")),
         call["dotted"].alias("dotted"),
         F.when(
             assignment.isNotNull(),
@@ -231,19 +234,19 @@ def items(units: DataFrame) -> DataFrame:
     rows = (
         rows.withColumn("sums", sums)
         .filter(F.col("callee").isNotNull() | F.col("assigned").isNotNull())
-        .transform(with_earlier_names)
         .withColumns({"assignment": _assignment(), "call": _call()})
         .filter(F.col("assignment").isNotNull() | F.col("call").isNotNull())
     )
-    return rows.select(
+    return with_earlier_names(rows.select(
         "path",
         "piece",
         "language",
+        "lvl",
         "pos",
         *_item_columns(),
         F.when(F.col("call").isNotNull(), F.col("sums.args_before") - F.col("args_before")).alias("n_args"),
         F.when(F.col("call").isNotNull(), F.col("sums.strings_before") - F.col("strings_before")).alias("n_strings"),
-    )
+    ))
 
 
 def _calls_with_arguments(units: DataFrame) -> DataFrame:
@@ -251,18 +254,19 @@ def _calls_with_arguments(units: DataFrame) -> DataFrame:
 
     Grouping is by `path` and bracket, so it needs no shuffle.
     """
-    rows = _parts(units).filter("in_call").transform(with_earlier_names).withColumn("call", _call())
+    rows = _parts(units).filter("in_call").withColumn("call", _call())
     part = F.struct("pos", _segment().alias("segment"))
     return (
         rows.groupBy("path", "piece", "language", F.col("opener.pos").alias("item_pos"))
         .agg(
             F.first("call", ignorenulls=True).alias("call"),
+            F.first("lvl").alias("lvl"),
             F.flatten(
                 F.transform(F.array_sort(F.collect_list(part)), lambda s: s["segment"])
             ).alias("arguments"),
         )
         .filter(F.col("call").isNotNull())
-        .select("path", "piece", "language", F.col("item_pos").alias("pos"), "call.*", "arguments")
+        .select("path", "piece", "language", "lvl", F.col("item_pos").alias("pos"), "call.*", "arguments")
     )
 
 
@@ -276,14 +280,16 @@ def _with_bytes(found: DataFrame, units: DataFrame, needed: Column) -> DataFrame
     """Join the bytes of the unit to the rows where `needed` holds, as `unit_bytes`.
 
     The rows are partitioned by `path` already and the units come from the same exchange, so the
-    join adds no shuffle. It looks at the language too, which makes both readers of the exchange
+    join adds no shuffle. It looks at language and literals too, which makes both readers of the exchange
     ask for the same columns; otherwise the text would be shuffled once for each. For the same reason
     the units are told from their pieces by an expression that stays above the exchange.
     """
     whole = F.when(F.spark_partition_id() >= 0, F.col("piece")) == ""
     texts = by_path(units).filter(whole).select(
         F.col("path").alias("unit_path"),
-        F.when(F.col("language").isNotNull(), F.col("content").cast("binary")).alias("unit_bytes"),
+        F.when(
+            F.col("language").isNotNull() & (F.coalesce(F.size("literals"), F.lit(0)) >= -1), F.col("content").cast("binary")
+        ).alias("unit_bytes"),
     )
     same = (F.col("path") == F.col("unit_path")) & F.col("needs_bytes")
     return (
@@ -293,52 +299,56 @@ def _with_bytes(found: DataFrame, units: DataFrame, needed: Column) -> DataFrame
     )
 
 
-def with_earlier_names(rows: DataFrame) -> DataFrame:
-    """Add `earlier` to calls in Java: where the names of the calls before it in its chain stand, and `own_begin`, where its
-    own begin. Only Java leaves brackets out of a qualifier, so only there it has names of several stretches."""
-    ended = F.when(F.col("ended.pos") >= F.col("chain.pos"), F.col("ended.end"))
-    own_begin = F.coalesce(ended, F.col("chain.byte_off"))
+def with_earlier_names(found: DataFrame) -> DataFrame:
+    """Add `earlier` to calls in Java: where the names of the calls before it in its chain stand. Only Java leaves
+    brackets out of a qualifier, so only there it has names of several stretches.
+
+    To be called when all sorts are done, as the stretches of a long chain are many.
+    """
     here = F.when(
-        (F.col("language") == JAVA) & F.col("callee").isNotNull(),
-        F.struct("pos", F.col("own_begin").alias("begin"), F.col("gap_off").alias("end")),
+        (F.col("language") == JAVA) & F.col("own_begin").isNotNull(),
+        F.struct("pos", F.col("own_begin").alias("begin"), F.col("own_end").alias("end")),
     )
-    in_chain = Window.partitionBy("path", "piece", "lvl", F.col("chain.pos")).orderBy("pos")
+    in_chain = Window.partitionBy("path", "piece", "lvl", "chain_pos").orderBy("pos")
     before = F.collect_list(here).over(in_chain.rowsBetween(Window.unboundedPreceding, -1))
     kept = F.coalesce("kept.pos", F.lit(-1))
     return (
-        rows.withColumn("own_begin", own_begin)
-        .withColumn("before", before)
+        found.withColumn("before", before)
         .withColumn("earlier", F.filter("before", lambda n: n["pos"] > kept))
         .drop("before")
     )
 
 
-def _names(language: Column, text: Column) -> Column:
+def _names(language: Column, stretch: Column) -> Column:
     """Names with their dots, without comments, type arguments and blanks. No string can stand between them."""
-    python = F.regexp_replace(text, r"#[^\n]*+", "")
-    slash = F.regexp_replace(text, r"//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/", "")
-    java = F.when(slash.contains("<"), F.regexp_replace(slash, r"<[\s\S]*?>(?=\s*[\p{L}_$])", "")).otherwise(slash)
-    plain = F.when(language == PYTHON, python).when(language == JAVA, java).otherwise(slash)
-    joined = F.replace(F.regexp_replace(plain, r"[\s\\]+", ""), F.lit("?."), F.lit("."))
-    # Most stretches are bare names; a long chain has many.
-    odd = F.lit(False)
-    for sign in (" ", "\n", "\t", "\r", "\f", "\x0b", "\\", "/", "#", "<", "?"):
-        odd = odd | text.contains(sign)
-    return F.when(odd, joined).otherwise(text)
+
+    def cleaned(text: Column) -> Column:
+        python = F.regexp_replace(text, r"#[^\n]*+", "")
+        slash = F.regexp_replace(text, r"//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/", "")
+        java = F.when(slash.contains("<"), F.regexp_replace(slash, r"<[\s\S]*?>(?=\s*[\p{L}_$])", "")).otherwise(slash)
+        plain = F.when(language == PYTHON, python).when(language == JAVA, java).otherwise(slash)
+        joined = F.replace(F.regexp_replace(plain, r"[\s\\]+", ""), F.lit("?."), F.lit("."))
+        # Most stretches are bare names; a long chain has many.
+        return F.when(text.rlike(r"[^\p{L}\p{N}_$.]"), joined).otherwise(text)
+
+    return let(stretch, cleaned)
 
 
 def _qualifier() -> Column:
     """E-13 to E-15: the text of the chain up to the last bracket that counts, and the names behind it."""
     language, begin, member = F.col("language"), F.col("chain_off"), F.col("member_off")
-    raw = F.col("unit_bytes")
     kept_end = F.when(F.col("kept.pos") >= F.col("chain_pos"), F.col("kept.end")).otherwise(begin)
-    parts = F.concat(
-        F.array(_slice(raw, begin, kept_end)),
-        F.transform("earlier", lambda n: _names(language, _slice(raw, n["begin"], n["end"]))),
-        F.array(_names(language, _slice(raw, F.col("own_begin"), member)), _names(language, F.coalesce("dotted", F.lit("")))),
-    )
-    found = F.regexp_replace(F.array_join(parts, ""), r"\A\.", "")
-    return F.when(member.isNotNull(), F.when(found != "", found)).otherwise(F.col("dotted"))
+
+    # The bytes are bound once: each look at the column would copy them.
+    def joined(raw: Column) -> Column:
+        parts = F.concat(
+            F.array(_slice(raw, begin, kept_end)),
+            F.transform("earlier", lambda n: _names(language, _slice(raw, n["begin"], n["end"]))),
+            F.array(_names(language, _slice(raw, F.col("own_begin"), member)), _names(language, F.coalesce("dotted", F.lit("")))),
+        )
+        return let(F.regexp_replace(F.array_join(parts, ""), r"\A\.", ""), lambda found: F.when(found != "", found))
+
+    return F.when(member.isNotNull(), let(F.col("unit_bytes"), joined)).otherwise(F.col("dotted"))
 
 
 def with_qualifier(found: DataFrame, units: DataFrame, only: Column) -> DataFrame:
@@ -378,18 +388,22 @@ def calls(units: DataFrame) -> DataFrame:
     """
     units = with_inner_code(units)
     order = Window.partitionBy("path").orderBy("off", "piece", "pos")
-    rows = placed(_calls_with_arguments(units)).withColumn("ordinal", F.row_number().over(order))
+    rows = placed(_calls_with_arguments(units)).withColumn("ordinal", F.row_number().over(order)).transform(with_earlier_names)
     needed = F.coalesce("member_off", "name_end").isNotNull() | F.exists("arguments", lambda a: a["text"].isNull())
     rows = _with_bytes(rows, units, needed)
-    arguments = F.transform(
-        "arguments",
-        lambda a: F.struct(
-            a["kind"].alias("kind"),
-            F.coalesce(a["text"], _slice(F.col("unit_bytes"), a["begin"], a["end"])).alias("text"),
-            a["line"].alias("line"),
-            a["col"].alias("col"),
-        ),
-    )
+
+    def with_text(raw: Column) -> Column:
+        return F.transform(
+            "arguments",
+            lambda a: F.struct(
+                a["kind"].alias("kind"),
+                F.coalesce(a["text"], _slice(raw, a["begin"], a["end"])).alias("text"),
+                a["line"].alias("line"),
+                a["col"].alias("col"),
+            ),
+        )
+
+    arguments = let(F.col("unit_bytes"), with_text)
     return rows.withColumn("qualifier", _qualifier()).select(
         "path", "language", "ordinal", "line", "col", "qualifier",
         F.coalesce(F.col("name"), _slice(F.col("unit_bytes"), F.col("chain_off"), F.col("name_end"))).alias("function_name"),

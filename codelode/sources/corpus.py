@@ -1,7 +1,7 @@
 """Code corpus derived from the `events` table.
 
 Twenty consecutive events make one source file, each event one statement. The statement is chosen
-by `event_id % 27`, the language by the number of the file, and the user id of the event stands in
+by `event_id % 31`, the language by the number of the file, and the user id of the event stands in
 the text, so that texts and columns differ from file to file. The statements cover hits, near
 misses and the quirks of every rule in every language.
 """
@@ -43,6 +43,10 @@ STATEMENTS = {
         'if debug: password: str = "secret-{u}"',
         'os.system(f"{opts["cmd"]}")',
         'say(f"{level:>{width(3)}} {run(f"{eval(z)}")}")',
+        "f()(x)",
+        'handlers[0]("go{u}")',
+        'say(f"{eval(b)}", f"{{")',
+        "total = price * (1 + rate)",
     ],
     "java": [
         'String password = "pw-{u}-secret";',
@@ -72,6 +76,10 @@ STATEMENTS = {
         'String s = "é" + run("{u}"); // é',
         "if (a > 1) { eval.run(cmd); }",
         'Object p = factory.password("x").create(y);',
+        'f(new HashMap<String, List<A>>(), "x{u}");',
+        "this.<T>exec(cmd); if (a > b) eval(c);",
+        "Map<A, B> m = new HashMap<A, B>(); a\n    .f(b)\n    .g(c);",
+        "int total = price * (1 + rate);",
     ],
     "javascript": [
         'const password = "pw-{u}-secret";',
@@ -101,9 +109,13 @@ STATEMENTS = {
         'class Safe extends mixin(Base) { password = "field-{u}-y"; }',
         "t = `${a(`${b({ c: `${d(e)}` })}`)}`;",
         "run(tag`x${1}`, `y`); f`z`;",
+        "const z = a++ / 2; eval(p); const w = c / d;",
+        "b.return / 2; exec(cmd); const n = <p title=\"it's\">don't {eval(q)}</p>;",
+        "f()(x); a[0](y); (g)(h);",
+        "let total = price * (1 + rate);",
     ],
 }
-N_STATEMENTS = 27
+N_STATEMENTS = 31
 
 
 def statements(spark: SparkSession) -> DataFrame:
@@ -128,7 +140,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
             "template": (F.col("event_id") % N_STATEMENTS).cast("int"),
         }
     )
-    # 81 statements, a fixed number.
+    # 93 statements, a fixed number.
     lines = placed.join(
         F.broadcast(statements(spark)), ["language_no", "template"]
     ).withColumn(

@@ -38,6 +38,7 @@ ASSIGNMENTS = {
     (JA, 22): [(0, 8, "data", S, '""\n    password = "inner"; eval(x);\n    ""')],
     (JA, 24): [(0, 8, "s", X, '"é" + run("{u}")')],
     (JA, 26): [(0, 8, "p", X, 'factory.password("x").create(y)')],
+    (JA, 29): [(0, 11, "m", X, "new HashMap<A, B>()")],
     (JS, 0): [(0, 7, "password", S, "pw-{u}-secret")],
     (JS, 1): [(0, 5, "token", X, "loadToken({u})")],
     (JS, 2): [(0, 5, "pwd", S, "abc")],
@@ -49,6 +50,11 @@ ASSIGNMENTS = {
     (JS, 19): [(0, 7, "run", X, '(command, password = "d{u}") => command')],
     (JS, 20): [(0, 7, "credentials", X, '["user", "pass{u}"]')],
     (JS, 25): [(0, 1, "t", X, "`${a(`${b({ c: `${d(e)}` })}`)}`")],
+    (PY, 30): [(0, 1, "total", X, "price * (1 + rate)")],
+    (JA, 30): [(0, 5, "total", X, "price * (1 + rate)")],
+    (JS, 30): [(0, 5, "total", X, "price * (1 + rate)")],
+    (JS, 27): [(0, 7, "z", X, "a++ / 2"), (0, 35, "w", X, "c / d")],
+    (JS, 28): [(0, 32, "n", X, "<p title=\"it's\">don't {eval(q)}</p>")],
 }
 
 # (language, statement): [(line, column, qualifier, name, [(kind, text)])]
@@ -79,6 +85,9 @@ CALLS = {
         (0, 28, None, "run", [(S, 'f"{eval(z)}"')]),
         (0, 35, None, "eval", [(V, "z")]),
     ],
+    (PY, 27): [(0, 1, None, "f", []), (0, 1, None, "f()", [(V, "x")])],
+    (PY, 28): [(0, 1, None, "handlers[0]", [(S, "go{u}")])],
+    (PY, 29): [(0, 1, None, "say", [(S, 'f"{eval(b)}"'), (S, 'f"{{"')]), (0, 8, None, "eval", [(V, "b")])],
     (JA, 1): [(0, 16, None, "readToken", [(X, "{u}")])],
     (JA, 7): [(0, 8, "engine", "eval", [(V, "code")])],
     (JA, 8): [
@@ -113,6 +122,9 @@ CALLS = {
         (0, 20, "factory", "password", [(S, "x")]),
         (0, 34, "factory.password", "create", [(V, "y")]),
     ],
+    (JA, 27): [(0, 1, None, "f", [(X, "new HashMap<String, List<A>>()"), (S, "x{u}")])],
+    (JA, 28): [(0, 9, "this", "exec", [(V, "cmd")]), (0, 31, None, "eval", [(V, "c")])],
+    (JA, 29): [(1, 6, "a", "f", [(V, "b")]), (2, 6, "a.f", "g", [(V, "c")])],
     (JS, 1): [(0, 13, None, "loadToken", [(X, "{u}")])],
     (JS, 7): [(0, 1, "window", "eval", [(V, "userInput")])],
     (JS, 8): [
@@ -143,6 +155,14 @@ CALLS = {
         (0, 23, None, "d", [(V, "e")]),
     ],
     (JS, 26): [(0, 1, None, "run", [(X, "tag`x${1}`"), (X, "`y`")])],
+    (JS, 27): [(0, 20, None, "eval", [(V, "p")])],
+    (JS, 28): [(0, 15, None, "exec", [(V, "cmd")]), (0, 59, None, "eval", [(V, "q")])],
+    (JS, 29): [
+        (0, 1, None, "f", []),
+        (0, 1, None, "f()", [(V, "x")]),
+        (0, 9, None, "a[0]", [(V, "y")]),
+        (0, 18, None, "(g)", [(V, "h")]),
+    ],
 }
 
 # (language, statement): [(rule, line, column, name in the description)]
@@ -162,6 +182,7 @@ FINDINGS = {
     (PY, 23): [("GEN002", 0, 10, "eval")],
     (PY, 24): [("GEN001", 0, 11, "password")],
     (PY, 26): [("GEN002", 0, 35, "eval")],
+    (PY, 29): [("GEN002", 0, 8, "eval")],
     (JA, 0): [("GEN001", 0, 8, "password")],
     (JA, 4): [("GEN001", 0, 31, "API_KEY")],
     (JA, 6): [("GEN001", 0, 8, "login")],
@@ -176,6 +197,7 @@ FINDINGS = {
     (JA, 17): [("GEN002", 0, 27, "engine.eval")],
     (JA, 18): [("GEN001", 0, 48 + U, "secret")],
     (JA, 23): [("GEN003", 0, 18, None)],
+    (JA, 28): [("GEN003", 0, 9, None), ("GEN002", 0, 31, "eval")],
     (JS, 0): [("GEN001", 0, 7, "password")],
     (JS, 4): [("GEN001", 0, 16, "apiKey")],
     (JS, 6): [("GEN001", 0, 8, "login")],
@@ -189,6 +211,8 @@ FINDINGS = {
     (JS, 17): [("GEN002", 0, 13, "eval")],
     (JS, 18): [("GEN001", 0, 43 + U, "secret")],
     (JS, 23): [("GEN002", 0, 25, "eval"), ("GEN003", 0, 34, None)],
+    (JS, 27): [("GEN002", 0, 20, "eval")],
+    (JS, 28): [("GEN003", 0, 15, None), ("GEN002", 0, 59, "eval")],
 }
 # Calls that the custom rule of the `custom_rule` query reports.
 DEBUG_OUTPUT = {(PY, 17): [(0, 1)], (JA, 17): [(0, 12)], (JS, 17): [(0, 1)]}

@@ -31,7 +31,7 @@ _statements = [
 BASE = "WITH " + _values("st", "l, t, n, text", _statements) + """,
 ev AS (
   SELECT event_id, CAST(user_id AS VARCHAR) AS u, event_id // 20 AS f, event_id % 20 AS i,
-         event_id % 27 AS t, (event_id // 20) % 3 AS l
+         event_id % 31 AS t, (event_id // 20) % 3 AS l
   FROM events
 ),
 placed AS (
