@@ -66,16 +66,19 @@ def grams(text: str | None) -> Iterator[np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a task's rows (text, lang): (lang, bucket, n), and the number of documents as bucket -1."""
+    """Of a task's rows (text, lang): (lang, bucket, n), and the number of documents with an n-gram as bucket -1."""
     counts: dict[str, np.ndarray] = {}
     documents: dict[str, int] = {}
     for batch in batches:
         for text, lang in zip(strings(batch.column(0)), strings(batch.column(1)), strict=True):
+            seen = False
             for run in grams(text):
                 if lang not in counts:
                     counts[lang] = np.zeros(1 << BITS, np.int64)
                 counts[lang] += np.bincount(run, minlength=1 << BITS)
-            documents[lang] = documents.get(lang, 0) + 1
+                seen = True
+            # Documents without letters count nowhere, whatever else a task has read.
+            documents[lang] = documents.get(lang, 0) + seen
     for lang, vector in counts.items():
         hit = np.flatnonzero(vector)
         yield pa.RecordBatch.from_arrays(

@@ -180,3 +180,12 @@ def test_repeats_in_random_texts(spark, monkeypatch, length, trigger, run, toget
 
 def test_repeats_of_nothing(spark, empty):
     assert repeats.without_repeats(empty).count() == 0
+
+
+def test_language_priors_do_not_depend_on_the_partitioning(spark):
+    rows = [("123", "a"), ("??", "b"), (None, "b"), ("abc", "b"), ("xyz abc", "a")] * 4 + [("12", "c")] * 9
+    frame = spark.createDataFrame(rows, "text string, lang string")
+    one, many = (language.learn(frame.repartition(n)) for n in (1, 12))
+    assert one.languages == many.languages == ("a", "b")
+    assert one.log_prior.tolist() == many.log_prior.tolist() == [np.log(0.5)] * 2
+    assert (one.log_gram == many.log_gram).all()
