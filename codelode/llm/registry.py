@@ -46,7 +46,7 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    back = sentence_pieces.decoded(sentence_pieces.encoded(docs, PIECES), PIECES)
+    back = sentence_pieces.round_trip(docs, PIECES)
     return back.select(
         "doc_id", "n_pieces", "piece_ids", "decoded", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip")
     )

@@ -11,6 +11,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -152,6 +153,45 @@ def test_piece_columns(spark, odd):
     assert back.columns == ["doc_id", "text", "piece_ids", "piece_ids_", "n_pieces", "decoded"]
     assert rows[0].decoded is None and rows[1].piece_ids_ == []
     assert all(r.decoded == r.text for r in rows.values())
+    twice = docs.unionByName(docs)
+    both = sentence_pieces.round_trip(twice, PIECES)
+    assert both.columns == back.columns
+    assert Counter(map(str, both.collect())) == Counter(str(r) for r in [*rows.values()] * 2)
+    assert sentence_pieces.round_trip(docs.limit(0), PIECES).count() == 0
+
+
+def test_boundaries_of_pieces():
+    """The steps of the two sides tell what merging the whole tells."""
+    own = sentence_pieces.Model(PIECES)
+
+    def merged(text: str) -> list[str]:
+        parts = list(text)
+        while True:
+            pairs = [(-own.score[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in own.score]
+            if not pairs:
+                return parts
+            at = min(pairs)[1]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    draw = random.Random(11)
+    every = sorted(own.score)
+    cuts = [(p[:k], p[k:]) for p in draw.sample(every, 3000) for k in range(1, len(p))]
+    pairs = cuts + [(draw.choice(every), draw.choice(every)) for _ in range(5000)]
+    for left, right in pairs:
+        assert own.stays(left, right) == (merged(left + right) == [left, right]), (left, right)
+
+
+def test_decoding_any_ids():
+    own = sentence_pieces.Model(PIECES)
+    byte, blank = own.bytes, own.bytes[32]
+    lists = [[], None, [byte[0xE3], byte[0x81]], [own.unknown], [blank, blank], [0, 1, 2, 300], [byte[0xC3], byte[0xA9]]]
+    assert own.decoded(pa.array(lists, pa.list_(pa.int32()))).to_pylist() == [
+        None if x is None else own.decode(x) for x in lists
+    ]
+    plain = pa.array([x for x in lists if x is None or byte[0xE3] not in x and 1 not in x] * 3, pa.list_(pa.int32()))
+    assert own.decoded(plain.slice(2, 7)).to_pylist() == [
+        None if x is None else own.decode(x) for x in plain.slice(2, 7).to_pylist()
+    ]
 
 
 def test_mixing_by_statement(spark):
