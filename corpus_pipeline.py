@@ -39,7 +39,7 @@ def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' ids of pieces, and whether these decode to the text again."""
-    back = sentence_pieces.decoded(sentence_pieces.encoded(docs, registry.PIECES), registry.PIECES)
+    back = sentence_pieces.round_trip(docs, registry.PIECES)
     return back.select(
         "doc_id", "lang", "source", "n_chars", "n_pieces", "piece_ids",
         F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
