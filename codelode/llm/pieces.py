@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -28,6 +29,9 @@ _OTHER_SPACE = ("  ", "\n ", " \n", "\n\n", *"\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u
 REMEMBERED = 800_000
 #: Pieces longer than that are encoded where they occur and not remembered.
 LONGEST = 64
+#: Signs that the splitting pattern keeps in one unit behind letters, and how many such units are remembered.
+MARKS = string.punctuation
+MARKS_KEPT = 50_000
 
 
 @cache
@@ -54,9 +58,9 @@ def _alphabet() -> dict[int, str]:
 class Encoder:
     """Ids of texts as little-endian bytes, two bytes each (four for vocabularies beyond 65,536).
 
-    The library's model encodes runs of letters, with the blank in front of them, without the library
-    having to split them; that a piece is such a run, between a line feed and a mark at most, is told
-    in Python. All other pieces go through the whole library.
+    Most pieces are a run of letters, with a line feed or blank in front and marks behind, which the
+    splitting pattern takes apart in just this way. The library's model encodes such runs without the
+    library having to split them, and marks are learned once. All other pieces go through the whole library.
     """
 
     def __init__(self, path: str) -> None:
@@ -64,11 +68,15 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
         self.alphabet = _alphabet()
-        self.marks = {mark: self._whole([mark])[0] for mark in ".,;:!?"}
         self.line = self._whole(["\n"])[0]
-        probes = ["a", " the", " Zürich,", "\nWord", "Naïve!", "\n日本語.", " ſœß?", " ẞ"]
-        self.plain = all(self._plain(p) == ids for p, ids in zip(probes, self._whole(probes), strict=True))
+        self.plain = True
+        probes = ["a", " the", " Zürich,", "\nWord", "Naïve!", "\n日本語.", " ſœß?", " ẞ", " foo).", "x'", " a***", "\nb_-"]
+        added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain = all(any(char.isalpha() for char in text) for text in added) and (
+            self._learned(probes) == dict(zip(probes, self._whole(probes), strict=True))
+        )
 
     def _ids(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
@@ -76,36 +84,43 @@ class Encoder:
     def _whole(self, pieces: list[str]) -> list[bytes]:
         return [self._ids(e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _plain(self, piece: str) -> bytes | None:
-        """The ids of a line feed (or none), a run of letters and a mark (or none); None for other pieces."""
-        end = self.marks.get(piece[-1], b"")
-        body = piece[:-1] if end else piece
-        begin = b""
-        if body[:1] == "\n":
-            begin, body = self.line, body[1:]
-        letters = body[1:] if body[:1] == " " and not begin else body
-        if not letters.isalpha():  # a mark behind another belongs to the same unit
-            return None
-        if end and (word := self.known.get(body)):
-            return begin + word + end
-        spelled = "Ġ" + letters if letters.isascii() and letters is not body else (
-            letters if letters.isascii() else body.encode().decode("latin-1").translate(self.alphabet)
-        )
-        return begin + self._ids([token.id for token in self.tokenizer.model.tokenize(spelled)]) + end
-
-    def _learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces.difference(self.known) if len(p) <= LONGEST]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {p: self.known[p] for p in pieces if p in self.known}
-        if self.plain:
-            self.known.update((p, ids) for p in new if (ids := self._plain(p)) is not None)
-            new = [p for p in new if p not in self.known]
-        self.known.update(zip(new, self._whole(new), strict=True))
-
-    def _alone(self, piece: str) -> bytes:
-        found = self.known.get(piece)
+    def _mark(self, marks: str) -> bytes:
+        """The ids of a few marks in a row."""
+        found = self.marks.get(marks)
         if found is None:
-            found = self._ids(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+            found = self._whole([marks])[0]
+            if len(self.marks) < MARKS_KEPT:
+                self.marks[marks] = found
+        return found
+
+    def _learned(self, pieces: Iterable[str]) -> dict[str, bytes]:
+        """The ids of pieces that aren't known: a line feed or blank (or none), letters and marks (or none),
+        or anything else."""
+        known, marked, alphabet, code = self.known, self._mark, self.alphabet, self.code
+        tokenize = self.tokenizer.model.tokenize
+        found: dict[str, bytes] = {}
+        others = []
+        for piece in pieces:
+            body = piece.rstrip(MARKS) if self.plain and len(piece) <= LONGEST else ""
+            first = body[:1]
+            letters = body[1:] if first == " " or first == "\n" else body
+            if not letters.isalpha():
+                others.append(piece)
+                continue
+            run = letters if first == "\n" else body
+            ids = None if run is piece else known.get(run) or found.get(run)
+            if ids is None:
+                if letters.isascii():
+                    spelled = letters if run is letters else "Ġ" + letters
+                else:
+                    spelled = run.encode().decode("latin-1").translate(alphabet)
+                ids = array(code, [token.id for token in tokenize(spelled)]).tobytes()
+            if first == "\n":
+                ids = self.line + ids
+            if body is not piece:
+                ids += marked(piece[len(body) :])
+            found[piece] = ids
+        found.update(zip(others, self._whole(others), strict=True))
         return found
 
     def encode(self, texts: Iterable[str | None], block: int = 4 << 20) -> Iterator[bytes]:
@@ -121,14 +136,23 @@ class Encoder:
         yield from self._flush(waiting)
 
     def _flush(self, waiting: list[list[str]]) -> Iterator[bytes]:
-        distinct: set[str] = set()
-        distinct.update(*waiting)
-        self._learn(distinct)
-        for pieces in waiting:
-            try:
-                yield b"".join(map(self.known.__getitem__, pieces))
-            except KeyError:  # a long piece
-                yield b"".join(map(self._alone, pieces))
+        get = self.known.get
+        found = [list(map(get, pieces)) for pieces in waiting]
+        gaps = [[k for k, ids in enumerate(row) if ids is None] for row in found]
+        new = self._learned({pieces[k] for pieces, gap in zip(waiting, gaps, strict=True) for k in gap})
+        for pieces, row, gap in zip(waiting, found, gaps, strict=True):
+            for k in gap:
+                row[k] = new[pieces[k]]
+            yield b"".join(row)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known = {}
+            for pieces, row in zip(waiting, found, strict=True):
+                self.known.update(zip(pieces, row, strict=True))
+        else:
+            self.known.update(new)
+        for piece in new:
+            if len(piece) > LONGEST:
+                del self.known[piece]
 
 
 @cache
