@@ -47,7 +47,7 @@ LONGEST = 48
 #: Pairs of pieces whose boundary a worker remembers.
 PAIRS = 300_000
 #: Ids that are decoded together.
-IDS = 4 << 20
+IDS = 1 << 20
 
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 _UNIGRAM, _BPE = 1, 2
