@@ -25,8 +25,8 @@ _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 #: White space other than a single blank or line feed; a text without any needs no closer look.
 _OTHER_SPACE = ("  ", "\n ", " \n", "\n\n", *"\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000",
                 *map(chr, range(0x2000, 0x200B)))
-#: Pieces that are remembered; beyond that only those of the texts at hand are.
-REMEMBERED = 800_000
+#: Pieces that are remembered.
+REMEMBERED = 700_000
 #: Pieces longer than that are encoded where they occur and not remembered.
 LONGEST = 64
 #: Signs that the splitting pattern keeps in one unit behind letters, and how many such units are remembered.
@@ -67,7 +67,9 @@ class Encoder:
         self.tokenizer = library(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
+        # Pieces of late, and those before them, which come back if they are met again.
         self.known: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
         self.alphabet = _alphabet()
         self.line = self._whole(["\n"])[0]
@@ -123,7 +125,7 @@ class Encoder:
         found.update(zip(others, self._whole(others), strict=True))
         return found
 
-    def encode(self, texts: Iterable[str | None], block: int = 4 << 20) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[str | None], block: int = 1 << 20) -> Iterator[bytes]:
         """The ids of each text; null gives none. `block`: characters that are cut at the same time."""
         waiting: list[list[str]] = []
         held = 0
@@ -139,17 +141,16 @@ class Encoder:
         get = self.known.get
         found = [list(map(get, pieces)) for pieces in waiting]
         gaps = [[k for k, ids in enumerate(row) if ids is None] for row in found]
-        new = self._learned({pieces[k] for pieces, gap in zip(waiting, gaps, strict=True) for k in gap})
+        wanted = {pieces[k] for pieces, gap in zip(waiting, gaps, strict=True) for k in gap}
+        new = {piece: self.earlier[piece] for piece in wanted if piece in self.earlier}
+        new.update(self._learned(wanted.difference(new)))
         for pieces, row, gap in zip(waiting, found, gaps, strict=True):
             for k in gap:
                 row[k] = new[pieces[k]]
             yield b"".join(row)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            for pieces, row in zip(waiting, found, strict=True):
-                self.known.update(zip(pieces, row, strict=True))
-        else:
-            self.known.update(new)
+        if len(self.known) + len(new) > REMEMBERED // 2:
+            self.known, self.earlier = {}, self.known
+        self.known.update(new)
         for piece in new:
             if len(piece) > LONGEST:
                 del self.known[piece]
