@@ -2,6 +2,10 @@
 
 A prefix sum of (random number of the byte) * BASE**place, modulo 2**64, gives the hash of any stretch
 by one difference and one product, whatever its length and place.
+
+Such sums cancel for some long pairs of texts whatever base and numbers are (Thue-Morse sequences of 1,024
+letters). Where any text may come, `Stretches.of_any` cuts stretches into blocks too short for that and adds
+up mixed hashes of their blocks.
 """
 
 from __future__ import annotations
@@ -10,6 +14,7 @@ from functools import cache
 
 import numpy as np
 
+BLOCK = 32
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
@@ -51,3 +56,14 @@ class Stretches:
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return (self._sums[ends] - self._sums[starts]) * powers("down", len(self._sums))[starts]
+
+    def of_any(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Mixed hashes of stretches of at least one byte, by blocks of BLOCK bytes from their start."""
+        blocks = -(-(ends - starts) // BLOCK)
+        firsts = np.cumsum(blocks) - blocks
+        number = np.arange(int(blocks.sum())) - np.repeat(firsts, blocks)
+        low = np.repeat(starts, blocks) + number * BLOCK
+        high = np.minimum(low + BLOCK, np.repeat(ends, blocks))
+        each = mix(mix(self.of(low, high)) + number.astype(np.uint64) * BASE)
+        total = np.add.reduceat(each, firsts) if len(firsts) else np.zeros(0, np.uint64)
+        return mix(total + (ends - starts).astype(np.uint64) * BASE)

@@ -65,8 +65,7 @@ def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     inside = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
     edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    value = Stretches(raw).of(starts, ends)
-    return mix(value + (ends - starts).astype(np.uint64) * BASE), starts
+    return Stretches(raw).of_any(starts, ends), starts
 
 
 def _shingles_of(texts: list[str | None], width: int) -> Iterator[np.ndarray]:

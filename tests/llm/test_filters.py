@@ -112,6 +112,23 @@ def test_near_duplicates(spark, odd):
     assert {r.doc_id for r in kept.collect()} == {i for i, c in brute.components(docs, 5).items() if i == c}
 
 
+def test_different_words_have_different_hashes(spark):
+    """Thue-Morse sequences, in which sums of powers cancel modulo powers of two, and exchanged blocks."""
+    words = []
+    for n in (5, 6, 8, 10, 12):
+        one = "".join("ab"[k.bit_count() % 2] for k in range(1 << n))
+        words += [one, one.translate(str.maketrans("ab", "ba"))]
+    blocks = [c * 32 for c in "abcd"]
+    words += ["".join(x) for x in (blocks, blocks[::-1], blocks[1:] + blocks[:1], blocks[:3])] + ["a", "b", "a" * 33]
+    data = " ".join(words).encode()
+    found, starts = near_duplicates._word_hashes(data)
+    assert len(starts) == len(words) == len(set(found.tolist()))
+    again, _ = near_duplicates._word_hashes(b"\n xyz " + data)
+    assert again[1:].tolist() == found.tolist()
+    rows = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    assert all(r.component_id == r.doc_id and r["kept"] for r in near_duplicates.components(rows).collect())
+
+
 def test_near_duplicates_without_ids_or_rows(spark, odd, empty):
     rows = near_duplicates.components(odd).collect()
     assert len(rows) == odd.count()
