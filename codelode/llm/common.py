@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from codelode.sources.shared import shared_folder
@@ -39,3 +41,17 @@ def strings(column: pa.Array) -> Iterator[str | None]:
     """The values of a string column, a few at a time, so that a large batch isn't held twice."""
     for start in range(0, len(column), ROWS):
         yield from column.slice(start, ROWS).to_pylist()
+
+
+def by_size(column: pa.Array, size: int) -> Iterator[pa.Array]:
+    """A string column in slices of about `size` bytes, a row at least, so that results needn't be held whole.
+
+    An empty column is one slice.
+    """
+    lengths = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum([0, *lengths], dtype=np.int64)
+    low = 0
+    while low < len(column) or not low:
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] + size, "right")) - 1)
+        yield column.slice(low, high - low)
+        low = high

@@ -36,16 +36,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelode.llm.common import free_name, strings
+from codelode.llm.common import by_size, free_name, strings
 
 MARK = "▁"
 #: Characters of text whose words are sorted and walked through together.
 BLOCK = 2 << 20
 #: Words that a worker remembers between blocks, and their longest length.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 LONGEST = 48
 #: Pairs of pieces whose boundary a worker remembers.
-PAIRS = 300_000
+PAIRS = 150_000
 #: Ids that are decoded together.
 IDS = 1 << 20
 
@@ -335,10 +335,12 @@ def text_of(path: str, ids: str) -> Column:
 def there_and_back(path: str, text: str) -> Column:
     """A struct of the `ids` of a text column and the `text` that these decode to."""
 
-    def of(texts: pa.Array) -> pa.Array:
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = model(path)
-        ids = own.encoded(strings(texts))
-        return pa.StructArray.from_arrays([ids, own.decoded(ids)], ["ids", "text"])
+        for texts in batches:
+            for part in by_size(texts, BLOCK):
+                ids = own.encoded(strings(part))
+                yield pa.StructArray.from_arrays([ids, own.decoded(ids)], ["ids", "text"])
 
     return F.arrow_udf(of, "ids array<int>, text string")(F.col(text))
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from codelode.llm import fingerprints, mixing, pieces, registry, sentence_pieces, surrogates, token_counts, token_files
-from codelode.llm.common import documents
+from codelode.llm.common import by_size, documents
 
 SF = "/root/testdata/sf0.001"
 BPE, PIECES = registry.BYTE_BPE, registry.PIECES
@@ -160,6 +160,16 @@ def test_piece_columns(spark, odd):
     assert sentence_pieces.round_trip(docs.limit(0), PIECES).count() == 0
 
 
+def test_slices_by_size(spark):
+    column = pa.array(["ab", None, "", "é" * 9, "c", "d" * 30, None])
+    parts = list(by_size(column, 4))
+    assert pa.concat_arrays(parts).equals(column) and [len(p) for p in parts] == [3, 1, 1, 1, 1]
+    assert [len(p) for p in by_size(column.slice(0, 0), 4)] == [0]
+    docs = spark.range(3000).select("id", F.expr("if(id % 7 = 0, null, repeat(concat('word', id, ' '), 300))").alias("text"))
+    back = sentence_pieces.round_trip(docs.coalesce(1), PIECES)
+    assert back.filter("not (decoded <=> text)").count() == 0 and back.filter("n_pieces > 300").count() == 2571
+
+
 def test_boundaries_of_pieces():
     """The steps of the two sides tell what merging the whole tells."""
     own = sentence_pieces.Model(PIECES)
