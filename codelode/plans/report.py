@@ -77,6 +77,9 @@ def code_context(findings: DataFrame, units: DataFrame) -> DataFrame:
 
     The line numbers that findings ask for are brought to the unit, which gives just these lines, so
     no other line is shuffled. The pair of keys spreads the findings of a long file over many tasks.
+
+    Settled findings are small as files and many as rows, so the planner would take them for small tables: the joins
+    say themselves that both sides grow with the corpus.
     """
     asked = numbered(findings).select(
         "source_file_path",
@@ -87,7 +90,7 @@ def code_context(findings: DataFrame, units: DataFrame) -> DataFrame:
     # No more numbers than the unit has lines.
     wanted = asked.groupBy("source_file_path").agg(F.collect_set("line").alias("numbers"))
     given = units.select("path", ex.code_lines(F.col("content")).alias("all")).join(
-        wanted, F.col("path") == F.col("source_file_path")
+        wanted.hint("merge"), F.col("path") == F.col("source_file_path")
     )
     picked = F.transform(
         F.filter("numbers", lambda n: n <= F.size("all")),
@@ -95,7 +98,7 @@ def code_context(findings: DataFrame, units: DataFrame) -> DataFrame:
     )
     lines = given.select("source_file_path", F.inline(picked))
     is_target = F.col("line") == F.col("target")
-    return asked.join(lines, ["source_file_path", "line"]).select(
+    return asked.join(lines.hint("merge"), ["source_file_path", "line"]).select(
         "source_file_path",
         "finding_no",
         "line",
