@@ -145,7 +145,7 @@ def finding_blocks(findings: DataFrame, units: DataFrame) -> DataFrame:
     heading = F.concat(F.lit("File: "), F.col("source_file_path"), F.lit("\n\n"))
     return (
         numbered(findings)
-        .join(code, ["source_file_path", "finding_no"], "left")
+        .join(code.hint("merge"), ["source_file_path", "finding_no"], "left")
         .select(
             "source_file_path",
             "finding_no",

@@ -185,6 +185,16 @@ def test_context_and_blocks(spark, units):
     assert blocks[1].block.endswith("     5 | line5")
 
 
+def test_settled_findings_are_not_broadcast(spark, units, found, tmp_path):
+    """As files they look like a small table, but they grow with the corpus."""
+    found.write.parquet(str(tmp_path / "findings"))
+    findings, source = spark.read.parquet(str(tmp_path / "findings")), units(TEXTS)
+    for frame in (report.code_context(findings, source), report.finding_blocks(findings, source)):
+        assert "BroadcastHashJoin" not in frame._jdf.queryExecution().executedPlan().toString()
+        rows = frame.collect()
+        assert rows and "BroadcastHashJoin" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
 def test_units_without_findings_are_left_out(units):
     clean = {f"c{n}.py": f"key_{n} = user_{n}\nruntime(start)\nprint(x.execute(key))\n" for n in range(20)}
     texts = units({**TEXTS, **clean})
