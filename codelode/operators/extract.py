@@ -280,16 +280,13 @@ def _with_bytes(found: DataFrame, units: DataFrame, needed: Column) -> DataFrame
     """Join the bytes of the unit to the rows where `needed` holds, as `unit_bytes`.
 
     The rows are partitioned by `path` already and the units come from the same exchange, so the
-    join adds no shuffle. It looks at language and literals too, which makes both readers of the exchange
+    join adds no shuffle. It looks at language too, which makes both readers of the exchange
     ask for the same columns; otherwise the text would be shuffled once for each. For the same reason
-    the units are told from their pieces by an expression that stays above the exchange.
+    it does so by an expression that lets no filter pass below the exchange.
     """
-    whole = F.when(F.spark_partition_id() >= 0, F.col("piece")) == ""
-    texts = by_path(units).filter(whole).select(
-        F.col("path").alias("unit_path"),
-        F.when(
-            F.col("language").isNotNull() & (F.coalesce(F.size("literals"), F.lit(0)) >= -1), F.col("content").cast("binary")
-        ).alias("unit_bytes"),
+    known = (F.spark_partition_id() >= 0) & F.col("language").isNotNull()
+    texts = by_path(units).select(
+        F.col("path").alias("unit_path"), F.when(known, F.col("content").cast("binary")).alias("unit_bytes")
     )
     same = (F.col("path") == F.col("unit_path")) & F.col("needs_bytes")
     return (
@@ -363,8 +360,7 @@ def with_qualifier(found: DataFrame, units: DataFrame, only: Column) -> DataFram
 
 def assignments(units: DataFrame) -> DataFrame:
     """Assignments to plain variables (E-03 to E-06), one row each, in the order of the source."""
-    units = with_inner_code(units)
-    rows = placed(items(units).filter(F.col("item") == ASSIGNMENT))
+    rows = placed(items(with_inner_code(units)).filter(F.col("item") == ASSIGNMENT))
     # Numbered before the text joins, so that no sort carries the text of a unit.
     order = Window.partitionBy("path").orderBy("line", "col", "pos")
     rows = rows.withColumn("ordinal", F.row_number().over(order))
@@ -386,9 +382,8 @@ def calls(units: DataFrame) -> DataFrame:
     A call comes before the calls in its arguments. The argument array of a call can be no longer
     than the text of the unit that holds it.
     """
-    units = with_inner_code(units)
     order = Window.partitionBy("path").orderBy("off", "piece", "pos")
-    rows = placed(_calls_with_arguments(units)).withColumn("ordinal", F.row_number().over(order)).transform(with_earlier_names)
+    rows = placed(_calls_with_arguments(with_inner_code(units))).withColumn("ordinal", F.row_number().over(order)).transform(with_earlier_names)
     needed = F.coalesce("member_off", "name_end").isNotNull() | F.exists("arguments", lambda a: a["text"].isNull())
     rows = _with_bytes(rows, units, needed)
 

@@ -25,32 +25,41 @@ from codelode.functions import literals
 
 
 def by_path(units: DataFrame) -> DataFrame:
-    """The one exchange of the extraction. Both readers of it must select the same columns.
+    """The one exchange of the extraction. All readers of it must select the same columns.
 
     The number of partitions is `spark.sql.shuffle.partitions`, given explicitly: adaptive
     execution would merge partitions by the size of the raw text, and a byte of text becomes some
     forty bytes of token rows behind the exchange. Set it to about one per 16 MB of source text.
+
+    Literals are found and tokens made behind it, so that the work on a unit is spread over these partitions, however
+    few files or partitions the units come from.
     """
     n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if "piece" not in units.columns:
-        # An empty string, but no literal: the windows must keep the column they are partitioned by.
-        units = units.select("path", F.substring("path", 1, 0).alias("piece"), "language", "content",
-                             literals.outermost().alias("literals"))
-    return units.select("path", "piece", "language", "content", "literals").repartition(n, "path")
+    return units.select("path", "language", "content").repartition(n, "path")
 
 
 def with_inner_code(units: DataFrame) -> DataFrame:
-    """The units, and the code inside their formatted strings, templates and elements as pieces of their own.
+    """The units by path, and the code inside their formatted strings, templates and elements as pieces of their own.
 
     The literal itself stays one token of the unit around it. `piece` holds the line, column and byte
     at which the code begins, and its size in bytes; it is empty for the unit itself. The fold that finds the
     literals runs once for a unit, as one generator makes all its rows.
     """
-    return units.select("path", "language", F.explode(literals.pieces()).alias("found")).select(
+    return by_path(units).select("path", "language", F.explode(literals.pieces()).alias("found")).select(
         "path", "language", "found.piece", "found.content", "found.literals"
     ).filter((F.col("piece") == "") | (F.trim("content") != ""))
 
 
+def _pieces(units: DataFrame) -> DataFrame:
+    """Rows of `with_inner_code`, or units as pieces without the code inside their literals."""
+    if "piece" in units.columns:
+        return units
+    # An empty string, but no literal: the windows must keep the column they are partitioned by.
+    return by_path(units).select(
+        "path", F.substring("path", 1, 0).alias("piece"), "language", "content", literals.outermost().alias("literals")
+    )
+
+
 def _of_piece(number: int) -> Column:
     return F.element_at(F.split("piece", ":"), number).cast("int")
 
@@ -111,7 +120,7 @@ def positioned(units: DataFrame) -> DataFrame:
     # The units are put in path order before they are exploded: the window sort then meets
     # input that is in order already and only has to check it.
     rows = (
-        by_path(units)
+        _pieces(units)
         .sortWithinPartitions("path", "piece")
         .select(
             "path",

@@ -228,7 +228,6 @@ def _terms(spark: SparkSession, rules: list[TermRule], ordinals: dict[int, int])
             )
             for name, qualifiers in by_name.items()
         ]
-    # A local table: the planner knows its size and broadcasts it if it is small.
     return spark.createDataFrame(
         rows,
         "rule_ordinal int, term_item string, term_key string, term_name string, "
@@ -241,11 +240,12 @@ def _terms(spark: SparkSession, rules: list[TermRule], ordinals: dict[int, int])
 def _term_findings(
     spark: SparkSession, units: DataFrame, rules: list[TermRule], ordinals: dict[int, int]
 ) -> DataFrame:
-    candidates = extract.with_inner_code(candidate_units(units, rules))
-    items = extract.items(candidates)
+    candidates = candidate_units(units, rules)
+    items = extract.items(extract.with_inner_code(candidates))
     # By name first: nearly all items drop out before any text is fetched for a qualifier.
     matched = items.withColumn("key", F.lower("name")).join(
-        _terms(spark, rules, ordinals),
+        # A row for each name of the rules: without adaptive execution, as in streams, items would be dealt by name.
+        F.broadcast(_terms(spark, rules, ordinals)),
         (F.col("item") == F.col("term_item"))
         & (F.col("key") == F.col("term_key"))
         & (F.col("fold_case") | (F.col("name") == F.col("term_name"))),

@@ -250,3 +250,20 @@ def test_long_chains(units):
     """Each call of a chain goes on where the one before stopped."""
     rows = extract.calls(units({"a.java": "x" + ".a(b)" * 3000 + ";"})).orderBy("ordinal").collect()
     assert len(rows) == 3000 and rows[-1].qualifier == "x" + ".a" * 2999
+
+
+def test_literals_are_found_behind_the_exchange(units):
+    """The work on a unit is spread over the partitions by path, however few files the units come from."""
+    frame = scan(units({"a.py": "eval(x)\nz = f'{eval(1)}'", "b.js": "eval(`${exec(c)}`);"}).coalesce(1))
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and all("Generate" not in part.split("Join")[0] for part in plan.split("RepartitionByExpression")[1:])
+
+
+def test_items_are_not_dealt_by_name(spark, units):
+    """Streams may run without adaptive execution, which would find out that the rules' names are few."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = scan(units({"a.py": "eval(x)"}))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert not re.search(r"hashpartitioning\(\w*(item|key)#", plan)
