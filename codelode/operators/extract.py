@@ -40,8 +40,10 @@ from codelode.operators.tokens import (
     piece_bounds,
     positioned,
     with_inner_code,
-    with_next,
-    with_previous,
+    kind_of,
+    with_compound,
+    with_line_first,
+    with_neighbours,
     with_statement,
 )
 
@@ -49,19 +51,19 @@ CALL = "CALL"
 ASSIGNMENT = "ASSIGNMENT"
 
 
-def _assignment() -> Column:
-    """The assignment of a row, if the bracket around it allows one."""
+def _is_assignment() -> Column:
+    """Whether the row assigns: the bracket around it allows that."""
     opener, after = F.col("opener"), F.col("closer.next_word")
     parameters = opener["round"] & (
         (after == lx.word("=>")) | ((after == lx.word("{")) & ~opener["control"])
     )
     pattern = ~opener["round"] & (after == lx.word("="))
     javascript = (F.col("language") == JAVASCRIPT) & (parameters | pattern)
-    return F.when(no(opener["no_assignment"] | javascript), F.col("assigned"))
+    return F.col("assigned").isNotNull() & no(opener["no_assignment"] | javascript)
 
 
-def _call() -> Column:
-    """The call of a row, if the token after its closing bracket allows one."""
+def _is_call() -> Column:
+    """Whether the row calls: the token after its closing bracket allows that."""
     callee, closer, chain = F.col("callee"), F.col("closer"), F.col("chain")
     after = closer["next_word"]
     # f(x for x in y) has no argument list.
@@ -69,6 +71,12 @@ def _call() -> Column:
     declaration = (callee["by_brace"] & after.isin(lx.words("{", "=>", "throws"))) | (
         callee["name_end"].isNotNull() & chain["control"]
     )
+    return callee.isNotNull() & closer["pos"].isNotNull() & no(generator) & no(declaration)
+
+
+def _call() -> list[Column]:
+    """What is known of a call."""
+    callee, chain = F.col("callee"), F.col("chain")
     # Type arguments in front of a name are no part of it.
     token = F.when(
         callee["name_end"].isNull(),
@@ -83,22 +91,26 @@ def _call() -> Column:
     own_col = F.when(callee["newlines"] > 0, after_last_newline(callee["tok"]) + 1).otherwise(
         callee["col"] + F.octet_length(callee["tok"])
     ) - F.octet_length(name)
-    return F.when(
-        callee.isNotNull() & closer["pos"].isNotNull() & no(generator) & no(declaration),
-        F.struct(
-            name.alias("name"),
-            F.when(own, own_line).otherwise(chain["line"]).cast("int").alias("line"),
-            F.when(own, own_col).otherwise(chain["col"]).cast("int").alias("col"),
-            chain["byte_off"].alias("chain_off"),
-            callee["member_off"].alias("member_off"),
-            callee["name_end"].alias("name_end"),
-            chain["pos"].alias("chain_pos"),
-            F.col("kept").alias("kept"),
-            F.coalesce(F.when(F.col("ended.pos") >= chain["pos"], F.col("ended.end")), chain["byte_off"]).alias("own_begin"),
-            F.col("gap_off").alias("own_end"),
-            F.when(dotted != "", F.replace(dotted, F.lit("?."), F.lit("."))).alias("dotted"),
-        ),
-    )
+    return [
+        name.alias("name"),
+        F.when(own, own_line).otherwise(chain["line"]).cast("int").alias("line"),
+        F.when(own, own_col).otherwise(chain["col"]).cast("int").alias("col"),
+        chain["byte_off"].alias("chain_off"),
+        callee["member_off"].alias("member_off"),
+        callee["name_end"].alias("name_end"),
+        F.when(dotted != "", F.replace(dotted, F.lit("?."), F.lit("."))).alias("dotted"),
+    ]
+
+
+def _own_names() -> list[Column]:
+    """Where the chain of a call begins, and the stretch of the text with its own names."""
+    chain, is_call = F.col("chain"), F.col("is_call")
+    begin = F.coalesce(F.when(F.col("ended.pos") >= chain["pos"], F.col("ended.end")), chain["byte_off"])
+    return [
+        F.when(is_call, chain["pos"]).alias("chain_pos"),
+        F.when(is_call, begin).alias("own_begin"),
+        F.when(is_call, F.col("gap_off")).alias("own_end"),
+    ]
 
 
 def _segment_size() -> Column:
@@ -111,10 +123,10 @@ def _segment_counts() -> tuple[Column, Column]:
     A comment next to a comma or bracket counts as an argument of its own.
     """
     size = _segment_size()
-    leading = F.when(F.col("n1_comments").isNotNull(), F.size("n1_comments")).otherwise(0)
+    leading = F.when(F.col("n1.comments").isNotNull(), F.size("n1.comments")).otherwise(0)
     trailing = F.when(F.col("delim.comments").isNotNull(), F.size("delim.comments")).otherwise(0)
     n_args = F.when(size == 0, leading).otherwise(leading + 1 + trailing)
-    n_strings = F.when((size == 1) & (F.col("n1_kind") == lx.STRING), 1).otherwise(0)
+    n_strings = F.when((size == 1) & (kind_of("n1") == lx.STRING), 1).otherwise(0)
     return n_args, n_strings
 
 
@@ -122,7 +134,7 @@ def _segment() -> Column:
     """The arguments themselves (E-10). `begin` and `end` are bytes, for those that need text."""
     size = _segment_size()
     kind = expression_kind(size == 1, "n1")
-    token = F.col("n1_tok")
+    token = F.col("n1.tok")
 
     def located(comment: Column) -> Column:
         none = F.lit(None).cast("bigint")
@@ -135,13 +147,13 @@ def _segment() -> Column:
     expression = F.struct(
         kind.alias("kind"),
         F.when(kind == STRING, strip_quotes(token)).when(size == 1, token).alias("text"),
-        F.col("n1_line").alias("line"),
-        F.col("n1_col").alias("col"),
-        F.when(size > 1, F.col("n1_byte_off")).alias("begin"),
+        F.col("n1.line").alias("line"),
+        F.col("n1.col").alias("col"),
+        F.when(size > 1, F.col("n1.byte_off")).alias("begin"),
         F.when(size > 1, F.col("delim.gap_off")).alias("end"),
     )
     none = F.array().cast("array<struct<kind:string,text:string,line:int,col:int>>")
-    leading = F.transform(F.coalesce("n1_comments", none), located)
+    leading = F.transform(F.coalesce("n1.comments", none), located)
     trailing = F.transform(F.coalesce("delim.comments", none), located)
     return F.when(size == 0, leading).otherwise(
         F.concat(leading, F.array(expression), trailing)
@@ -152,12 +164,13 @@ def _parts(units: DataFrame) -> DataFrame:
     """Assignments, calls, and the commas between the arguments of calls."""
     rows = positioned(units)
     for stage in (
-        with_previous,
-        with_maybe_call,
-        with_next,
+        with_neighbours,
         with_roles,
-        with_value_end,
         with_statement,
+        with_value_end,
+        with_compound,
+        with_maybe_call,
+        with_line_first,
         relevant,
         with_assigned,
         structure,
@@ -171,28 +184,31 @@ def _parts(units: DataFrame) -> DataFrame:
 def _item_columns() -> list[Column]:
     assignment, call = F.col("assignment"), F.col("call")
     return [
-        F.when(call.isNotNull(), F.lit(CALL)).otherwise(F.lit(ASSIGNMENT)).alias("item"),
+        F.when(F.col("is_call"), F.lit(CALL)).otherwise(F.lit(ASSIGNMENT)).alias("item"),
         F.coalesce(call["name"], assignment["name"]).alias("name"),
         F.coalesce(call["line"], assignment["line"]).alias("line"),
         F.coalesce(call["col"], assignment["col"]).alias("col"),
         call["chain_off"].alias("chain_off"),
         call["member_off"].alias("member_off"),
-        *(call[name].alias(name) for name in ("name_end", "chain_pos", "kept", "own_begin", "own_end")),
+        call["name_end"].alias("name_end"),
+        *(F.col(name) for name in ("chain_pos", "kept", "own_begin", "own_end")),
         call["dotted"].alias("dotted"),
-        F.when(
-            assignment.isNotNull(),
-            F.struct(
-                assignment["kind"].alias("kind"),
-                assignment["text"].alias("text"),
-                assignment["value_line"].alias("line"),
-                assignment["value_col"].alias("col"),
-                assignment["begin"].alias("begin"),
-                F.col("stop_end").alias("end"),
-            ),
-        ).alias("value"),
+        _value().alias("value"),
     ]
 
 
+def _value() -> Column:
+    """The value of an assignment."""
+    assignment = F.col("assignment")
+    value = F.struct(
+        *(assignment[name].alias(name) for name in ("kind", "text")),
+        *(assignment[f"value_{name}"].alias(name) for name in ("line", "col")),
+        assignment["begin"].alias("begin"),
+        F.col("stop_end").alias("end"),
+    )
+    return F.when(assignment.isNotNull(), value)
+
+
 def placed(found: DataFrame) -> DataFrame:
     """Rows of pieces as rows of the units that hold them; `off` is the byte that orders them."""
     line, col, off = in_unit(F.col("line"), F.col("col"), F.coalesce("chain_off", F.col("pos").cast("bigint")))
@@ -204,10 +220,8 @@ def _placed_expression(x: Column) -> Column:
     return F.struct(x["kind"].alias("kind"), x["text"].alias("text"), line.alias("line"), col.alias("col"))
 
 
-def items(units: DataFrame) -> DataFrame:
-    """Assignments and calls of all units and of the pieces of code in their literals, one row each.
-
-    Places are those in the piece; `placed` turns them into places in the unit.
+def _judged(units: DataFrame) -> DataFrame:
+    """What is an assignment (`is_assignment`) or a call (`is_call`), one row each, with the groups it stands in.
 
     `n_args` and `n_strings` count the arguments of a call. They are differences of running sums
     between the brackets of the call, so no grouping and no further sort is needed.
@@ -231,42 +245,67 @@ def items(units: DataFrame) -> DataFrame:
     sums = F.expr(
         "lead(sums_here, 1) IGNORE NULLS OVER (PARTITION BY path, piece, lvl ORDER BY pos)"
     )
+    # Judged before the last windows, which then have few rows.
     rows = (
-        rows.withColumn("sums", sums)
-        .filter(F.col("callee").isNotNull() | F.col("assigned").isNotNull())
-        .withColumns({"assignment": _assignment(), "call": _call()})
-        .filter(F.col("assignment").isNotNull() | F.col("call").isNotNull())
+        rows.withColumns({"is_call": _is_call(), "is_assignment": _is_assignment()})
+        .filter(is_closer | F.col("is_call") | F.col("is_assignment"))
+        .withColumn("sums", sums)
+        .filter(F.col("is_call") | F.col("is_assignment"))
     )
-    return with_earlier_names(rows.select(
+
+    def of_call(value: Column) -> Column:
+        return F.when(F.col("is_call"), value)
+
+    return rows.select(
         "path",
         "piece",
         "language",
         "lvl",
         "pos",
-        *_item_columns(),
-        F.when(F.col("call").isNotNull(), F.col("sums.args_before") - F.col("args_before")).alias("n_args"),
-        F.when(F.col("call").isNotNull(), F.col("sums.strings_before") - F.col("strings_before")).alias("n_strings"),
-    ))
+        "is_call",
+        "is_assignment",
+        *(of_call(F.col(name)).alias(name) for name in ("callee", "chain", "kept")),
+        *_own_names(),
+        F.when(F.col("is_assignment"), F.col("assigned")).alias("assignment"),
+        "stop_end",
+        of_call(F.col("sums.args_before") - F.col("args_before")).alias("n_args"),
+        of_call(F.col("sums.strings_before") - F.col("strings_before")).alias("n_strings"),
+    )
+
+
+def items(units: DataFrame) -> DataFrame:
+    """Assignments and calls of all units and of the pieces of code in their literals, one row each.
+
+    Places are those in the piece; `placed` turns them into places in the unit. The facts of an item are made
+    behind the last window, as its generated code would be too long with them in front.
+    """
+    call = F.when(F.col("is_call"), F.struct(*_call()))
+    return (
+        with_earlier_names(_judged(units))
+        .withColumn("call", call)
+        .select("path", "piece", "language", "lvl", "pos", *_item_columns(), "n_args", "n_strings", "earlier")
+    )
 
 
 def _calls_with_arguments(units: DataFrame) -> DataFrame:
-    """Calls with their argument array, in source order.
+    """Calls with their argument array.
 
     Grouping is by `path` and bracket, so it needs no shuffle.
     """
-    rows = _parts(units).filter("in_call").withColumn("call", _call())
+    rows = _parts(units).filter("in_call").withColumn("is_call", _is_call())
     part = F.struct("pos", _segment().alias("segment"))
+    facts = F.struct("is_call", "callee", "chain", "kept", "ended", "gap_off")
     return (
         rows.groupBy("path", "piece", "language", F.col("opener.pos").alias("item_pos"))
         .agg(
-            F.first("call", ignorenulls=True).alias("call"),
+            F.first(F.when(F.col("is_call"), facts), ignorenulls=True).alias("facts"),
             F.first("lvl").alias("lvl"),
             F.flatten(
                 F.transform(F.array_sort(F.collect_list(part)), lambda s: s["segment"])
             ).alias("arguments"),
         )
-        .filter(F.col("call").isNotNull())
-        .select("path", "piece", "language", "lvl", F.col("item_pos").alias("pos"), "call.*", "arguments")
+        .filter(F.col("facts").isNotNull())
+        .select("path", "piece", "language", "lvl", F.col("item_pos").alias("pos"), "facts.*", "arguments")
     )
 
 
@@ -360,7 +399,14 @@ def with_qualifier(found: DataFrame, units: DataFrame, only: Column) -> DataFram
 
 def assignments(units: DataFrame) -> DataFrame:
     """Assignments to plain variables (E-03 to E-06), one row each, in the order of the source."""
-    rows = placed(items(with_inner_code(units)).filter(F.col("item") == ASSIGNMENT))
+    rows = placed(
+        _judged(with_inner_code(units)).filter("is_assignment").select(
+            "path", "piece", "language", "pos",
+            *(F.col(f"assignment.{name}").alias(name) for name in ("name", "line", "col")),
+            F.lit(None).cast("bigint").alias("chain_off"),
+            _value().alias("value"),
+        )
+    )
     # Numbered before the text joins, so that no sort carries the text of a unit.
     order = Window.partitionBy("path").orderBy("line", "col", "pos")
     rows = rows.withColumn("ordinal", F.row_number().over(order))
@@ -383,7 +429,17 @@ def calls(units: DataFrame) -> DataFrame:
     than the text of the unit that holds it.
     """
     order = Window.partitionBy("path").orderBy("off", "piece", "pos")
-    rows = placed(_calls_with_arguments(with_inner_code(units))).withColumn("ordinal", F.row_number().over(order)).transform(with_earlier_names)
+    rows = _calls_with_arguments(with_inner_code(units))
+    _, _, off = in_unit(F.lit(1), F.lit(1), F.coalesce("chain.byte_off", F.col("pos").cast("bigint")))
+    rows = rows.withColumn("off", off).withColumn("ordinal", F.row_number().over(order)).withColumns(
+        {name: column for name, column in zip(("chain_pos", "own_begin", "own_end"), _own_names(), strict=True)}
+    )
+    rows = placed(
+        with_earlier_names(rows).select(
+            "path", "piece", "language", "lvl", "pos", "ordinal", "chain_pos", "kept", "own_begin", "own_end", "earlier",
+            *_call(), "arguments",
+        )
+    )
     needed = F.coalesce("member_off", "name_end").isNotNull() | F.exists("arguments", lambda a: a["text"].isNull())
     rows = _with_bytes(rows, units, needed)
 

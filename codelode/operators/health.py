@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codelode.catalog import PYTHON
 from codelode.functions import lexical as lx
-from codelode.operators.tokens import positioned, with_next, with_previous
+from codelode.operators.tokens import breaks_of, kind_of, positioned, with_neighbours, word_of
 
 
 def source_health(units: DataFrame) -> DataFrame:
@@ -15,17 +15,17 @@ def source_health(units: DataFrame) -> DataFrame:
 
     A unit without tokens has no error and stays in the result.
     """
-    rows = with_next(with_previous(positioned(units)))
+    rows = with_neighbours(positioned(units))
     kind = F.col("kind")
     language = F.col("language")
-    is_quoted = kind.isin(lx.STRING, lx.OTHER_QUOTED) & ~F.substring("tok", 1, 1).isin("/", "<")
-    open_quote = F.when(is_quoted, ~lx.is_complete_string(language, F.col("tok")))
-    at_end = F.col("n1_kind").isNull() | (F.col("n1_kind") == lx.END)
+    is_quoted = kind.isin(lx.STRING, lx.OTHER_QUOTED) & ~F.substring("here.tok", 1, 1).isin("/", "<")
+    open_quote = F.when(is_quoted, ~lx.is_complete_string(language, F.col("here.tok")))
+    at_end = kind_of("n1").isNull() | (kind_of("n1") == lx.END)
     no_value = (kind == lx.EQUALS) & (
         at_end
-        | F.when(language == PYTHON, (F.col("depth") == 0) & F.col("n1_breaks"))
+        | F.when(language == PYTHON, (F.col("depth") == 0) & breaks_of("n1"))
         .otherwise(False)
-        | F.col("n1_word").isin(lx.words(")", "]", "}", ";"))
+        | word_of("n1").isin(lx.words(")", "]", "}", ";"))
     )
     step = F.when(kind == lx.OPEN, 1).when(kind == lx.CLOSE, -1).otherwise(0)
     flags = rows.groupBy("path").agg(

@@ -16,15 +16,16 @@ from pyspark.sql import functions as F
 from codelode.catalog import JAVA, JAVASCRIPT, PYTHON
 from codelode.functions import lexical as lx
 from codelode.functions.expressions import strip_quotes
+from codelode.operators.tokens import breaks_of, kind_of, word_of
 
 STRING = "STRING"
 VARIABLE = "VARIABLE"
 UNKNOWN = "UNKNOWN"
 
 # Roles of a row. A token can have two: it can begin a chain and end the value before it.
-LINK = "link"  # part of a call chain
-GROUP = "group"  # bracket, comma, assignment sign, Python `for`
-STOP = "stop"  # ends the value of an assignment
+LINK = 1  # part of a call chain
+GROUP = 2  # bracket, comma, assignment sign, Python `for`
+STOP = 4  # ends the value of an assignment
 
 
 
@@ -39,18 +40,14 @@ def yes(condition: Column) -> Column:
 
 def _is(near: str, *words: str) -> Column:
     """Whether a token nearby is one of the words."""
-    return F.col(f"{near}_word").isin(lx.words(*words))
-
-
-def _kind(near: str) -> Column:
-    return F.col(f"{near}_kind")
+    return word_of(near).isin(lx.words(*words))
 
 
 def expression_kind(single: Column, token: str) -> Column:
     """E-11: one token alone can be a string or a variable, all else is unknown."""
     return (
-        F.when(single & (_kind(token) == lx.STRING), F.lit(STRING))
-        .when(single & (_kind(token) == lx.NAME), F.lit(VARIABLE))
+        F.when(single & (kind_of(token) == lx.STRING), F.lit(STRING))
+        .when(single & (kind_of(token) == lx.NAME), F.lit(VARIABLE))
         .otherwise(F.lit(UNKNOWN))
     )
 
@@ -58,14 +55,14 @@ def expression_kind(single: Column, token: str) -> Column:
 def with_maybe_call(rows: DataFrame) -> DataFrame:
     """Add whether a bracket can open the arguments of a call (E-07 to E-09)."""
     language = F.col("language")
-    named = lx.is_name(_kind("p1"))
+    named = lx.is_name(kind_of("p1"))
     # A declaration has a bare name; `a.f(` and `).f(` can only be calls.
-    bare = _kind("p1") == lx.NAME
-    single = lx.is_single_name(_kind("p1"))
+    bare = kind_of("p1") == lx.NAME
+    single = lx.is_single_name(kind_of("p1"))
     python = named & ~((F.col("depth") == 0) & F.col("breaks")) & no(_is("p2", "def", "class"))
     typed = (
         (
-            (lx.is_single_name(_kind("p2")) | (_kind("p2") == lx.KEYWORD))
+            (lx.is_single_name(kind_of("p2")) | (kind_of("p2") == lx.KEYWORD))
             & ~_is("p2", *lx.JAVA_BEFORE_CALL)
         )
         | _is("p2", "]", ">")
@@ -77,8 +74,8 @@ def with_maybe_call(rows: DataFrame) -> DataFrame:
     # Any expression can be called but in Java: `f()(x)`, `a[0](x)`, tag`x`(y).
     ended = _is("p1", ")", "]")
     python = python | (ended & ~((F.col("depth") == 0) & F.col("breaks")))
-    javascript = javascript | ended | (_kind("p1") == lx.OTHER_QUOTED)
-    opens = (F.col("kind") == lx.OPEN) & (F.right("tok", F.lit(1)) == "(")
+    javascript = javascript | ended | (kind_of("p1") == lx.OTHER_QUOTED)
+    opens = (F.col("kind") == lx.OPEN) & (F.right("here.tok", F.lit(1)) == "(")
     found = yes(opens & lx.by_language(language, python, java, javascript))
     return rows.withColumn("maybe_call", found)
 
@@ -90,18 +87,18 @@ def _callee() -> Column:
     after all if that token is a brace.
     """
     language = F.col("language")
-    bare = _kind("p1") == lx.NAME
+    bare = kind_of("p1") == lx.NAME
     extended = (language == JAVASCRIPT) & _is("p2", "extends")
-    unnamed = (_kind("p1") == lx.CLOSE) | (_kind("p1") == lx.OTHER_QUOTED)
+    unnamed = (kind_of("p1") == lx.CLOSE) | (kind_of("p1") == lx.OTHER_QUOTED)
     return F.when(
         F.col("maybe_call"),
         F.struct(
-            F.col("p1_tok").alias("tok"),
-            F.col("p1_line").alias("line"),
-            F.col("p1_col").alias("col"),
-            F.col("p1_tok_newlines").alias("newlines"),
+            F.col("p1.tok").alias("tok"),
+            F.col("p1.line").alias("line"),
+            F.col("p1.col").alias("col"),
+            F.col("p1.tok_newlines").alias("newlines"),
             # A name that begins with a dot has a chain before it, which only the text can give.
-            F.when(_kind("p1") == lx.MEMBER, F.col("p1_byte_off")).alias("member_off"),
+            F.when(kind_of("p1") == lx.MEMBER, F.col("p1.byte_off")).alias("member_off"),
             # No name but an expression, which ends there.
             F.when(unnamed, F.col("gap_off")).alias("name_end"),
             ((bare | unnamed) & (language != PYTHON) & no(extended)).alias("by_brace"),
@@ -113,20 +110,20 @@ def with_value_end(rows: DataFrame) -> DataFrame:
     """Add whether a value follows a sign, and whether it is a single token."""
     language = F.col("language")
     is_sign = F.col("kind").isin(lx.EQUALS, lx.COMPOUND)
-    at_end = _kind("n1").isNull() | (_kind("n1") == lx.END)
-    closing = _is("n1", ";", ")", "]", "}") | (_kind("n1") == lx.COMMA)
-    no_value = at_end | F.when(language == PYTHON, F.col("n1_breaks") | _is("n1", ";")).otherwise(closing)
-    fresh = F.col("n2_breaks") & (
-        lx.begins_operand(_kind("n2"))
-        | ((_kind("n2") == lx.KEYWORD) & ~_is("n2", "in", "instanceof"))
+    at_end = kind_of("n1").isNull() | (kind_of("n1") == lx.END)
+    closing = _is("n1", ";", ")", "]", "}") | (kind_of("n1") == lx.COMMA)
+    no_value = at_end | F.when(language == PYTHON, breaks_of("n1") | _is("n1", ";")).otherwise(closing)
+    fresh = breaks_of("n2") & (
+        lx.begins_operand(kind_of("n2"))
+        | ((kind_of("n2") == lx.KEYWORD) & ~_is("n2", "in", "instanceof"))
         | _is("n2", "{", "@", "++", "--", "!", "~", "...")
     )
     single = (
-        _kind("n2").isNull()
-        | (_kind("n2") == lx.END)
+        kind_of("n2").isNull()
+        | (kind_of("n2") == lx.END)
         | _is("n2", ";")
-        | F.when(language == PYTHON, F.col("n2_breaks")).otherwise(
-            _kind("n2").isin(lx.COMMA, lx.CLOSE) | ((language == JAVASCRIPT) & fresh)
+        | F.when(language == PYTHON, breaks_of("n2")).otherwise(
+            kind_of("n2").isin(lx.COMMA, lx.CLOSE) | ((language == JAVASCRIPT) & fresh)
         )
     )
     return rows.withColumns(
@@ -141,7 +138,7 @@ def with_assigned(rows: DataFrame) -> DataFrame:
     """Add `assigned` to signs that can assign a value to a plain variable (E-03 to E-06)."""
     language = F.col("language")
     pos, line_first, last_equals = F.col("pos"), F.col("line_first"), F.col("last_equals")
-    bare = _kind("p1") == lx.NAME
+    bare = kind_of("p1") == lx.NAME
     is_equals = F.col("kind") == lx.EQUALS
 
     first_equals = last_equals.isNull() | (last_equals < line_first["pos"])
@@ -156,8 +153,8 @@ def with_assigned(rows: DataFrame) -> DataFrame:
         | (~first_equals & (last_equals == pos - 2))
     )
     # int a[] = ...
-    array_name = yes(_is("p1", "]") & _is("p2", "[") & (_kind("p3") == lx.NAME))
-    attribute = _kind("p2").isin(lx.NAME, lx.STRING, lx.NUMBER) & ~F.col("p1_breaks")
+    array_name = yes(_is("p1", "]") & _is("p2", "[") & (kind_of("p3") == lx.NAME))
+    attribute = kind_of("p2").isin(lx.NAME, lx.STRING, lx.NUMBER) & ~breaks_of("p1")
     # Everything below is guarded, so that other rows pay one comparison.
     is_sign = F.col("kind").isin(lx.EQUALS, lx.COMPOUND)
     rows = rows.withColumn(
@@ -178,8 +175,8 @@ def with_assigned(rows: DataFrame) -> DataFrame:
     )
     target = (
         F.when(F.col("target") == "line", F.struct(*(line_first[f].alias(f) for f in ("tok", "line", "col"))))
-        .when(F.col("target") == "p3", F.struct(*(F.col(f"p3_{f}").alias(f) for f in ("tok", "line", "col"))))
-        .when(F.col("target") == "p1", F.struct(*(F.col(f"p1_{f}").alias(f) for f in ("tok", "line", "col"))))
+        .when(F.col("target") == "p3", F.struct(*(F.col(f"p3.{f}").alias(f) for f in ("tok", "line", "col"))))
+        .when(F.col("target") == "p1", F.struct(*(F.col(f"p1.{f}").alias(f) for f in ("tok", "line", "col"))))
     )
     has_target = F.col("target").isNotNull()
     rows = rows.withColumns(
@@ -188,16 +185,16 @@ def with_assigned(rows: DataFrame) -> DataFrame:
             "value_kind": F.when(has_target, expression_kind(F.col("is_single"), "n1")),
         }
     )
-    value_kind, token = F.col("value_kind"), F.col("n1_tok")
+    value_kind, token = F.col("value_kind"), F.col("n1.tok")
     assigned = F.struct(
         F.col("target.tok").alias("name"),
         F.col("target.line").alias("line"),
         F.col("target.col").alias("col"),
         value_kind.alias("kind"),
         F.when(value_kind == STRING, strip_quotes(token)).when(value_kind == VARIABLE, token).alias("text"),
-        F.col("n1_line").alias("value_line"),
-        F.col("n1_col").alias("value_col"),
-        F.col("n1_byte_off").alias("begin"),
+        F.col("n1.line").alias("value_line"),
+        F.col("n1.col").alias("value_col"),
+        F.col("n1.byte_off").alias("begin"),
     )
     return rows.withColumn(
         "assigned", F.when(F.col("target").isNotNull() & F.col("has_value"), assigned)
@@ -209,10 +206,10 @@ def with_roles(rows: DataFrame) -> DataFrame:
     language, kind, depth = F.col("language"), F.col("kind"), F.col("depth")
     is_python, is_javascript = language == PYTHON, language == JAVASCRIPT
     leads_on = (
-        (_kind("n1") == lx.MEMBER)
-        | ((_kind("n1") == lx.OPEN) & ~_is("n1", "{"))
+        (kind_of("n1") == lx.MEMBER)
+        | ((kind_of("n1") == lx.OPEN) & ~_is("n1", "{"))
         # Strings that stand side by side are one operand in Python.
-        | (is_python & (kind == lx.STRING) & (_kind("n1") == lx.STRING))
+        | (is_python & (kind == lx.STRING) & (kind_of("n1") == lx.STRING))
     )
     is_link = (
         kind.isin(lx.OPEN, lx.MEMBER)
@@ -227,58 +224,62 @@ def with_roles(rows: DataFrame) -> DataFrame:
         | ((kind == lx.KEYWORD) & ~F.col("word").isin(lx.words("in", "instanceof")))
         | F.col("word").isin(lx.words("{", "@", "++", "--", "!", "~", "..."))
     )
-    ends_operand = lx.ends_operand(_kind("p1")) | _is("p1", "++", "--")
+    ends_operand = lx.ends_operand(kind_of("p1")) | _is("p1", "++", "--")
     is_stop = (
         (F.col("word") == lx.word(";"))
         | (kind == lx.END)
         | (is_python & (depth == 0) & F.col("breaks"))
         | (is_javascript & F.col("breaks") & fresh & yes(ends_operand))
     )
-    def role(holds: Column, lvl: Column, name: str) -> Column:
-        return F.when(holds, F.struct(lvl.alias("lvl"), F.lit(name).alias("role")))
-
-    roles = F.array(
-        role(is_link, depth + 1, LINK),
-        role(is_group, depth, GROUP),
-        role(is_stop & ~is_group, depth, STOP),
+    # A sum and no array that is filtered: Spark generates no code for functions of higher order.
+    roles = (
+        yes(is_link).cast("int") * LINK + yes(is_group).cast("int") * GROUP + yes(is_stop & ~is_group).cast("int") * STOP
+    )
+    # Only signs and brackets look at the tokens themselves.
+    is_sign = kind.isin(lx.EQUALS, lx.COMPOUND)
+    return rows.withColumns(
+        {
+            "roles": roles,
+            "p1": F.when(is_sign | (kind == lx.OPEN), F.col("p1")),
+            "p3": F.when(is_sign & (language == JAVA), F.col("p3")),
+            "n1": F.when(is_sign | kind.isin(lx.OPEN, lx.COMMA), F.col("n1")),
+        }
     )
-    return rows.withColumn("roles", F.filter(roles, lambda r: r.isNotNull()))
 
 
 def relevant(rows: DataFrame) -> DataFrame:
     """Leave out the rows that play no part; about half of them."""
-    return rows.filter(F.size("roles") > 0)
+    return rows.filter(F.col("roles") > 0)
 
 
 def _placed(rows: DataFrame) -> DataFrame:
     """Each row once for every level it stands on."""
-    return (
-        rows.withColumn("placed", F.explode("roles"))
-        .withColumns({"lvl": F.col("placed.lvl"), "role": F.col("placed.role")})
-        .drop("placed", "roles")
-    )
+    sets = [[role for role in (LINK, GROUP, STOP) if roles & role] for roles in range(1, 2 * STOP)]
+    each = F.element_at(F.array(*(F.array(*map(F.lit, roles)) for roles in sets)), F.col("roles"))
+    lvl = F.col("depth") + (F.col("role") == LINK).cast("int")
+    return rows.withColumn("role", F.explode(each)).withColumn("lvl", lvl).drop("roles")
 
 
 def _marks(rows: DataFrame) -> DataFrame:
     """Columns that the level windows look for, and nothing else, so that the sort is narrow."""
     language, kind, word = F.col("language"), F.col("kind"), F.col("word")
     is_java, is_javascript = language == JAVA, language == JAVASCRIPT
-    bracket = F.right("tok", F.lit(1))
+    bracket = F.right("here.tok", F.lit(1))
     round_bracket = bracket == "("
     is_opener = (F.col("role") == LINK) & (kind == lx.OPEN)
     continues = (
-        F.when(kind == lx.MEMBER, lx.ends_operand(_kind("p1")))
+        F.when(kind == lx.MEMBER, lx.ends_operand(kind_of("p1")))
         .when(
             kind == lx.OPEN,
             (bracket != "{")
             & (
-                (_kind("p1") <= lx.VALUE)
+                (kind_of("p1") <= lx.VALUE)
                 | _is("p1", ")", "]")
                 | (is_java & _is("p1", ">"))
             ),
         )
         .when(lx.is_single_name(kind), _is("p1", "new"))
-        .when(kind == lx.STRING, (_kind("p1") == lx.STRING) & (language == PYTHON))
+        .when(kind == lx.STRING, (kind_of("p1") == lx.STRING) & (language == PYTHON))
     )
     # A line break outside brackets ends a statement in Python.
     continues = continues & ~((language == PYTHON) & (F.col("depth") == 0) & F.col("breaks"))
@@ -293,7 +294,7 @@ def _marks(rows: DataFrame) -> DataFrame:
     no_assignment = no_assignment | (
         is_javascript
         & ~round_bracket
-        & (_is("p1", "const", "let", "var", "(", "[") | (_kind("p1") == lx.COMMA))
+        & (_is("p1", "const", "let", "var", "(", "[") | (kind_of("p1") == lx.COMMA))
     )
     opener = F.struct(
         "pos",
@@ -302,16 +303,15 @@ def _marks(rows: DataFrame) -> DataFrame:
         round_bracket.alias("round"),
         yes(_is("p1", *lx.CONTROL_WORDS)).alias("control"),
     )
-    next_word = F.coalesce(F.col("n1_word"), F.lit(0))
+    next_word = F.coalesce(word_of("n1"), F.lit(0))
     is_closer = kind == lx.CLOSE
     begins_chain = (F.col("role") == LINK) & no(continues)
     is_named = kind.isin(lx.NAME, lx.DOTTED, lx.VALUE)
     in_link = (F.col("role") == LINK) & ~kind.isin(lx.OPEN, lx.MEMBER) & ~(begins_chain & is_named)
-    tok_end = F.col("byte_off") + F.octet_length("tok")
+    tok_end = F.col("here.byte_off") + F.octet_length("here.tok")
     is_stop = (F.col("role") == STOP) | (
         (language != PYTHON) & (F.col("role") == GROUP) & kind.isin(lx.COMMA, lx.CLOSE)
     )
-    part = ~kind.isin(lx.EQUALS, lx.COMPOUND)
     return rows.select(
         "path",
         "piece",
@@ -323,19 +323,17 @@ def _marks(rows: DataFrame) -> DataFrame:
         "gap_off",
         _callee().alias("callee"),
         "assigned",
-        *(
-            F.when(part, F.col(f"n1_{fact}")).alias(f"n1_{fact}")
-            for fact in ("tok", "kind", "line", "col", "byte_off", "comments")
-        ),
+        "n1",
+        "n1_mark",
         F.when(is_opener, opener).alias("opener_here"),
         F.when(is_closer, F.struct("pos", next_word.alias("next_word"))).alias("closer_here"),
         F.when(
-            is_closer | (kind == lx.COMMA), F.struct("pos", "gap_off", "comments")
+            is_closer | (kind == lx.COMMA), F.struct("pos", "gap_off", F.col("here.comments").alias("comments"))
         ).alias("delim_here"),
         F.when(
             begins_chain,
             F.struct(
-                "pos", "byte_off", "line", "col", is_named.alias("named"),
+                "pos", *(F.col(f"here.{f}").alias(f) for f in ("byte_off", "line", "col")), is_named.alias("named"),
                 # `if (a) (b)` calls nothing.
                 (yes(_is("p1", *lx.CONTROL_WORDS)) & is_javascript & (kind == lx.OPEN)).alias("control"),
             ),
@@ -364,16 +362,14 @@ def structure(rows: DataFrame) -> DataFrame:
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     before = upto.rowsBetween(Window.unboundedPreceding, -1)
-    closed = F.count("closer_here").over(upto)
-    chain_here = F.when(F.col("chain_here").isNotNull(), F.struct("chain_here.*", "closed"))
     # Java leaves the arguments of a method call out of the qualifiers behind it, but for a bracket that begins the chain.
-    keeps = (F.col("kept") == "yes") | (~F.col("chain.named") & (F.col("closed") == F.col("chain.closed") + 1))
+    first_closer = F.coalesce(F.col("closed") < F.col("chain.pos"), F.lit(True))
+    keeps = (F.col("kept") == "yes") | (~F.col("chain.named") & first_closer)
     return (
         _marks(_placed(rows))
-        .withColumn("closed", closed)
-        .withColumn("chain_here", chain_here)
         .withColumns(
             {
+                "closed": F.last("closer_here.pos", ignorenulls=True).over(before),
                 "opener": F.last("opener_here", ignorenulls=True).over(upto),
                 "chain": F.last("chain_here", ignorenulls=True).over(upto),
                 "closer": following("closer_here"),

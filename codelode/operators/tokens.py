@@ -224,48 +224,51 @@ def _comments() -> Column:
     return F.when(gap.isNotNull(), F.transform(lx.comments(language, gap), place))
 
 
-def _shifted(rows: DataFrame, wanted: dict[str, tuple[int, list[str]]]) -> DataFrame:
-    """Facts of tokens nearby. One column per fact and not one struct per token, as generated code
-    then stays small."""
-    return rows.withColumns(
-        {
-            f"{name}_{fact}": (
-                F.lag(fact, -offset) if offset < 0 else F.lead(fact, offset)
-            ).over(_order())
-            for name, (offset, facts) in wanted.items()
-            for fact in facts
-        }
-    )
+# Bits of a mark: the kind, the number of the word, and whether the gap breaks.
+_WORD_BIT, _BREAK_BIT = 5, 12
+
+
+def kind_of(near: str) -> Column:
+    """Kind of a token nearby: p1, p2, p3, n1 or n2."""
+    return F.col(f"{near}_mark").bitwiseAND((1 << _WORD_BIT) - 1)
 
 
-def with_previous(rows: DataFrame) -> DataFrame:
-    """Add the tokens p1, p2 and p3 before each token."""
+def word_of(near: str) -> Column:
+    return F.shiftright(F.col(f"{near}_mark"), _WORD_BIT).bitwiseAND((1 << _BREAK_BIT - _WORD_BIT) - 1)
+
+
+def breaks_of(near: str) -> Column:
+    return F.col(f"{near}_mark") >= 1 << _BREAK_BIT
+
+
+def with_neighbours(rows: DataFrame) -> DataFrame:
+    """Add the tokens p1, p2 and p3 before each token and n1 and n2 after it.
+
+    A window writes each column of each row anew, so rows are kept to few columns: `here` holds a token with
+    its place, `p1`, `p3` and `n1` are those of the neighbours, and a mark holds the small numbers of one.
+    """
     # A backslash at the end of a Python line takes the line break away.
     escaped = (F.col("language") == PYTHON) & F.col("note").contains("\\")
     breaks = (F.col("gap_newlines") > 0) & F.when(
         escaped, F.regexp_replace("note", r"#[^\n]*+|\\\r?\n", "").contains("\n")
     ).otherwise(True)
-    rows = rows.withColumns({"breaks": breaks, "comments": _comments()})
-    rows = rows.drop("gap_newlines", "gap_col", "note")
-    return _shifted(
-        rows,
-        {
-            "p1": (-1, ["tok", "kind", "word", "breaks", "line", "col", "byte_off", "tok_newlines"]),
-            "p2": (-2, ["kind", "word"]),
-            "p3": (-3, ["tok", "kind", "word", "line", "col"]),
-        },
+    rows = rows.withColumns({"breaks": breaks, "comments": _comments()}).select(
+        "path", "piece", "language", "pos", "kind", "word", "breaks", "depth", "gap_off",
+        F.struct("tok", "line", "col", "byte_off", "tok_newlines", "comments").alias("here"),
+        (
+            F.col("kind")
+            + F.shiftleft(F.col("word"), _WORD_BIT)
+            + F.shiftleft(F.col("breaks").cast("int"), _BREAK_BIT)
+        ).alias("mark"),
     )
-
-
-def with_next(rows: DataFrame) -> DataFrame:
-    """Add the tokens n1 and n2 after each token."""
-    return _shifted(
-        rows,
+    return rows.withColumns(
         {
-            "n1": (1, ["tok", "kind", "word", "breaks", "line", "col", "byte_off", "comments"]),
-            "n2": (2, ["kind", "word", "breaks"]),
-        },
-    )
+            **{f"p{k}_mark": F.lag("mark", k).over(_order()) for k in (1, 2, 3)},
+            **{f"n{k}_mark": F.lead("mark", k).over(_order()) for k in (1, 2)},
+            **{f"p{k}": F.lag("here", k).over(_order()) for k in (1, 3)},
+            "n1": F.lead("here", 1).over(_order()),
+        }
+    ).drop("mark")
 
 
 def with_statement(rows: DataFrame) -> DataFrame:
@@ -278,28 +281,17 @@ def with_statement(rows: DataFrame) -> DataFrame:
     """
     word = F.col("word")
     top = (F.col("depth") == 0) & (F.col("language") == PYTHON)
-    starts_line = top & (
-        F.col("breaks") | (F.col("pos") == 0) | (F.col("p1_word") == lx.word(";"))
-    )
+    starts_line = top & (F.col("breaks") | (F.col("pos") == 0) | (word_of("p1") == lx.word(";")))
     # Not the name of a property or method: `class: 1`, `class() {`.
     introduces = word.isin(lx.words("class", "interface", "enum", ";", "{", "}", "=>")) & ~(
-        (word == lx.word("class")) & F.coalesce(F.col("n1_word").isin(lx.words(":", "(")), F.lit(False))
+        (word == lx.word("class")) & F.coalesce(word_of("n1").isin(lx.words(":", "(")), F.lit(False))
     )
-    first = F.struct("pos", "tok", "kind", "word", "line", "col")
-    line_first = F.col("line_first")
-    # The first colon of a line that begins with a compound word, unless that word is a name: `match: int`.
-    compound = (
-        F.col("colon_pos").isNotNull()
-        & line_first["word"].isin(lx.words(*lx.PYTHON_COMPOUND))
-        & (F.col("last_colon").isNull() | (F.col("last_colon") < line_first["pos"]))
-        & ~((line_first["kind"] == lx.NAME) & (F.col("pos") == line_first["pos"] + 1))
-    )
-    starts = F.col("line_head").isNotNull() | (F.col("pos") == F.col("last_compound") + 1)
+    colon = (word == lx.word(":")) & top
     return (
         rows.withColumns(
             {
-                "line_head": F.when(starts_line, first),
-                "colon_pos": F.when((word == lx.word(":")) & top, F.col("pos")),
+                "line_head": F.when(starts_line, _first()),
+                "colon_pos": F.when(colon, F.col("pos")),
                 "equals_pos": F.when((word == lx.word("=")) & top, F.col("pos")),
                 "introducer": F.when(introduces, word),
             }
@@ -312,7 +304,39 @@ def with_statement(rows: DataFrame) -> DataFrame:
                 "opened_by": F.last("introducer", ignorenulls=True).over(_before()),
             }
         )
-        .withColumn("last_compound", F.last(F.when(compound, F.col("pos")), ignorenulls=True).over(_before()))
-        .withColumn("line_first", F.last(F.when(starts, first), ignorenulls=True).over(_upto()))
-        .drop("line_head", "colon_pos", "equals_pos", "introducer", "last_compound")
+        # From here on only rows that play a part, and those that may begin a statement behind a colon or have one.
+        .filter(
+            (F.col("roles") > 0)
+            | F.col("line_head").isNotNull()
+            | F.col("colon_pos").isNotNull()
+            | F.coalesce((F.col("language") == PYTHON) & (word_of("p1") == lx.word(":")), F.lit(False))
+        )
+        .drop("equals_pos", "introducer")
+    )
+
+
+def _first() -> Column:
+    return F.struct(
+        "pos", "kind", "word", F.col("here.tok").alias("tok"), F.col("here.line").alias("line"), F.col("here.col").alias("col")
+    )
+
+
+def with_compound(rows: DataFrame) -> DataFrame:
+    """Add `last_compound`, the colon of the last compound statement in Python before a token."""
+    line_first = F.col("line_first")
+    # The first colon of a line that begins with a compound word, unless that word is a name: `match: int`.
+    compound = (
+        F.col("colon_pos").isNotNull()
+        & line_first["word"].isin(lx.words(*lx.PYTHON_COMPOUND))
+        & (F.col("last_colon").isNull() | (F.col("last_colon") < line_first["pos"]))
+        & ~((line_first["kind"] == lx.NAME) & (F.col("pos") == line_first["pos"] + 1))
     )
+    last = F.last(F.when(compound, F.col("pos")), ignorenulls=True).over(_before())
+    return rows.withColumn("last_compound", last).drop("colon_pos")
+
+
+def with_line_first(rows: DataFrame) -> DataFrame:
+    """Let `line_first` be the token behind the colon of a compound statement."""
+    starts = F.col("line_head").isNotNull() | (F.col("pos") == F.col("last_compound") + 1)
+    line_first = F.last(F.when(starts, _first()), ignorenulls=True).over(_upto())
+    return rows.withColumn("line_first", line_first).drop("line_head", "last_compound")

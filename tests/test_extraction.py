@@ -12,6 +12,7 @@ from codelode.operators import extract
 from codelode.operators.health import source_health
 from codelode.operators.tokens import tokens
 from codelode.plans.findings import scan
+from codelode.plans.rules import COMMAND_INJECTION, RuleSet
 
 S, V, X = "STRING", "VARIABLE", "UNKNOWN"
 
@@ -267,3 +268,17 @@ def test_items_are_not_dealt_by_name(spark, units):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert not re.search(r"hashpartitioning\(\w*(item|key)#", plan)
+
+
+def test_generated_code_is_compiled(units):
+    """The JVM leaves methods beyond 8,000 bytes uncompiled, which is many times slower."""
+    texts = units({"a.py": "f(x).g(y + 1)\nz = f'{h(1)}'", "b.js": "a = `${b(c).d(e)}`", "c.java": "x.eval(y).exec(z);"})
+    mode = texts.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    texts.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for frame in (scan(texts), scan(texts, RuleSet((COMMAND_INJECTION,))), extract.calls(texts), extract.assignments(texts)):
+            text = frame._jdf.queryExecution().explainString(mode)
+            sizes = [int(size) for size in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+            assert sizes and max(sizes) <= 8000
+    finally:
+        texts.sparkSession.conf.unset("spark.sql.adaptive.enabled")
