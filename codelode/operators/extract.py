@@ -17,18 +17,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codelode.catalog import JAVA, JAVASCRIPT, PYTHON
+from codelode.catalog import JAVA, PYTHON
 from codelode.functions import lexical as lx
 from codelode.functions.expressions import strip_quotes
 from codelode.functions.literals import let
 from codelode.operators.structure import (
+    HEAD,
     LINK,
     STRING,
+    assigned,
+    assigns,
     expression_kind,
-    no,
-    relevant,
+    segment_size,
     structure,
-    with_assigned,
     with_maybe_call,
     with_roles,
     with_value_end,
@@ -38,11 +39,8 @@ from codelode.operators.tokens import (
     by_path,
     in_unit,
     piece_bounds,
-    positioned,
     with_inner_code,
     kind_of,
-    with_compound,
-    with_line_first,
     with_neighbours,
     with_statement,
 )
@@ -51,29 +49,6 @@ CALL = "CALL"
 ASSIGNMENT = "ASSIGNMENT"
 
 
-def _is_assignment() -> Column:
-    """Whether the row assigns: the bracket around it allows that."""
-    opener, after = F.col("opener"), F.col("closer.next_word")
-    parameters = opener["round"] & (
-        (after == lx.word("=>")) | ((after == lx.word("{")) & ~opener["control"])
-    )
-    pattern = ~opener["round"] & (after == lx.word("="))
-    javascript = (F.col("language") == JAVASCRIPT) & (parameters | pattern)
-    return F.col("assigned").isNotNull() & no(opener["no_assignment"] | javascript)
-
-
-def _is_call() -> Column:
-    """Whether the row calls: the token after its closing bracket allows that."""
-    callee, closer, chain = F.col("callee"), F.col("closer"), F.col("chain")
-    after = closer["next_word"]
-    # f(x for x in y) has no argument list.
-    generator = F.col("next_for") < F.col("delim.pos")
-    declaration = (callee["by_brace"] & after.isin(lx.words("{", "=>", "throws"))) | (
-        callee["name_end"].isNotNull() & chain["control"]
-    )
-    return callee.isNotNull() & closer["pos"].isNotNull() & no(generator) & no(declaration)
-
-
 def _call() -> list[Column]:
     """What is known of a call."""
     callee, chain = F.col("callee"), F.col("chain")
@@ -113,26 +88,9 @@ def _own_names() -> list[Column]:
     ]
 
 
-def _segment_size() -> Column:
-    return F.col("delim.pos") - F.col("pos") - 1
-
-
-def _segment_counts() -> tuple[Column, Column]:
-    """Number of arguments, and of string arguments, up to the next comma or closing bracket.
-
-    A comment next to a comma or bracket counts as an argument of its own.
-    """
-    size = _segment_size()
-    leading = F.when(F.col("n1.comments").isNotNull(), F.size("n1.comments")).otherwise(0)
-    trailing = F.when(F.col("delim.comments").isNotNull(), F.size("delim.comments")).otherwise(0)
-    n_args = F.when(size == 0, leading).otherwise(leading + 1 + trailing)
-    n_strings = F.when((size == 1) & (kind_of("n1") == lx.STRING), 1).otherwise(0)
-    return n_args, n_strings
-
-
 def _segment() -> Column:
     """The arguments themselves (E-10). `begin` and `end` are bytes, for those that need text."""
-    size = _segment_size()
+    size = segment_size()
     kind = expression_kind(size == 1, "n1")
     token = F.col("n1.tok")
 
@@ -162,32 +120,17 @@ def _segment() -> Column:
 
 def _parts(units: DataFrame) -> DataFrame:
     """Assignments, calls, and the commas between the arguments of calls."""
-    rows = positioned(units)
-    for stage in (
-        with_neighbours,
-        with_roles,
-        with_statement,
-        with_value_end,
-        with_compound,
-        with_maybe_call,
-        with_line_first,
-        relevant,
-        with_assigned,
-        structure,
-    ):
-        rows = stage(rows)
-    is_opener = (F.col("role") == LINK) & F.col("opener.maybe_call") & (F.col("opener.pos") == F.col("pos"))
-    is_comma = (F.col("kind") == lx.COMMA) & F.col("opener.maybe_call")
-    return rows.withColumn("in_call", F.coalesce(is_opener | is_comma, F.lit(False)))
+    rows = with_statement(with_roles(with_neighbours(units)), LINK, HEAD)
+    return structure(with_maybe_call(with_value_end(rows)))
 
 
 def _item_columns() -> list[Column]:
     assignment, call = F.col("assignment"), F.col("call")
     return [
         F.when(F.col("is_call"), F.lit(CALL)).otherwise(F.lit(ASSIGNMENT)).alias("item"),
-        F.coalesce(call["name"], assignment["name"]).alias("name"),
-        F.coalesce(call["line"], assignment["line"]).alias("line"),
-        F.coalesce(call["col"], assignment["col"]).alias("col"),
+        F.coalesce(call["name"], assignment["target"]["tok"]).alias("name"),
+        F.coalesce(call["line"], assignment["target"]["line"]).alias("line"),
+        F.coalesce(call["col"], assignment["target"]["col"]).alias("col"),
         call["chain_off"].alias("chain_off"),
         call["member_off"].alias("member_off"),
         call["name_end"].alias("name_end"),
@@ -226,30 +169,16 @@ def _judged(units: DataFrame) -> DataFrame:
     `n_args` and `n_strings` count the arguments of a call. They are differences of running sums
     between the brackets of the call, so no grouping and no further sort is needed.
     """
-    level = Window.partitionBy("path", "piece", "lvl").orderBy("pos")
-    before = level.rowsBetween(Window.unboundedPreceding, -1)
-    n_args, n_strings = _segment_counts()
-    in_call, is_closer = F.col("in_call"), F.col("kind") == lx.CLOSE
-    rows = _parts(units).withColumns(
-        {"args": F.when(in_call, n_args), "strings": F.when(in_call, n_strings)}
-    )
-    zero = F.lit(0)
-    rows = rows.withColumns(
-        {
-            "args_before": F.coalesce(F.sum("args").over(before), zero),
-            "strings_before": F.coalesce(F.sum("strings").over(before), zero),
-        }
-    ).withColumn(
-        "sums_here", F.when(is_closer, F.struct("args_before", "strings_before"))
-    )
+    is_closer = F.col("kind") == lx.CLOSE
+    rows = _parts(units).withColumn("sums_here", F.when(is_closer, F.struct("args_before", "strings_before")))
     sums = F.expr(
         "lead(sums_here, 1) IGNORE NULLS OVER (PARTITION BY path, piece, lvl ORDER BY pos)"
     )
-    # Judged before the last windows, which then have few rows.
+    # Calls are judged before the last windows, which then have few rows.
     rows = (
-        rows.withColumns({"is_call": _is_call(), "is_assignment": _is_assignment()})
-        .filter(is_closer | F.col("is_call") | F.col("is_assignment"))
+        rows.filter(is_closer | F.col("is_call") | F.col("sign").isNotNull())
         .withColumn("sums", sums)
+        .withColumn("is_assignment", F.col("sign").isNotNull() & assigns())
         .filter(F.col("is_call") | F.col("is_assignment"))
     )
 
@@ -266,7 +195,7 @@ def _judged(units: DataFrame) -> DataFrame:
         "is_assignment",
         *(of_call(F.col(name)).alias(name) for name in ("callee", "chain", "kept")),
         *_own_names(),
-        F.when(F.col("is_assignment"), F.col("assigned")).alias("assignment"),
+        F.when(F.col("is_assignment"), assigned()).alias("assignment"),
         "stop_end",
         of_call(F.col("sums.args_before") - F.col("args_before")).alias("n_args"),
         of_call(F.col("sums.strings_before") - F.col("strings_before")).alias("n_strings"),
@@ -292,7 +221,7 @@ def _calls_with_arguments(units: DataFrame) -> DataFrame:
 
     Grouping is by `path` and bracket, so it needs no shuffle.
     """
-    rows = _parts(units).filter("in_call").withColumn("is_call", _is_call())
+    rows = _parts(units).filter("in_call")
     part = F.struct("pos", _segment().alias("segment"))
     facts = F.struct("is_call", "callee", "chain", "kept", "ended", "gap_off")
     return (
@@ -402,7 +331,7 @@ def assignments(units: DataFrame) -> DataFrame:
     rows = placed(
         _judged(with_inner_code(units)).filter("is_assignment").select(
             "path", "piece", "language", "pos",
-            *(F.col(f"assignment.{name}").alias(name) for name in ("name", "line", "col")),
+            F.col("assignment.target.tok").alias("name"), "assignment.target.line", "assignment.target.col",
             F.lit(None).cast("bigint").alias("chain_off"),
             _value().alias("value"),
         )

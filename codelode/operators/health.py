@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codelode.catalog import PYTHON
 from codelode.functions import lexical as lx
-from codelode.operators.tokens import breaks_of, kind_of, positioned, with_neighbours, word_of
+from codelode.operators.tokens import breaks_of, kind_of, with_neighbours, word_of
 
 
 def source_health(units: DataFrame) -> DataFrame:
@@ -15,11 +15,11 @@ def source_health(units: DataFrame) -> DataFrame:
 
     A unit without tokens has no error and stays in the result.
     """
-    rows = with_neighbours(positioned(units))
+    rows = with_neighbours(units)
     kind = F.col("kind")
     language = F.col("language")
-    is_quoted = kind.isin(lx.STRING, lx.OTHER_QUOTED) & ~F.substring("here.tok", 1, 1).isin("/", "<")
-    open_quote = F.when(is_quoted, ~lx.is_complete_string(language, F.col("here.tok")))
+    is_quoted = kind.isin(lx.STRING, lx.OTHER_QUOTED) & ~F.substring("tok", 1, 1).isin("/", "<")
+    open_quote = F.when(is_quoted, ~lx.is_complete_string(language, F.col("tok")))
     at_end = kind_of("n1").isNull() | (kind_of("n1") == lx.END)
     no_value = (kind == lx.EQUALS) & (
         at_end

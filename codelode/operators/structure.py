@@ -26,7 +26,7 @@ UNKNOWN = "UNKNOWN"
 LINK = 1  # part of a call chain
 GROUP = 2  # bracket, comma, assignment sign, Python `for`
 STOP = 4  # ends the value of an assignment
-
+HEAD = 8  # may begin a statement in Python, or has the colon before one, and is neither GROUP nor STOP
 
 
 def no(condition: Column) -> Column:
@@ -134,71 +134,64 @@ def with_value_end(rows: DataFrame) -> DataFrame:
     )
 
 
-def with_assigned(rows: DataFrame) -> DataFrame:
-    """Add `assigned` to signs that can assign a value to a plain variable (E-03 to E-06)."""
+def _sign() -> Column:
+    """What a sign assigns if the statement allows it (E-03 to E-06); only Python's has a say."""
     language = F.col("language")
-    pos, line_first, last_equals = F.col("pos"), F.col("line_first"), F.col("last_equals")
     bare = kind_of("p1") == lx.NAME
     is_equals = F.col("kind") == lx.EQUALS
-
-    first_equals = last_equals.isNull() | (last_equals < line_first["pos"])
-    # name: type = value
-    annotated = yes(
-        first_equals
-        & (F.col("last_colon") == line_first["pos"] + 1)
-        & (line_first["kind"] == lx.NAME)
-    )
-    in_statement = (
-        (first_equals & (pos == line_first["pos"] + 1))
-        | (~first_equals & (last_equals == pos - 2))
-    )
     # int a[] = ...
     array_name = yes(_is("p1", "]") & _is("p2", "[") & (kind_of("p3") == lx.NAME))
     attribute = kind_of("p2").isin(lx.NAME, lx.STRING, lx.NUMBER) & ~breaks_of("p1")
-    # Everything below is guarded, so that other rows pay one comparison.
-    is_sign = F.col("kind").isin(lx.EQUALS, lx.COMPOUND)
-    rows = rows.withColumn(
-        "target",
-        F.when(~is_sign, F.lit(None))
-        .when(
-            language == PYTHON,
-            F.when(
-                is_equals & (F.col("depth") == 0),
-                F.when(annotated, F.lit("line")).when(yes(bare & in_statement), F.lit("p1")),
-            ),
-        )
-        .when(
-            language == JAVA,
-            F.when(bare, F.lit("p1")).when(array_name, F.lit("p3")),
-        )
-        .when(is_equals & bare & no(attribute), F.lit("p1")),
-    )
+    in_python = (language == PYTHON) & is_equals & (F.col("depth") == 0)
+    p1, p3 = (F.struct(*(F.col(f"{near}.{f}").alias(f) for f in ("tok", "line", "col"))) for near in ("p1", "p3"))
     target = (
-        F.when(F.col("target") == "line", F.struct(*(line_first[f].alias(f) for f in ("tok", "line", "col"))))
-        .when(F.col("target") == "p3", F.struct(*(F.col(f"p3.{f}").alias(f) for f in ("tok", "line", "col"))))
-        .when(F.col("target") == "p1", F.struct(*(F.col(f"p1.{f}").alias(f) for f in ("tok", "line", "col"))))
+        F.when(language == PYTHON, F.when(in_python & bare, p1))
+        .when(language == JAVA, F.when(bare, p1).when(array_name, p3))
+        .when(is_equals & bare & no(attribute), p1)
     )
-    has_target = F.col("target").isNotNull()
-    rows = rows.withColumns(
-        {
-            "target": F.when(has_target, target),
-            "value_kind": F.when(has_target, expression_kind(F.col("is_single"), "n1")),
-        }
-    )
-    value_kind, token = F.col("value_kind"), F.col("n1.tok")
-    assigned = F.struct(
-        F.col("target.tok").alias("name"),
-        F.col("target.line").alias("line"),
-        F.col("target.col").alias("col"),
+    value_kind, token = expression_kind(F.col("is_single"), "n1"), F.col("n1.tok")
+    sign = F.struct(
+        target.alias("target"),
+        in_python.alias("in_python"),
+        F.col("last_equals"),
+        F.col("last_colon"),
         value_kind.alias("kind"),
         F.when(value_kind == STRING, strip_quotes(token)).when(value_kind == VARIABLE, token).alias("text"),
         F.col("n1.line").alias("value_line"),
         F.col("n1.col").alias("value_col"),
         F.col("n1.byte_off").alias("begin"),
     )
-    return rows.withColumn(
-        "assigned", F.when(F.col("target").isNotNull() & F.col("has_value"), assigned)
-    ).drop("target", "value_kind", "has_value", "is_single")
+    return F.when(F.col("has_value"), sign)
+
+
+def _annotated() -> Column:
+    """name: type = value"""
+    sign, line_first = F.col("sign"), F.col("line_first")
+    return _first_equals() & (sign["last_colon"] == line_first["pos"] + 1) & (line_first["kind"] == lx.NAME)
+
+
+def _first_equals() -> Column:
+    sign = F.col("sign")
+    return sign["last_equals"].isNull() | (sign["last_equals"] < F.col("line_first.pos"))
+
+
+def assigns() -> Column:
+    """Whether a sign assigns to a plain variable."""
+    sign, pos = F.col("sign"), F.col("pos")
+    in_statement = F.when(_first_equals(), pos == F.col("line_first.pos") + 1).otherwise(sign["last_equals"] == pos - 2)
+    return F.when(sign["in_python"], yes(_annotated()) | (sign["target"].isNotNull() & yes(in_statement))).otherwise(
+        sign["target"].isNotNull()
+    )
+
+
+def assigned() -> Column:
+    """The variable and the value, of a sign that assigns."""
+    sign = F.col("sign")
+    first = F.struct(*(F.col(f"line_first.{f}").alias(f) for f in ("tok", "line", "col")))
+    target = F.when(sign["in_python"] & yes(_annotated()), first).otherwise(sign["target"])
+    return F.struct(
+        target.alias("target"), *(sign[f].alias(f) for f in ("kind", "text", "value_line", "value_col", "begin"))
+    )
 
 
 def with_roles(rows: DataFrame) -> DataFrame:
@@ -235,54 +228,42 @@ def with_roles(rows: DataFrame) -> DataFrame:
     roles = (
         yes(is_link).cast("int") * LINK + yes(is_group).cast("int") * GROUP + yes(is_stop & ~is_group).cast("int") * STOP
     )
-    # Only signs and brackets look at the tokens themselves.
-    is_sign = kind.isin(lx.EQUALS, lx.COMPOUND)
-    return rows.withColumns(
-        {
-            "roles": roles,
-            "p1": F.when(is_sign | (kind == lx.OPEN), F.col("p1")),
-            "p3": F.when(is_sign & (language == JAVA), F.col("p3")),
-            "n1": F.when(is_sign | kind.isin(lx.OPEN, lx.COMMA), F.col("n1")),
-        }
-    )
-
-
-def relevant(rows: DataFrame) -> DataFrame:
-    """Leave out the rows that play no part; about half of them."""
-    return rows.filter(F.col("roles") > 0)
+    return rows.withColumn("roles", roles)
 
 
 def _placed(rows: DataFrame) -> DataFrame:
-    """Each row once for every level it stands on."""
-    sets = [[role for role in (LINK, GROUP, STOP) if roles & role] for roles in range(1, 2 * STOP)]
+    """Each row once for every level it stands on, with what callees and signs tell by themselves."""
+    sets = [[role for role in (LINK, GROUP, STOP, HEAD) if roles & role] for roles in range(1, LINK + HEAD + 1)]
     each = F.element_at(F.array(*(F.array(*map(F.lit, roles)) for roles in sets)), F.col("roles"))
     lvl = F.col("depth") + (F.col("role") == LINK).cast("int")
+    # A sign and an opening bracket stand on one level each.
+    rows = rows.withColumns({"callee": _callee(), "sign": _sign()}).drop("last_equals", "p1", "p3", "p3_mark", "has_value", "is_single")
     return rows.withColumn("role", F.explode(each)).withColumn("lvl", lvl).drop("roles")
 
 
-def _marks(rows: DataFrame) -> DataFrame:
-    """Columns that the level windows look for, and nothing else, so that the sort is narrow."""
-    language, kind, word = F.col("language"), F.col("kind"), F.col("word")
+def _of_tokens(rows: DataFrame) -> DataFrame:
+    """What an opening bracket and the start of a statement tell by themselves, sorted for the level windows.
+
+    The sort stands here so that the code of this and of `_marks` is not one method.
+    """
+    language = F.col("language")
     is_java, is_javascript = language == JAVA, language == JAVASCRIPT
     bracket = F.right("here.tok", F.lit(1))
     round_bracket = bracket == "("
-    is_opener = (F.col("role") == LINK) & (kind == lx.OPEN)
-    continues = (
-        F.when(kind == lx.MEMBER, lx.ends_operand(kind_of("p1")))
-        .when(
-            kind == lx.OPEN,
-            (bracket != "{")
-            & (
-                (kind_of("p1") <= lx.VALUE)
-                | _is("p1", ")", "]")
-                | (is_java & _is("p1", ">"))
-            ),
-        )
-        .when(lx.is_single_name(kind), _is("p1", "new"))
-        .when(kind == lx.STRING, (kind_of("p1") == lx.STRING) & (language == PYTHON))
+    is_opener = (F.col("role") == LINK) & (F.col("kind") == lx.OPEN)
+    # The first colon of a line that begins with a compound word, unless that word is a name: `match: int`.
+    line_first = F.col("line_first")
+    compound = (
+        F.col("colon_pos").isNotNull()
+        & line_first["word"].isin(lx.words(*lx.PYTHON_COMPOUND))
+        & (F.col("last_colon").isNull() | (F.col("last_colon") < line_first["pos"]))
+        & ~((line_first["kind"] == lx.NAME) & (F.col("pos") == line_first["pos"] + 1))
+    )
+    on_level = (F.col("role") != LINK) & (language == PYTHON) & (F.col("depth") == 0)
+    head = F.struct(
+        "pos", "kind", F.col("line_head").isNotNull().alias("begins"),
+        *(F.col(f"here.{f}").alias(f) for f in ("tok", "line", "col")),
     )
-    # A line break outside brackets ends a statement in Python.
-    continues = continues & ~((language == PYTHON) & (F.col("depth") == 0) & F.col("breaks"))
     # Brackets in which no `=` assigns: annotations, resources, constants of an interface, class
     # fields in JavaScript.
     no_assignment = F.when(
@@ -303,6 +284,38 @@ def _marks(rows: DataFrame) -> DataFrame:
         round_bracket.alias("round"),
         yes(_is("p1", *lx.CONTROL_WORDS)).alias("control"),
     )
+    return rows.withColumns(
+        {
+            "opener_here": F.when(is_opener, opener),
+            "compound_here": F.when(on_level & compound, F.col("pos")),
+            "head_here": F.when(on_level & (F.col("line_head").isNotNull() | _is("p1", ":")), head),
+        }
+    ).drop("line_head", "colon_pos", "line_first", "last_colon", "opened_by", "maybe_call").sortWithinPartitions(
+        "path", "piece", "lvl", "pos"
+    )
+
+
+def _marks(rows: DataFrame) -> DataFrame:
+    """Columns that the level windows look for, and nothing else."""
+    language, kind, word = F.col("language"), F.col("kind"), F.col("word")
+    is_java, is_javascript = language == JAVA, language == JAVASCRIPT
+    bracket = F.right("here.tok", F.lit(1))
+    continues = (
+        F.when(kind == lx.MEMBER, lx.ends_operand(kind_of("p1")))
+        .when(
+            kind == lx.OPEN,
+            (bracket != "{")
+            & (
+                (kind_of("p1") <= lx.VALUE)
+                | _is("p1", ")", "]")
+                | (is_java & _is("p1", ">"))
+            ),
+        )
+        .when(lx.is_single_name(kind), _is("p1", "new"))
+        .when(kind == lx.STRING, (kind_of("p1") == lx.STRING) & (language == PYTHON))
+    )
+    # A line break outside brackets ends a statement in Python.
+    continues = continues & ~((language == PYTHON) & (F.col("depth") == 0) & F.col("breaks"))
     next_word = F.coalesce(word_of("n1"), F.lit(0))
     is_closer = kind == lx.CLOSE
     begins_chain = (F.col("role") == LINK) & no(continues)
@@ -321,11 +334,13 @@ def _marks(rows: DataFrame) -> DataFrame:
         "role",
         "kind",
         "gap_off",
-        _callee().alias("callee"),
-        "assigned",
+        "callee",
+        "sign",
+        "compound_here",
+        "head_here",
         "n1",
         "n1_mark",
-        F.when(is_opener, opener).alias("opener_here"),
+        "opener_here",
         F.when(is_closer, F.struct("pos", next_word.alias("next_word"))).alias("closer_here"),
         F.when(
             is_closer | (kind == lx.COMMA), F.struct("pos", "gap_off", F.col("here.comments").alias("comments"))
@@ -345,11 +360,56 @@ def _marks(rows: DataFrame) -> DataFrame:
     )
 
 
+def _may_assign() -> Column:
+    """Whether the bracket around a sign lets it assign."""
+    opener, after = F.col("opener"), F.col("closer.next_word")
+    parameters = opener["round"] & (
+        (after == lx.word("=>")) | ((after == lx.word("{")) & ~opener["control"])
+    )
+    pattern = ~opener["round"] & (after == lx.word("="))
+    javascript = (F.col("language") == JAVASCRIPT) & (parameters | pattern)
+    return no(opener["no_assignment"] | javascript)
+
+
+def _is_call() -> Column:
+    """Whether the row calls: the token after its closing bracket allows that."""
+    callee, closer, chain = F.col("callee"), F.col("closer"), F.col("chain")
+    after = closer["next_word"]
+    # f(x for x in y) has no argument list.
+    generator = F.col("next_for") < F.col("delim.pos")
+    declaration = (callee["by_brace"] & after.isin(lx.words("{", "=>", "throws"))) | (
+        callee["name_end"].isNotNull() & chain["control"]
+    )
+    return callee.isNotNull() & closer["pos"].isNotNull() & no(generator) & no(declaration)
+
+
+def segment_size() -> Column:
+    return F.col("delim.pos") - F.col("pos") - 1
+
+
+def _segment_counts() -> tuple[Column, Column]:
+    """Number of arguments, and of string arguments, up to the next comma or closing bracket.
+
+    A comment next to a comma or bracket counts as an argument of its own.
+    """
+    size = segment_size()
+    leading = F.when(F.col("n1.comments").isNotNull(), F.size("n1.comments")).otherwise(0)
+    trailing = F.when(F.col("delim.comments").isNotNull(), F.size("delim.comments")).otherwise(0)
+    n_args = F.when(size == 0, leading).otherwise(leading + 1 + trailing)
+    n_strings = F.when((size == 1) & (kind_of("n1") == lx.STRING), 1).otherwise(0)
+    return n_args, n_strings
+
+
 def structure(rows: DataFrame) -> DataFrame:
     """Add the groups: `opener` (innermost bracket that holds the row, or the bracket itself),
     `closer` (its closing bracket), `delim` (next comma or closing bracket), `chain` (where the
     chain of the row begins), `kept` (the last token in front of it up to which qualifiers have the text of the chain as it
-    stands, in place of its names), `ended` (the last bracket in front of it), `stop_end` (byte at which a value that begins here ends)."""
+    stands, in place of its names), `ended` (the last bracket in front of it), `stop_end` (byte at which a value that begins here ends).
+
+    `is_call` tells the brackets of calls; `sign` stays where the bracket around it allows it to assign, and
+    `line_first` is the first token of its statement in Python. `in_call` tells the brackets that open arguments and the
+    commas between these; `args_before` and `strings_before` are the numbers of arguments, and of strings among them, on
+    the level before the row."""
 
     def following(column: str) -> Column:
         return F.expr(
@@ -365,8 +425,12 @@ def structure(rows: DataFrame) -> DataFrame:
     # Java leaves the arguments of a method call out of the qualifiers behind it, but for a bracket that begins the chain.
     first_closer = F.coalesce(F.col("closed") < F.col("chain.pos"), F.lit(True))
     keeps = (F.col("kept") == "yes") | (~F.col("chain.named") & first_closer)
+    is_opener = (F.col("role") == LINK) & F.col("opener.maybe_call") & (F.col("opener.pos") == F.col("pos"))
+    is_comma = (F.col("kind") == lx.COMMA) & F.col("opener.maybe_call")
+    in_call, zero = F.col("in_call"), F.lit(0)
+    n_args, n_strings = _segment_counts()
     return (
-        _marks(_placed(rows))
+        _marks(_of_tokens(_placed(rows)))
         .withColumns(
             {
                 "closed": F.last("closer_here.pos", ignorenulls=True).over(before),
@@ -376,17 +440,32 @@ def structure(rows: DataFrame) -> DataFrame:
                 "delim": following("delim_here"),
                 "stop_end": following("stop_here"),
                 "next_for": following("for_here"),
+                # The colon of the last compound statement in Python.
+                "last_compound": F.last("compound_here", ignorenulls=True).over(before),
+            }
+        )
+        .withColumns(
+            {
+                "kept_here": F.when(F.col("kept").isNotNull() & keeps, F.struct("pos", F.col("kept_end").alias("end"))),
+                "in_call": yes(is_opener | is_comma),
+                "is_call": _is_call(),
+                "sign": F.when(_may_assign(), F.col("sign")),
+                "head_here": F.when(F.col("head_here.begins") | (F.col("pos") == F.col("last_compound") + 1), F.col("head_here")),
             }
         )
-        .withColumn("kept_here", F.when(F.col("kept").isNotNull() & keeps, F.struct("pos", F.col("kept_end").alias("end"))))
+        .withColumns({"args": F.when(in_call, n_args), "strings": F.when(in_call, n_strings)})
         .withColumns(
             {
+                "args_before": F.coalesce(F.sum("args").over(before), zero),
+                "strings_before": F.coalesce(F.sum("strings").over(before), zero),
                 "kept": F.last("kept_here", ignorenulls=True).over(before),
+                # The first token of the statement, which may stand behind the colon of a compound one.
+                "line_first": F.last("head_here", ignorenulls=True).over(upto),
                 "ended": F.last(F.when(F.col("kept").isNotNull(), F.struct("pos", F.col("kept_end").alias("end"))), ignorenulls=True).over(before),
             }
         )
         .drop(
             "opener_here", "closer_here", "delim_here", "chain_here", "stop_here", "for_here", "kept_here", "kept_end",
-            "closed",
+            "head_here", "compound_here", "last_compound", "closed", "args", "strings",
         )
     )

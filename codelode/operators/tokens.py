@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from codelode.catalog import PYTHON
+from codelode.catalog import JAVA, PYTHON
 from codelode.functions import lexical as lx
 from codelode.functions import literals
 
@@ -107,19 +107,18 @@ def _before() -> WindowSpec:
     return _order().rowsBetween(Window.unboundedPreceding, -1)
 
 
-def positioned(units: DataFrame) -> DataFrame:
-    """One row per token with its place in the unit.
+def _spread(units: DataFrame) -> DataFrame:
+    """One row per token, with its sizes.
 
     A gap is what stands between the previous token and this one; a last row with an empty token
-    holds a trailing gap. `breaks` tells whether the gap has a line break that can end a
-    statement. Offsets count from 0, `line` and `col` from 1, columns in bytes.
+    holds a trailing gap.
     """
     language = F.col("language")
     tok, gap = F.col("tok"), F.col("gap")
     has_note = gap.contains("#") | gap.contains("/") | gap.contains("\\")
     # The units are put in path order before they are exploded: the window sort then meets
     # input that is in order already and only has to check it.
-    rows = (
+    return (
         _pieces(units)
         .sortWithinPartitions("path", "piece")
         .select(
@@ -157,40 +156,57 @@ def positioned(units: DataFrame) -> DataFrame:
         )
         .drop("element", "gap")
     )
-    rows = rows.withColumns(
-        {
-            "byte_end": F.sum("bytes").over(_upto()),
-            "char_end": F.sum("chars").over(_upto()),
-            "line_end": F.sum("line_breaks").over(_upto()),
-            "depth_end": F.sum("step").over(_upto()),
-        }
-    ).withColumns(
-        {
-            "byte_off": F.col("byte_end") - F.octet_length(tok),
-            "char_off": F.col("char_end") - F.length(tok),
-            "line": (F.col("line_end") - F.col("tok_newlines") + 1).cast("int"),
-            "depth": (F.col("depth_end") - F.col("step")).cast("int"),
-        }
-    )
-    # Byte at which a line begins: after the last line break so far.
+
+
+def _with_offsets(rows: DataFrame, others: dict[str, Column]) -> DataFrame:
+    """Add bytes, characters, lines and depth, which are running sums, and `others` by the same window."""
+    tok = F.col("tok")
     return (
         rows.withColumns(
+            {
+                "byte_end": F.sum("bytes").over(_upto()),
+                "char_end": F.sum("chars").over(_upto()),
+                "line_end": F.sum("line_breaks").over(_upto()),
+                "depth_end": F.sum("step").over(_upto()),
+                **others,
+            }
+        )
+        .withColumns(
+            {
+                "byte_off": F.col("byte_end") - F.octet_length(tok),
+                "char_off": F.col("char_end") - F.length(tok),
+                "line": (F.col("line_end") - F.col("tok_newlines") + 1).cast("int"),
+                "depth": (F.col("depth_end") - F.col("step")).cast("int"),
+            }
+        )
+        .withColumns(
             {
                 "gap_off": F.col("byte_off") - F.col("gap_bytes"),
+                # Byte at which a line begins: after the last line break so far.
                 "last_break": F.coalesce(
                     F.col("byte_end") - F.col("tok_tail"), F.col("byte_off") - F.col("gap_tail")
                 ),
             }
         )
+    )
+
+
+def _col(gap_tail: Column, byte_off: Column, gap_start: Column) -> Column:
+    """Column of a token; `gap_start` is where the line begins that holds the end of the token before it."""
+    return F.coalesce(gap_tail + 1, byte_off - gap_start + 1).cast("int")
+
+
+def positioned(units: DataFrame) -> DataFrame:
+    """One row per token with its place in the unit.
+
+    Offsets count from 0, `line` and `col` from 1, columns in bytes.
+    """
+    return (
+        _with_offsets(_spread(units), {})
         .withColumn("gap_start", F.coalesce(F.max("last_break").over(_before()), F.lit(0)))
-        .withColumn(
-            "col",
-            F.coalesce(F.col("gap_tail") + 1, F.col("byte_off") - F.col("gap_start") + 1).cast("int"),
-        )
-        .withColumn("gap_col", F.col("gap_off") - F.col("gap_start") + 1)
+        .withColumn("col", _col(F.col("gap_tail"), F.col("byte_off"), F.col("gap_start")))
         .select(
-            "path", "piece", "language", "pos", "tok", "kind", "word", "line", "col", "char_off",
-            "byte_off", "depth", "gap_off", "gap_newlines", "gap_col", "note", "tok_newlines",
+            "path", "piece", "language", "pos", "tok", "kind", "word", "line", "col", "char_off", "byte_off", "depth",
         )
     )
 
@@ -204,24 +220,24 @@ def tokens(units: DataFrame) -> DataFrame:
     )
 
 
-def _comments() -> Column:
-    """Comments of the gap as expressions, or null where there are none."""
-    language, gap = F.col("language"), F.col("note")
+def _comments(note: Column, line: Column, gap_newlines: Column, gap_col: Column) -> Column:
+    """Comments of the gap before a token as expressions, or null where there are none."""
+    language = F.col("language")
 
     def place(comment: Column, i: Column) -> Column:
-        before = lx.before_comment(language, gap, i)
+        before = lx.before_comment(language, note, i)
         breaks = newlines(before)
         return F.struct(
             F.lit("UNKNOWN").alias("kind"),
             comment.alias("text"),
-            (F.col("line") - F.col("gap_newlines") + breaks).cast("int").alias("line"),
+            (line - gap_newlines + breaks).cast("int").alias("line"),
             F.when(breaks > 0, after_last_newline(before) + 1)
-            .otherwise(F.col("gap_col") + F.octet_length(before))
+            .otherwise(gap_col + F.octet_length(before))
             .cast("int")
             .alias("col"),
         )
 
-    return F.when(gap.isNotNull(), F.transform(lx.comments(language, gap), place))
+    return F.when(note.isNotNull(), F.transform(lx.comments(language, note), place))
 
 
 # Bits of a mark: the kind, the number of the word, and whether the gap breaks.
@@ -241,59 +257,70 @@ def breaks_of(near: str) -> Column:
     return F.col(f"{near}_mark") >= 1 << _BREAK_BIT
 
 
-def with_neighbours(rows: DataFrame) -> DataFrame:
-    """Add the tokens p1, p2 and p3 before each token and n1 and n2 after it.
+def with_neighbours(units: DataFrame) -> DataFrame:
+    """Tokens with their offsets, and the marks of the tokens p1, p2 and p3 before each and n1 and n2 after it.
 
-    A window writes each column of each row anew, so rows are kept to few columns: `here` holds a token with
-    its place, `p1`, `p3` and `n1` are those of the neighbours, and a mark holds the small numbers of one.
+    A window writes each column of each row anew and takes as long as a good part of the scan, so there are few of
+    them and rows are kept to few columns: the small numbers of a token are one mark.
     """
     # A backslash at the end of a Python line takes the line break away.
     escaped = (F.col("language") == PYTHON) & F.col("note").contains("\\")
     breaks = (F.col("gap_newlines") > 0) & F.when(
         escaped, F.regexp_replace("note", r"#[^\n]*+|\\\r?\n", "").contains("\n")
     ).otherwise(True)
-    rows = rows.withColumns({"breaks": breaks, "comments": _comments()}).select(
-        "path", "piece", "language", "pos", "kind", "word", "breaks", "depth", "gap_off",
-        F.struct("tok", "line", "col", "byte_off", "tok_newlines", "comments").alias("here"),
-        (
-            F.col("kind")
-            + F.shiftleft(F.col("word"), _WORD_BIT)
-            + F.shiftleft(F.col("breaks").cast("int"), _BREAK_BIT)
-        ).alias("mark"),
+    mark = (
+        F.col("kind") + F.shiftleft(F.col("word"), _WORD_BIT) + F.shiftleft(F.col("breaks").cast("int"), _BREAK_BIT)
     )
-    return rows.withColumns(
+    rows = _spread(units).withColumn("breaks", breaks).withColumn("mark", mark)
+    return _with_offsets(
+        rows,
         {
             **{f"p{k}_mark": F.lag("mark", k).over(_order()) for k in (1, 2, 3)},
             **{f"n{k}_mark": F.lead("mark", k).over(_order()) for k in (1, 2)},
-            **{f"p{k}": F.lag("here", k).over(_order()) for k in (1, 3)},
-            "n1": F.lead("here", 1).over(_order()),
-        }
+        },
     ).drop("mark")
 
 
-def with_statement(rows: DataFrame) -> DataFrame:
-    """Add what the tokens before tell.
+def with_statement(rows: DataFrame, link: int, head: int) -> DataFrame:
+    """Add what the tokens before tell, and the neighbours themselves where their rows are asked for.
 
     `line_first` is the first token of the statement in Python, which can begin behind the colon of
     a compound one; `last_colon` and `last_equals` are the positions of those signs outside brackets.
     `opened_by` is the number of the last word that can say what a `{` belongs to: brackets between
     that word and the `{`, as in `class A extends mixin(B) {`, say nothing.
+
+    Rows on no level but that of links (role `link`) that may begin a statement get the role `head`.
+    `here` is the token with its place; `p1` stands beside signs and opening brackets, `p3` beside signs behind `a[]`
+    in Java, `n1` beside signs, opening brackets and commas.
     """
-    word = F.col("word")
-    top = (F.col("depth") == 0) & (F.col("language") == PYTHON)
+    kind, word, language = F.col("kind"), F.col("word"), F.col("language")
+    top = (F.col("depth") == 0) & (language == PYTHON)
     starts_line = top & (F.col("breaks") | (F.col("pos") == 0) | (word_of("p1") == lx.word(";")))
     # Not the name of a property or method: `class: 1`, `class() {`.
     introduces = word.isin(lx.words("class", "interface", "enum", ";", "{", "}", "=>")) & ~(
         (word == lx.word("class")) & F.coalesce(word_of("n1").isin(lx.words(":", "(")), F.lit(False))
     )
     colon = (word == lx.word(":")) & top
-    return (
+    line_head = F.when(starts_line, F.struct("pos", "kind", "word"))
+    signs = (lx.EQUALS, lx.COMPOUND)
+    # What neighbours see of a token; most are asked for nothing.
+    placed = F.struct("tok", "line", "byte_off", "gap_tail", "tok_newlines")
+    as_p1 = F.when(kind_of("n1").isin(*signs, lx.OPEN), placed)
+    as_p3 = F.when((language == JAVA) & (kind == lx.NAME) & (word_of("n1") == lx.word("[")), placed)
+    as_n1 = F.when(
+        kind_of("p1").isin(*signs, lx.OPEN, lx.COMMA),
+        F.struct("tok", "line", "byte_off", "gap_tail", "gap_off", "gap_newlines", "note"),
+    )
+    rows = (
         rows.withColumns(
             {
-                "line_head": F.when(starts_line, _first()),
+                "line_head": line_head,
                 "colon_pos": F.when(colon, F.col("pos")),
                 "equals_pos": F.when((word == lx.word("=")) & top, F.col("pos")),
                 "introducer": F.when(introduces, word),
+                "as_p1": as_p1,
+                "as_p3": as_p3,
+                "as_n1": as_n1,
             }
         )
         .withColumns(
@@ -302,41 +329,51 @@ def with_statement(rows: DataFrame) -> DataFrame:
                 "last_colon": F.last("colon_pos", ignorenulls=True).over(_before()),
                 "last_equals": F.last("equals_pos", ignorenulls=True).over(_before()),
                 "opened_by": F.last("introducer", ignorenulls=True).over(_before()),
+                "gap_start": F.max("last_break").over(_before()),
+                "p3_gap_start": F.max("last_break").over(_order().rowsBetween(Window.unboundedPreceding, -4)),
+                "p1": F.lag("as_p1", 1).over(_order()),
+                "p3": F.lag("as_p3", 3).over(_order()),
+                "n1": F.lead("as_n1", 1).over(_order()),
             }
         )
-        # From here on only rows that play a part, and those that may begin a statement behind a colon or have one.
-        .filter(
-            (F.col("roles") > 0)
-            | F.col("line_head").isNotNull()
-            | F.col("colon_pos").isNotNull()
-            | F.coalesce((F.col("language") == PYTHON) & (word_of("p1") == lx.word(":")), F.lit(False))
-        )
-        .drop("equals_pos", "introducer")
     )
-
-
-def _first() -> Column:
-    return F.struct(
-        "pos", "kind", "word", F.col("here.tok").alias("tok"), F.col("here.line").alias("line"), F.col("here.col").alias("col")
+    # Those that may begin a statement behind a colon or have one stand on the level of signs, like the stops there.
+    heads = F.coalesce(
+        F.col("line_head").isNotNull() | F.col("colon_pos").isNotNull() | (top & (word_of("p1") == lx.word(":"))), F.lit(False)
     )
-
-
-def with_compound(rows: DataFrame) -> DataFrame:
-    """Add `last_compound`, the colon of the last compound statement in Python before a token."""
-    line_first = F.col("line_first")
-    # The first colon of a line that begins with a compound word, unless that word is a name: `match: int`.
-    compound = (
-        F.col("colon_pos").isNotNull()
-        & line_first["word"].isin(lx.words(*lx.PYTHON_COMPOUND))
-        & (F.col("last_colon").isNull() | (F.col("last_colon") < line_first["pos"]))
-        & ~((line_first["kind"] == lx.NAME) & (F.col("pos") == line_first["pos"] + 1))
+    # From here on only rows that play a part.
+    rows = rows.withColumn(
+        "roles", F.when(heads & (F.col("roles") <= link), F.col("roles") + head).otherwise(F.col("roles"))
+    ).filter(F.col("roles") > 0)
+    gap_start, p3_gap_start = F.coalesce("gap_start", F.lit(0)), F.coalesce("p3_gap_start", F.lit(0))
+    gap_col = F.col("gap_off") - gap_start + 1
+    # The line that the next token goes on with.
+    next_start = F.coalesce("last_break", gap_start)
+    n1 = F.col("n1")
+
+    def before(near: str, start: Column) -> Column:
+        """A token before this one; its column is right unless it has line breaks of its own."""
+        at = F.col(near)
+        fields = (at[name].alias(name) for name in ("tok", "line", "byte_off", "tok_newlines"))
+        return F.when(at.isNotNull(), F.struct(*fields, _col(at["gap_tail"], at["byte_off"], start).alias("col")))
+
+    own = F.when(kind.isin(lx.CLOSE, lx.COMMA), _comments(F.col("note"), F.col("line"), F.col("gap_newlines"), gap_col))
+    of_next = _comments(n1["note"], n1["line"], n1["gap_newlines"], n1["gap_off"] - next_start + 1)
+    return rows.select(
+        "path", "piece", "language", "pos", "kind", "word", "breaks", "depth", "gap_off", "roles",
+        *(f"{near}_mark" for near in ("p1", "p2", "p3", "n1", "n2")),
+        "line_head", "colon_pos", "line_first", "last_colon", "last_equals", "opened_by",
+        F.struct(
+            "tok", "line", "byte_off", _col(F.col("gap_tail"), F.col("byte_off"), gap_start).alias("col"), own.alias("comments")
+        ).alias("here"),
+        before("p1", gap_start).alias("p1"),
+        before("p3", p3_gap_start).alias("p3"),
+        F.when(
+            n1.isNotNull(),
+            F.struct(
+                *(n1[name].alias(name) for name in ("tok", "line", "byte_off")),
+                _col(n1["gap_tail"], n1["byte_off"], next_start).alias("col"),
+                of_next.alias("comments"),
+            ),
+        ).alias("n1"),
     )
-    last = F.last(F.when(compound, F.col("pos")), ignorenulls=True).over(_before())
-    return rows.withColumn("last_compound", last).drop("colon_pos")
-
-
-def with_line_first(rows: DataFrame) -> DataFrame:
-    """Let `line_first` be the token behind the colon of a compound statement."""
-    starts = F.col("line_head").isNotNull() | (F.col("pos") == F.col("last_compound") + 1)
-    line_first = F.last(F.when(starts, _first()), ignorenulls=True).over(_upto())
-    return rows.withColumn("line_first", line_first).drop("line_head", "last_compound")

@@ -282,3 +282,16 @@ def test_generated_code_is_compiled(units):
             assert sizes and max(sizes) <= 8000
     finally:
         texts.sparkSession.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_few_windows_over_tokens(units):
+    """A window writes every row of tokens anew: two run over all tokens, three over those on a level."""
+    texts = units({"a.py": "f(x)", "b.js": "f(x)", "c.java": "x.f(y);"})
+    texts.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = extract.items(extract.with_inner_code(texts))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        texts.sparkSession.conf.unset("spark.sql.adaptive.enabled")
+    keys = [re.sub(r"#\d+", "", key) for key in re.findall(r"Window \[.*\], \[([^\]]*)\], \[pos#\d+ ASC", plan)]
+    assert keys.count("path, piece") == 2
+    assert keys.count("path, piece, lvl") == 3
