@@ -216,25 +216,28 @@ def items(units: DataFrame) -> DataFrame:
     )
 
 
-def _calls_with_arguments(units: DataFrame) -> DataFrame:
-    """Calls with their argument array.
+def _with_arguments(rows: DataFrame) -> DataFrame:
+    """Calls with their argument array, and assignments, of the rows of `_parts` that are of either.
 
-    Grouping is by `path` and bracket, so it needs no shuffle.
+    Grouping is by `path` and bracket or sign, so it needs no shuffle.
     """
-    rows = _parts(units).filter("in_call")
     part = F.struct("pos", _segment().alias("segment"))
     facts = F.struct("is_call", "callee", "chain", "kept", "ended", "gap_off")
+    signs = ["assignment", "stop_end"] if "assignment" in rows.columns else []
+    place = F.when(F.col("in_call"), F.col("opener.pos")).otherwise(F.col("pos"))
+    found = F.col("facts").isNotNull()
     return (
-        rows.groupBy("path", "piece", "language", F.col("opener.pos").alias("item_pos"))
+        rows.groupBy("path", "piece", "language", place.alias("item_pos"))
         .agg(
             F.first(F.when(F.col("is_call"), facts), ignorenulls=True).alias("facts"),
             F.first("lvl").alias("lvl"),
             F.flatten(
-                F.transform(F.array_sort(F.collect_list(part)), lambda s: s["segment"])
+                F.transform(F.array_sort(F.collect_list(F.when(F.col("in_call"), part))), lambda s: s["segment"])
             ).alias("arguments"),
+            *(F.first(name, ignorenulls=True).alias(name) for name in signs),
         )
-        .filter(F.col("facts").isNotNull())
-        .select("path", "piece", "language", "lvl", F.col("item_pos").alias("pos"), "facts.*", "arguments")
+        .filter(found | F.col("assignment").isNotNull() if signs else found)
+        .select("path", "piece", "language", "lvl", F.col("item_pos").alias("pos"), "facts.*", "arguments", *signs)
     )
 
 
@@ -351,6 +354,32 @@ def assignments(units: DataFrame) -> DataFrame:
     )
 
 
+def _needs_text() -> Column:
+    """Whether a call has a name or an argument that only the text of the unit can give."""
+    return F.coalesce("member_off", "name_end").isNotNull() | F.exists("arguments", lambda a: a["text"].isNull())
+
+
+def _argument_texts() -> Column:
+    """The arguments with the texts that are longer than a token, in their places in the unit."""
+
+    def with_text(raw: Column) -> Column:
+        return F.transform(
+            "arguments",
+            lambda a: F.struct(
+                a["kind"].alias("kind"),
+                F.coalesce(a["text"], _slice(raw, a["begin"], a["end"])).alias("text"),
+                a["line"].alias("line"),
+                a["col"].alias("col"),
+            ),
+        )
+
+    return F.transform(let(F.col("unit_bytes"), with_text), _placed_expression)
+
+
+def _function_name() -> Column:
+    return F.coalesce(F.col("name"), _slice(F.col("unit_bytes"), F.col("chain_off"), F.col("name_end")))
+
+
 def calls(units: DataFrame) -> DataFrame:
     """Function calls with their arguments (E-07 to E-15), one row each, in source order.
 
@@ -358,7 +387,7 @@ def calls(units: DataFrame) -> DataFrame:
     than the text of the unit that holds it.
     """
     order = Window.partitionBy("path").orderBy("off", "piece", "pos")
-    rows = _calls_with_arguments(with_inner_code(units))
+    rows = _with_arguments(_parts(with_inner_code(units)).filter("in_call"))
     _, _, off = in_unit(F.lit(1), F.lit(1), F.coalesce("chain.byte_off", F.col("pos").cast("bigint")))
     rows = rows.withColumn("off", off).withColumn("ordinal", F.row_number().over(order)).withColumns(
         {name: column for name, column in zip(("chain_pos", "own_begin", "own_end"), _own_names(), strict=True)}
@@ -369,25 +398,64 @@ def calls(units: DataFrame) -> DataFrame:
             *_call(), "arguments",
         )
     )
-    needed = F.coalesce("member_off", "name_end").isNotNull() | F.exists("arguments", lambda a: a["text"].isNull())
-    rows = _with_bytes(rows, units, needed)
+    rows = _with_bytes(rows, units, _needs_text())
+    return rows.withColumn("qualifier", _qualifier()).select(
+        "path", "language", "ordinal", "line", "col", "qualifier",
+        _function_name().alias("function_name"),
+        _argument_texts().alias("arguments"),
+    )
 
-    def with_text(raw: Column) -> Column:
-        return F.transform(
-            "arguments",
-            lambda a: F.struct(
-                a["kind"].alias("kind"),
-                F.coalesce(a["text"], _slice(raw, a["begin"], a["end"])).alias("text"),
-                a["line"].alias("line"),
-                a["col"].alias("col"),
-            ),
-        )
 
-    arguments = let(F.col("unit_bytes"), with_text)
+def facts(units: DataFrame) -> DataFrame:
+    """All that is known of assignments and calls, one row each, from one pass over the tokens.
+
+    Written out once it serves all rules of a set: `calls_of` and `assignments_of` give what `calls` and `assignments` do, and
+    the rows themselves are items with their qualifiers.
+    """
+    rows = _parts(with_inner_code(units)).withColumn("assigns", F.col("sign").isNotNull() & assigns())
+    rows = _with_arguments(
+        rows.filter(F.col("in_call") | F.col("assigns")).withColumns(
+            {name: F.when(F.col("assigns"), column) for name, column in (("assignment", assigned()), ("stop_end", F.col("stop_end")))}
+        )
+    )
+    is_call, target, value = F.col("callee").isNotNull(), F.col("assignment.target"), F.col("value")
+    rows = rows.withColumns(dict(zip(("chain_pos", "own_begin", "own_end"), _own_names(), strict=True)))
+    rows = with_earlier_names(rows).select(
+        "path", "piece", "language", "pos", "chain_pos", "kept", "own_begin", "own_end", "earlier", "arguments", *_call(),
+        F.when(is_call, F.lit(CALL)).otherwise(F.lit(ASSIGNMENT)).alias("item"),
+        target.alias("target"),
+        _value().alias("value"),
+    ).withColumns({name: F.coalesce(name, f"target.{field}") for name, field in (("name", "tok"), ("line", "line"), ("col", "col"))})
+    rows = _with_bytes(placed(rows), units, _needs_text() | (value.isNotNull() & value["text"].isNull()))
+    start, end = piece_bounds()
+    to_end = F.coalesce(value["end"], (F.coalesce(end, F.octet_length("unit_bytes")) - start).cast("bigint"))
+    text = F.coalesce(value["text"], F.rtrim(_slice(F.col("unit_bytes"), value["begin"], to_end)))
+    called = F.col("item") == CALL
     return rows.withColumn("qualifier", _qualifier()).select(
-        "path", "language", "ordinal", "line", "col", "qualifier",
-        F.coalesce(F.col("name"), _slice(F.col("unit_bytes"), F.col("chain_off"), F.col("name_end"))).alias("function_name"),
-        F.transform(arguments, _placed_expression).alias("arguments"),
+        "path", "piece", "language", "pos", "item", "name", "line", "col", "off", "qualifier", "value",
+        F.when(called, F.size("arguments").cast("bigint")).alias("n_args"),
+        F.when(called, F.size(F.filter("arguments", lambda a: a["kind"] == STRING)).cast("bigint")).alias("n_strings"),
+        F.when(called, _function_name()).alias("function_name"),
+        F.when(called, _argument_texts()).alias("arguments"),
+        F.when(~called, text).alias("value_text"),
+    )
+
+
+def calls_of(found: DataFrame) -> DataFrame:
+    """What `calls` gives, from the rows of `facts`."""
+    order = Window.partitionBy("path").orderBy("off", "piece", "pos")
+    return found.filter(F.col("item") == CALL).withColumn("ordinal", F.row_number().over(order)).select(
+        "path", "language", "ordinal", "line", "col", "qualifier", "function_name", "arguments"
+    )
+
+
+def assignments_of(found: DataFrame) -> DataFrame:
+    """What `assignments` gives, from the rows of `facts`."""
+    order = Window.partitionBy("path").orderBy("line", "col", "pos")
+    value = F.col("value")
+    full = F.struct(value["kind"].alias("kind"), F.col("value_text").alias("text"), value["line"].alias("line"), value["col"].alias("col"))
+    return found.filter(F.col("item") == ASSIGNMENT).withColumn("ordinal", F.row_number().over(order)).select(
+        "path", "language", "ordinal", "line", "col", F.col("name").alias("variable"), _placed_expression(full).alias("value")
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.plans.rules import FINDING_COLUMNS, RuleSet
-from codelode.sources.shared import shared_folder
+from codelode.sources.shared import shared_folder, written
 
 
 def scan(units: DataFrame, rules: RuleSet | None = None) -> DataFrame:
@@ -15,13 +15,8 @@ def scan(units: DataFrame, rules: RuleSet | None = None) -> DataFrame:
 
 
 def settled(findings: DataFrame) -> DataFrame:
-    """Findings written to the shared folder and read back, for plans that use them repeatedly.
-
-    A lost executor then costs a read and not another scan.
-    """
-    folder = shared_folder(findings.sparkSession, "findings")
-    findings.write.parquet(folder)
-    return findings.sparkSession.read.parquet(folder)
+    """Findings written to the shared folder and read back, for plans that use them repeatedly."""
+    return written(findings, "findings")
 
 
 def path_key(path: Column) -> Column:

@@ -7,6 +7,7 @@ import pathlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from codelode.operators import extract
 from codelode.operators.health import source_health
@@ -154,6 +155,18 @@ def test_calls(found, path):
     assert got == CASES[path][2]
 
 
+def test_facts_are_the_calls_and_assignments(spark, units):
+    """One pass gives both, and the items that the rules look at."""
+    texts = units({path: case[0] for path, case in CASES.items()})
+    facts = spark.createDataFrame(extract.facts(texts).collect(), extract.facts(texts).schema)
+    for one, other in ((extract.calls_of(facts), extract.calls(texts)), (extract.assignments_of(facts), extract.assignments(texts))):
+        assert one.columns == other.columns
+        assert sorted(one.collect(), key=str) == sorted(other.collect(), key=str)
+    items = extract.placed(extract.with_qualifier(extract.items(extract.with_inner_code(texts)), texts, F.lit(True)))
+    columns = ["path", "piece", "item", "name", "line", "col", "off", "qualifier", "value", "n_args", "n_strings"]
+    assert sorted(facts.select(columns).collect(), key=str) == sorted(items.select(columns).collect(), key=str)
+
+
 def test_argument_places(found):
     run = next(r for r in found[1] if r.path == "mixed.py" and r.function_name == "start")
     assert [(a.line, a.col) for a in run.arguments] == [(12, 5), (13, 5), (14, 5)]
@@ -284,6 +297,18 @@ def test_generated_code_is_compiled(units):
         texts.sparkSession.conf.unset("spark.sql.adaptive.enabled")
 
 
+def test_facts_stay_small_in_code_and_shuffle_once(units):
+    texts = units({"a.py": "f(x).g(y + 1)\nz = f'{h(1)}'", "b.js": "a = `${b(c).d(e)}`", "c.java": "x.eval(y).exec(z);"})
+    assert shuffles(extract.facts(texts)) == 1
+    mode = texts.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    texts.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = extract.facts(texts)._jdf.queryExecution().explainString(mode)
+    finally:
+        texts.sparkSession.conf.unset("spark.sql.adaptive.enabled")
+    assert max(int(size) for size in re.findall(r"maxMethodCodeSize:(\d+)", text)) <= 8000
+
+
 def test_few_windows_over_tokens(units):
     """A window writes every row of tokens anew: two run over all tokens, three over those on a level."""
     texts = units({"a.py": "f(x)", "b.js": "f(x)", "c.java": "x.f(y);"})

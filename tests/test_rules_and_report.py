@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codelode import catalog
+from codelode.operators import extract
 from codelode.plans import report
 from codelode.plans.findings import numbered, ordered, scan, write
 from codelode.plans.rules import (
@@ -131,6 +132,30 @@ def test_a_failing_rule_is_not_hidden(units):
         scan(units(TEXTS), RuleSet((FunctionRule("F001", "Fails", "Fails.", fail),)))
 
 
+def test_rules_share_one_pass_over_the_tokens(units, found, monkeypatch):
+    """Function rules that ask for calls and assignments, and the term rules beside them, have the units scanned once."""
+    passes, parts = [], extract._parts
+    monkeypatch.setattr(extract, "_parts", lambda units: passes.append(units) or parts(units))
+
+    def asked(context):
+        columns = FINDING_COLUMNS
+        named = context.calls.select("path", "language", "line", "col", F.col("function_name").alias("name"))
+        named = named.unionByName(context.assignments.select("path", "language", "line", "col", F.col("variable").alias("name")))
+        return named.select(
+            *(F.lit("T002").alias(name) for name in columns[:4]), F.lit("LOW").alias("severity"),
+            F.col("path").alias("source_file_path"), F.col("language").alias("programming_language"),
+            F.col("line").alias("line_number"), F.col("col").alias("column_number"),
+        )
+
+    rules = RuleSet().register(FunctionRule("T002", "All", "All.", asked))
+    both = scan(units(TEXTS), rules)
+    assert len(passes) == 1
+    own = both.filter(F.col("vulnerability_rule_id") == "T002")
+    assert own.count() == extract.calls(units(TEXTS)).count() + extract.assignments(units(TEXTS)).count() > 0
+    others = both.filter(F.col("vulnerability_rule_id") != "T002")
+    assert sorted(others.select(*found.columns).collect()) == sorted(found.collect())
+
+
 def test_order(units):
     first = _dummy([_row("b.py", 20, 1), _row("a.py", 10, 1), _row("a-b/c.py", 1, 1)])
     second = _dummy([_row("a.py", 5, 2), _row("a.py", 5, 1), _row("a/b.py", 1, 1), _row("a.py", 10, 1, "T002")])
